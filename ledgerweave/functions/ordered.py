@@ -105,4 +105,4 @@ def exclusive_prefix(
 def running_total(df: DataFrame, order: str, measures: dict[str, str]) -> DataFrame:
     """Running totals over a calendar spine: one row per period, so one small window."""
     upto = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.select("*", *[F.sum(m).over(upto).alias(n) for n, m in measures.items()])
+    return df.select("*", *[F.sum(m).over(upto).alias(total) for m, total in measures.items()])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -150,18 +148,20 @@ def base58_to_binary(text: Column) -> Column:
         lambda i: F.substring(text, (i * step + 1).cast("int"), F.lit(step)),
     )
 
+    powers = F.array(*[F.lit(58**i).cast("bigint") for i in range(step + 1)])
+
     def digit(piece: Column, i: int) -> Column:
         return (F.instr(F.lit(BASE58_ALPHABET), F.substring(piece, i, 1)) - 1).cast("bigint")
 
     def piece_value(piece: Column) -> Column:
-        return reduce(
-            lambda acc, i: F.when(F.length(piece) >= i, acc * 58 + digit(piece, i)).otherwise(acc),
-            range(1, step + 1),
-            F.lit(0).cast("bigint"),
-        )
+        terms = [
+            F.when(F.length(piece) >= i, digit(piece, i) * F.get(powers, F.length(piece) - i)).otherwise(0)
+            for i in range(1, step + 1)
+        ]
+        return sum(terms[1:], terms[0])
 
     def weight(piece: Column) -> Column:
-        return F.element_at(F.array(*[F.lit(58**i).cast("bigint") for i in range(step + 1)]), F.length(piece) + 1)
+        return F.get(powers, F.length(piece))
 
     mask = F.lit(0xFFFFFFFF).cast("bigint")
     no_limbs = F.array().cast("array<bigint>")

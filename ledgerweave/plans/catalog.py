@@ -7,6 +7,7 @@ from ledgerweave.plans.registry import ORACLES, QUERIES
 for _part in [
     "bound_market",
     "bound_state",
+    "bound_wallets",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

@@ -8,6 +8,7 @@ for _part in [
     "bound_market",
     "bound_state",
     "bound_wallets",
+    "bound_reconcile",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

@@ -126,11 +126,9 @@ def backtest_compare(
     Where ``legacy`` holds, a row that differs only in ``price`` and by no more than
     ``legacy_tolerance`` still passes.
     """
-    e = expected.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in [*exact, *close]], F.lit(1).alias("_e"))
-    d = decoded.select(*keys, *[F.col(c).alias(f"_d_{c}") for c in [*exact, *close]], F.lit(1).alias("_d"))
     extra = [] if legacy is None else [legacy.alias("_legacy")]
-    if extra:
-        e = e.join(expected.select(*keys, *extra), list(keys))
+    e = expected.select(*keys, *[F.col(c).alias(f"_e_{c}") for c in [*exact, *close]], F.lit(1).alias("_e"), *extra)
+    d = decoded.select(*keys, *[F.col(c).alias(f"_d_{c}") for c in [*exact, *close]], F.lit(1).alias("_d"))
     tests = {c: F.col(f"_e_{c}").eqNullSafe(F.col(f"_d_{c}")) for c in exact}
     tests |= {c: near(F.col(f"_e_{c}"), F.col(f"_d_{c}"), tolerance) for c in close}
     bad = F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(c)) for c, ok in tests.items()]))

@@ -9,6 +9,9 @@ for _part in [
     "bound_state",
     "bound_wallets",
     "bound_reconcile",
+    "bound_events",
+    "bound_inbox",
+    "bound_quality",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

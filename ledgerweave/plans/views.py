@@ -57,7 +57,7 @@ VIEWS: dict[str, str] = {
         FROM events""",
     "moves": """
         SELECT event_id AS tx, event_id AS seq, ts, k AS asset,
-               CASE WHEN event_type = 'error' THEN 'burn' ELSE 'transfer' END AS kind,
+               CASE WHEN event_type = 'error' THEN 'BURN_OR_SEND_TO_ZERO' ELSE 'TRANSFER' END AS class, true AS burn_ok,
                CASE event_type WHEN 'purchase' THEN 'M' WHEN 'view' THEN 'W' || user_id ELSE 'U' || user_id END
                    AS from_owner,
                CASE event_type WHEN 'signup' THEN 'W' || user_id WHEN 'error' THEN NULL ELSE 'U' || user_id END
@@ -71,8 +71,8 @@ VIEWS: dict[str, str] = {
                CASE WHEN event_type <> 'click' THEN 'W' || user_id END AS wallet
         FROM ev WHERE event_type IN ('signup', 'view', 'click')""",
     "matched": """
-        SELECT m.*, c.action AS matched
-        FROM moves m LEFT JOIN calls c ON m.tx = c.tx AND m.kind = 'transfer' AND
+        SELECT m.*, c.action AS matched, c.caller, c.wallet
+        FROM moves m LEFT JOIN calls c ON m.tx = c.tx AND m.class = 'TRANSFER' AND
              ((c.action = 'LOCK' AND m.to_owner = c.wallet AND m.from_owner = c.caller) OR
               (c.action = 'UNLOCK' AND m.from_owner = c.wallet AND m.to_owner = c.caller))""",
     "edge": "SELECT (max(event_id) + 1) // 2 AS cut FROM events",
@@ -208,7 +208,8 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("seq"),
         "ts",
         F.col("k").alias("asset"),
-        F.when(what == "error", "burn").otherwise("transfer").alias("kind"),
+        F.when(what == "error", "BURN_OR_SEND_TO_ZERO").otherwise("TRANSFER").alias("class"),
+        F.lit(True).alias("burn_ok"),
         F.when(what == "purchase", "M")
         .when(what == "view", _named("W", user))
         .otherwise(_named("U", user))

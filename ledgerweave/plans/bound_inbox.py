@@ -48,7 +48,7 @@ def _(spark, sf_dir):
 @bound(
     "snapshot_keyset_page",
     """SELECT tx_id, strftime(received_at, '%Y-%m-%d %H:%M:%S.%f') AS received_at FROM frozen
-       WHERE (received_at, tx_id) > (SELECT min(received_at), min(tx_id) FROM frozen)
+       WHERE (received_at, tx_id) > (SELECT (min(received_at), min(tx_id)) FROM frozen)
        ORDER BY received_at, tx_id LIMIT 100""",
 )
 def _(spark, sf_dir):

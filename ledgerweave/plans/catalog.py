@@ -10,6 +10,7 @@ for _part in [
     "bound_wallets",
     "bound_reconcile",
     "bound_events",
+    "bound_decode",
     "bound_inbox",
     "bound_quality",
 ]:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import constants as K
 from ledgerweave.functions.scalars import base58_to_binary, starts_with_hex, uint_le
+from ledgerweave.functions.stage import stage
 from ledgerweave.operators.custody import LOCK, RECEIVED, RESTART, SENT, TRANSFER, UNLOCK
 from ledgerweave.sources.tx_json import first_signature, object_field
 
@@ -76,17 +77,20 @@ def decode_tx(scanned: DataFrame, encoding: str = "base58", programs: Sequence[s
     """
     decode = {"base58": base58_to_binary, "hex": F.unhex}[encoding]
     tx = F.col("tx")
-    staged = scanned.select(
-        "tx_id",
-        "seq",
-        F.timestamp_seconds(tx["blockTime"]).alias("ts"),
-        tx["meta"]["err"].isNull().alias("ok"),
-        account_keys(tx).alias("keys"),
-        signers(tx).alias("signers"),
-        _or_empty(tx["transaction"]["message"]["instructions"], f"array<{_INST}>").alias("_outer"),
-        _or_empty(tx["meta"]["innerInstructions"], f"array<struct<index:int,instructions:array<{_INST}>>>").alias("_inner"),
-        tx["meta"]["preTokenBalances"].alias("pre"),
-        tx["meta"]["postTokenBalances"].alias("post"),
+    inst, groups = f"array<{_INST}>", f"array<struct<index:int,instructions:array<{_INST}>>>"
+    staged = stage(
+        scanned.select("tx_id", "seq", "tx"),
+        {
+            "ts": F.timestamp_seconds(tx["blockTime"]),
+            "ok": tx["meta"]["err"].isNull(),
+            "keys": account_keys(tx),
+            "signers": signers(tx),
+            "_outer": _or_empty(tx["transaction"]["message"]["instructions"], inst),
+            "_inner": _or_empty(tx["meta"]["innerInstructions"], groups),
+            "pre": tx["meta"]["preTokenBalances"],
+            "post": tx["meta"]["postTokenBalances"],
+        },
+        keep=["tx_id", "seq"],
     )
     keys = F.col("keys")
     outer = F.transform("_outer", lambda inst, i: _resolve(inst, i, keys, decode, programs))
@@ -100,11 +104,8 @@ def decode_tx(scanned: DataFrame, encoding: str = "base58", programs: Sequence[s
         )
     )
     kept = F.filter(F.concat(outer, inner), lambda c: c["program"].isNotNull() & c["text"].isNotNull())
-    return (
-        staged.withColumn("calls", kept)
-        .withColumn("undecodable", _undecodable(programs))
-        .drop("_outer", "_inner")
-    )
+    called = stage(staged, {"calls": kept}, keep=["tx_id", "seq", "ts", "ok", "keys", "signers", "pre", "post"])
+    return called.withColumn("undecodable", _undecodable(programs))
 
 
 _INST = "struct<programId:string,programIdIndex:int,accounts:array<string>,data:string>"
@@ -225,10 +226,10 @@ def movement_array(pre: Column, post: Column) -> Column:
 
 
 def with_movements(decoded: DataFrame) -> DataFrame:
-    staged = decoded.withColumns(
-        {"pre": _balances(F.col("pre"), F.col("keys")), "post": _balances(F.col("post"), F.col("keys"))}
+    staged = stage(
+        decoded, {"pre": _balances(F.col("pre"), F.col("keys")), "post": _balances(F.col("post"), F.col("keys"))}
     )
-    return staged.withColumn("movements", movement_array(F.col("pre"), F.col("post")))
+    return stage(staged, {"movements": movement_array(F.col("pre"), F.col("post"))})
 
 
 def burn_named(calls: Column, asset: Column) -> Column:
@@ -308,11 +309,12 @@ def royalty(calls: Column, recipient: str) -> Column:
 
 
 def with_royalties(decoded: DataFrame) -> DataFrame:
-    return decoded.withColumns(
+    return stage(
+        decoded,
         {
             "royalty": royalty(F.col("calls"), K.ROYALTY_FIRST),
             "royalty_second": royalty(F.col("calls"), K.ROYALTY_SECOND),
-        }
+        },
     )
 
 
@@ -363,10 +365,10 @@ def with_sales(decoded: DataFrame, layouts: Sequence[K.SaleLayout] = tuple(K.SAL
     every = F.transform(
         groups, lambda g: sale_of_group(F.filter("calls", lambda c: c["outer"] == g), layouts)
     )
-    found = decoded.withColumn("_sales", F.when(F.col("ok"), F.filter(every, lambda s: s.isNotNull())))
+    found = stage(decoded, {"_sales": F.when(F.col("ok"), F.filter(every, lambda s: s.isNotNull()))})
     names = F.array_distinct(F.transform("_sales", lambda s: s["asset"]))
     firsts = F.transform(names, lambda a: F.get(F.filter("_sales", lambda s: s["asset"] == a), 0))
-    return found.withColumn("sales", firsts).drop("_sales")
+    return stage(found, {"sales": firsts}).drop("_sales")
 
 
 def sale_rows(sold: DataFrame, assets: DataFrame | None = None) -> DataFrame:

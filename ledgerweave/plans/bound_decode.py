@@ -401,8 +401,9 @@ def _(spark, sf_dir):
     "tx_ledger",
     """SELECT l.tx_id AS tx, CASE WHEN ok THEN 1 ELSE 0 END::BIGINT AS tx_success,
               CASE WHEN NOT ok THEN '' WHEN burning THEN item || ':BURN_OR_SEND_TO_ZERO' ELSE item || ':TRANSFER' END AS movements,
-              '' AS calls, coalesce(s.asset || ':' || s.detail, '') AS sales
-       FROM jlines l LEFT JOIN jsales s ON s.tx = l.tx_id""",
+              '' AS calls, CASE WHEN ok AND NOT burning THEN item || ':' || CASE place WHEN 'R' THEN 'Magic Eden V2'
+                   WHEN 'A' THEN 'Tensor Marketplace' ELSE 'Tensor AMM' END ELSE '' END AS sales
+       FROM jlines l""",
 )
 def _(spark, sf_dir):
     sold = D.with_sales(D.with_movements(market(spark, sf_dir)))

@@ -13,6 +13,7 @@ for _part in [
     "bound_decode",
     "bound_inbox",
     "bound_quality",
+    "bound_stream",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.stage import stage
+
 INSTRUCTION = "struct<programId:string,programIdIndex:int,accounts:array<string>,data:string>"
 BALANCE = "struct<accountIndex:int,mint:string,owner:string,uiTokenAmount:struct<amount:string>>"
 # Keys and signatures arrive as text or as objects; an object is kept as its JSON text.
@@ -54,7 +56,7 @@ def payload_rows(bodies: DataFrame, body: str, shortest: int = 20) -> DataFrame:
     text = F.trim(body)
     many = F.from_json(text, "array<string>")
     each = F.when(text.startswith("["), many).otherwise(F.array(text))
-    rows = bodies.select("*", F.posexplode(each).alias("pos", "payload")).withColumn("tx", parse_tx(F.col("payload")))
+    rows = stage(bodies.select("*", F.posexplode(each).alias("pos", "payload")), {"tx": parse_tx(F.col("payload"))})
     ident = payload_id(F.col("tx"), shortest)
     return (
         rows.withColumns({"tx_id": ident, "slot": F.col("tx.slot"), "block_time": F.col("tx.blockTime")})
@@ -80,4 +82,5 @@ def scan_tx(inbox: DataFrame, snapshot: Column) -> DataFrame:
         .when(F.col("block_time").isNotNull() & (F.col("block_time") != tx["blockTime"]), "block time mismatch")
         .when(F.col("received_at").isNull() | (F.col("received_at") > snapshot), "outside snapshot")
     )
-    return inbox.withColumn("tx", parse_tx(F.col("payload"))).withColumns({"seq": slot, "reason": reason})
+    parsed = stage(inbox, {"tx": parse_tx(F.col("payload"))})
+    return parsed.withColumns({"seq": slot, "reason": reason})

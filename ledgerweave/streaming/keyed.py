@@ -8,14 +8,24 @@ order inside a micro-batch; a row at or below the state of an earlier batch is l
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-STATE = "seq bigint, tx bigint, owner string, locked bigint, burned bigint"
+STATE = StructType(
+    [
+        StructField("seq", LongType()),
+        StructField("tx", LongType()),
+        StructField("owner", StringType()),
+        StructField("locked", LongType()),
+        StructField("burned", LongType()),
+    ]
+)
 OUTPUT = "asset bigint, seq bigint, tx bigint, owner string, locked bigint, burned bigint, applied bigint, late bigint"
 
 
@@ -23,7 +33,7 @@ class AssetProcessor(StatefulProcessor):
     """Input columns: asset, seq, tx, owner, locked, burns."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", StructType.fromDDL(STATE))
+        self._last = handle.getValueState("last", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self._last.get() if self._last.exists() else None
@@ -51,6 +61,8 @@ class AssetProcessor(StatefulProcessor):
 
 def keyed_state(moves: DataFrame) -> DataFrame:
     """Streaming frame of state rows: one per asset and micro-batch that touched it."""
+    # Workers receive the processor itself, so they need not have the package installed.
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return moves.groupBy("asset").transformWithStateInPandas(
         statefulProcessor=AssetProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
     )

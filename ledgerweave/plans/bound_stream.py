@@ -55,7 +55,7 @@ def _(spark, sf_dir):
     rows = V.inbox(spark, sf_dir).select("tx_id", "seq", "source")
     repeated = rows.unionByName(rows.filter(F.col("seq") % 3 == 0))
     stream = arrivals(spark, repeated, "seq", f"{home}/in")
-    finish(run_ledger(stream, f"{home}/tables", f"{home}/checkpoint", "tx_id"))
+    finish(run_ledger(stream, f"{home}/tables", f"{home}/checkpoint", "tx_id", "seq"))
     return read_appended(spark, f"{home}/tables", "ledger")
 
 

@@ -47,7 +47,10 @@ def main() -> None:
         return time.perf_counter() - start
 
     run("monthly_activity")  # starts executors and compiles common code
-    seconds = {name: round(run(name), 3) for name in names}
+    seconds = {}
+    for name in names:
+        seconds[name] = round(run(name), 3)
+        print(f"{name} {seconds[name]}", file=sys.stderr, flush=True)
     total = round(sum(seconds.values()), 3)
     sf = os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "headline queries, total", "value": total, "unit": "sec", "queries": seconds, "sf": sf}))

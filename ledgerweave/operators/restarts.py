@@ -108,7 +108,7 @@ def walk(episodes: DataFrame, calls: DataFrame, chunk: int = CHUNK) -> tuple[Dat
     """
     piece = F.expr(f"seq div {chunk}")
     seen = exclusive_prefix(
-        _sequence(episodes, calls),
+        settled(_sequence(episodes, calls)),
         ["user"],
         ORDER,
         piece,

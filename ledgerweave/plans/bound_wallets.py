@@ -8,6 +8,7 @@ from ledgerweave.operators import wallets as W
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_state import BUCKET, mints
 from ledgerweave.plans.registry import bound
+from ledgerweave.session import settled
 
 V.VIEWS["sets"] = "SELECT c_nationkey AS set_id, c_custkey AS wallet FROM customer"
 V.VIEWS["sales_idx"] = "SELECT *, row_number() OVER (ORDER BY ts, tx, asset) - 1 AS idx FROM sales"
@@ -57,7 +58,7 @@ def sales_idx(spark, sf_dir):
 
 
 def trades(spark, sf_dir):
-    return W.set_trades(sales_idx(spark, sf_dir), sets(spark, sf_dir))
+    return settled(W.set_trades(sales_idx(spark, sf_dir), sets(spark, sf_dir)))
 
 
 def bench_counts(spark, sf_dir):

@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+# Small test tables would all be broadcast; a low threshold keeps the shuffle plans of large ones.
+LOCAL_SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.ui.showConsoleProgress": "false"}
 
 
 def local_session(cores: str = "8", partitions: int = 8, app: str = "ledgerweave") -> SparkSession:
@@ -24,7 +26,7 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "ledgerweave
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "16g")
     )
-    for key, value in SETTINGS.items():
+    for key, value in {**SETTINGS, **LOCAL_SETTINGS}.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

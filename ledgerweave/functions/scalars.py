@@ -121,8 +121,8 @@ def units(total: Column, places: int) -> Column:
 
 def uint_le(data: Column, start: int, width: int) -> Column:
     """Unsigned little-endian integer of ``width`` bytes at a 1-based offset; NULL when too short."""
-    digits = F.hex(data)
-    pairs = [F.substring(digits, 2 * (start + i) - 1, 2) for i in reversed(range(width))]
+    digits = F.hex(F.substring(data, start, width))
+    pairs = [F.substring(digits, 2 * i + 1, 2) for i in reversed(range(width))]
     number = F.conv(F.concat(*pairs), 16, 10).cast(DecimalType(20, 0))
     return F.when(F.length(data) >= start + width - 1, number)
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave import constants as K
 from ledgerweave.functions.scalars import base58_to_binary, starts_with_hex, uint_le
-from ledgerweave.functions.stage import stage
+from ledgerweave.functions.stage import once, stage
 from ledgerweave.operators.custody import LOCK, RECEIVED, RESTART, SENT, TRANSFER, UNLOCK
 from ledgerweave.sources.tx_json import first_signature, object_field
 
@@ -50,11 +50,11 @@ def signers(tx: Column) -> Column:
 
 def _resolve(inst: Column, outer: Column, keys: Column, decode, programs: Sequence[str] | None) -> Column:
     program = F.coalesce(inst["programId"], F.get(keys, inst["programIdIndex"]))
-    index = r"^[0-9]{1,9}$"
     accounts = F.filter(
         F.transform(
             _or_empty(inst["accounts"], "array<string>"),
-            lambda a: F.when(a.rlike(index), F.get(keys, F.when(a.rlike(index), a).cast("int"))).otherwise(a),
+            # An address is far too long to read as an integer.
+            lambda a: F.when(a.try_cast("int").isNull(), a).otherwise(F.get(keys, a.try_cast("int"))),
         ),
         lambda a: a.isNotNull(),
     )
@@ -197,13 +197,15 @@ def movement_array(pre: Column, post: Column) -> Column:
             last = lambda side: F.try_element_at(
                 F.filter(side, lambda b: (b["asset"] == asset) & (b["account"] == account)), F.lit(-1)
             )
-            before, after = last(pre), last(post)
-            delta = F.coalesce(after["amount"], zero) - F.coalesce(before["amount"], zero)
-            return F.struct(
-                F.signum(delta).cast("int").alias("sign"),
-                before["owner"].alias("was"),
-                after["owner"].alias("becomes"),
-            )
+            def compare(p: Column) -> Column:
+                was, now = F.coalesce(p["before"]["amount"], zero), F.coalesce(p["after"]["amount"], zero)
+                return F.struct(
+                    F.when(now < was, -1).when(now > was, 1).otherwise(0).alias("sign"),
+                    p["before"]["owner"].alias("was"),
+                    p["after"]["owner"].alias("becomes"),
+                )
+
+            return once(F.struct(last(pre).alias("before"), last(post).alias("after")), compare)
 
         changes = F.filter(F.transform(accounts, change), lambda c: c["sign"] != 0)
         return F.struct(asset.alias("asset"), changes.alias("changes"))
@@ -321,37 +323,34 @@ def with_royalties(decoded: DataFrame) -> DataFrame:
 def _sale(layout: K.SaleLayout, buy: Column, priced: Column) -> Column:
     """Sale struct of a layout, NULL unless asset, buyer, seller and price are all there."""
     argument = lambda n: F.get(buy["accounts"], n - 1)
-    price = uint_le(priced["data"], layout.price_at, 8)
-    named = lambda c: c.isNotNull() & (c != "")
-    whole = named(argument(layout.asset)) & named(argument(layout.buyer)) & named(argument(layout.seller))
-    return F.when(
-        whole & price.isNotNull(),
-        F.struct(
-            argument(layout.asset).alias("asset"),
-            argument(layout.buyer).alias("buyer"),
-            argument(layout.seller).alias("seller"),
-            price.alias("price"),
-            F.lit(layout.market).alias("market"),
-            F.lit(layout.detail).alias("detail"),
-            F.lit(layout.method).alias("method"),
-        ),
+    parts = F.struct(
+        argument(layout.asset).alias("asset"),
+        argument(layout.buyer).alias("buyer"),
+        argument(layout.seller).alias("seller"),
+        uint_le(priced["data"], layout.price_at, 8).alias("price"),
+        F.lit(layout.market).alias("market"),
+        F.lit(layout.detail).alias("detail"),
+        F.lit(layout.method).alias("method"),
     )
-
-
-def _with_prefix(calls: Column, layout: K.SaleLayout, prefix: str) -> Column:
-    return F.filter(calls, lambda c: (c["program"] == layout.program) & starts_with_hex(c["data"], prefix))
+    whole = lambda p: (p["asset"] != "") & (p["buyer"] != "") & (p["seller"] != "") & p["price"].isNotNull()
+    return once(parts, lambda p: F.when(F.coalesce(whole(p), F.lit(False)), p))
 
 
 def sale_of_group(calls: Column, layouts: Sequence[K.SaleLayout]) -> Column:
     """Sale of the calls under one outer instruction, by the first layout that is complete."""
 
     def by_layout(layout: K.SaleLayout) -> Column:
-        buys = _with_prefix(calls, layout, layout.buy_prefix)
+        ours = lambda prefix: F.filter(
+            calls, lambda c: (c["program"] == layout.program) & starts_with_hex(c["data"], prefix)
+        )
         if layout.event_prefix is None:
-            every = F.transform(buys, lambda c: _sale(layout, c, c))
+            every = F.transform(ours(layout.buy_prefix), lambda c: _sale(layout, c, c))
             return F.get(F.filter(every, lambda s: s.isNotNull()), 0)
-        events = _with_prefix(calls, layout, layout.event_prefix)
-        return _sale(layout, F.get(buys, 0), F.get(events, 0))
+        pair = F.struct(F.get(ours(layout.buy_prefix), 0).alias("buy"), F.get(ours(layout.event_prefix), 0).alias("event"))
+        return once(
+            pair,
+            lambda p: F.when(p["buy"].isNotNull() & p["event"].isNotNull(), _sale(layout, p["buy"], p["event"])),
+        )
 
     return F.coalesce(*[by_layout(x) for x in layouts])
 
@@ -363,7 +362,7 @@ def with_sales(decoded: DataFrame, layouts: Sequence[K.SaleLayout] = tuple(K.SAL
         F.transform(F.filter("calls", lambda c: c["program"].isin(programs)), lambda c: c["outer"])
     )
     every = F.transform(
-        groups, lambda g: sale_of_group(F.filter("calls", lambda c: c["outer"] == g), layouts)
+        groups, lambda g: once(F.filter("calls", lambda c: c["outer"] == g), lambda cs: sale_of_group(cs, layouts))
     )
     found = stage(decoded, {"_sales": F.when(F.col("ok"), F.filter(every, lambda s: s.isNotNull()))})
     names = F.array_distinct(F.transform("_sales", lambda s: s["asset"]))

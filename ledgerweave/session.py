@@ -45,18 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may fall back to a temporary folder of this machine.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        current = spark.sparkContext.getCheckpointDir()
-        if current:
-            named = current
-        elif spark.sparkContext.master.startswith("local"):
-            named = tempfile.mkdtemp(prefix="ledgerweave-")
-        else:
+        if not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
-        spark.conf.set("spark.checkpoint.dir", named)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        named = tempfile.mkdtemp(prefix="ledgerweave-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 

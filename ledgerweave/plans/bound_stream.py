@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import scalars as P
 from ledgerweave.operators import custody as C
+from ledgerweave.operators.addresses import address_tokens
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_events import matched
 from ledgerweave.plans.bound_inbox import freeze_point
@@ -75,13 +76,22 @@ def _(spark, sf_dir):
         F.when(F.col("class") == C.SENT, 1).otherwise(0).cast("bigint").alias("burns"),
     )
     stream = arrivals(spark, rows, "seq", f"{home}/in")
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    # Keyed state needs the RocksDB store; one state partition per core starts no idle workers.
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": (
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+        ),
+        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
+    }
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         query = (
             keyed_state(stream)
-            .writeStream.foreachBatch(lambda df, i: commit_version(spark, f"{home}/tables", i, {"updates": (df, ["asset"])}))
+            .writeStream.foreachBatch(
+                lambda df, i: commit_version(spark, f"{home}/tables", i, {"updates": (df, ["asset"])})
+            )
             .outputMode("update")
             .option("checkpointLocation", f"{home}/checkpoint")
             .trigger(availableNow=True)
@@ -89,7 +99,8 @@ def _(spark, sf_dir):
         )
         finish(query)
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
     updates = read_appended(spark, f"{home}/tables", "updates")
     last = updates.groupBy("asset").agg(F.max(F.struct("seq", "tx", "owner", "locked", "burned")).alias("_s"))
     return last.select("asset", *[F.col(f"_s.{c}") for c in ("tx", "owner", "locked", "burned")])
@@ -220,6 +231,4 @@ def _(spark, sf_dir):
     tokens = [first, F.concat(F.lit("0"), F.repeat(F.lit("B"), F.lit(35))), ones, F.repeat(F.lit("z"), F.lit(45))]
     text = F.concat(F.lit("  "), tokens[0], F.lit(", "), tokens[1], F.lit(";\n"), tokens[2], F.lit(" "), tokens[3])
     rows = V.table(spark, sf_dir, "customer").select(key.alias("id"), text.alias("text"))
-    from ledgerweave.operators.addresses import address_tokens
-
     return address_tokens(rows, "id", "text").select("id", "token", "valid")

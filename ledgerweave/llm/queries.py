@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, chat, language_id, line_dedup, mixing, neardup, packing, quality, token_counts
+from ledgerweave.llm import ann, chat, html_main, language_id, line_dedup, mixing, neardup, packing, quality, token_counts
 from ledgerweave.llm.common import read
 from ledgerweave.session import use_utc
 
@@ -113,3 +113,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op6_html_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_main.extract(pages, html_main.fit(pages))

@@ -217,6 +217,6 @@ def nearest(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     short = queries.join(enough, F.col("id") == F.col("query_id"), "left_anti")
     if not short.isEmpty():
         one = index.filter("tab = 0")
-        everywhere = short.join(one.select("tab", "bucket", "dim").distinct(), "dim").select("tab", "bucket", "dim", "id", "v")
+        everywhere = written(short.join(one.select("tab", "bucket", "dim").distinct(), "dim").select("tab", "bucket", "dim", "id", "v"), "everywhere")
         found = found.unionByName(_compared(one, everywhere, k))
     return _ranked(found, k).select("query_id", "rank", "vec_id", "score")

@@ -14,7 +14,8 @@ def fixed_histogram(
     """One row per label in the given order; ``measures`` are summed within the label.
 
     All labels are aggregated side by side in one pass, so no join to a label table is needed
-    and a label without rows comes out as zero.
+    and a label without rows comes out as zero. A row whose label is not in the list fails the query,
+    so that the counts of the labels always add up; a NULL label means that the row is not counted.
     """
     tagged = df.select(label.alias("_label"), *[m.alias(f"_m_{k}") for k, m in measures.items()])
     cells = [
@@ -32,4 +33,8 @@ def fixed_histogram(
             for i, text in enumerate(labels)
         ]
     )
-    return tagged.agg(*cells).select(F.inline(rows))
+    stray = F.max(F.when(~F.col("_label").isin(*labels), F.col("_label"))).alias("_stray")
+    checked = F.when(F.col("_stray").isNull(), rows).otherwise(
+        F.raise_error(F.concat(F.lit(f"{name}: unknown label "), F.col("_stray")))
+    )
+    return tagged.agg(*cells, stray).select(F.inline(checked))

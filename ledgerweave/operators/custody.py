@@ -22,17 +22,24 @@ OVERLAP_SECONDS = 300
 
 
 def cursor_gate(moves: DataFrame, cursors: DataFrame, activation: Column) -> DataFrame:
-    """Status of each movement against the last one applied to its asset."""
+    """Status of each movement against the last one applied to its asset.
+
+    The batch moves the cursor as well: an asset without one is covered by the activation instant only until the first
+    movement in (seq, tx) order that is later than it; from then on every movement applies, whatever its time.
+    """
     seen = cursors.select("asset", F.col("last_seq").alias("_seq"), F.col("last_tx").alias("_tx"))
+    opened = moves.filter(F.col("ts") > activation).groupBy("asset").agg(F.min(F.struct("seq", "tx")).alias("_open"))
+    before = F.col("_open").isNull() | (F.struct("seq", "tx") < F.col("_open"))
     status = (
-        F.when(F.col("_seq").isNull() & (F.col("ts") <= activation), COVERED)
+        F.when(F.col("_seq").isNull() & (F.col("ts") <= activation) & before, COVERED)
         .when(F.col("_seq").isNull(), APPLY)
         .when(F.col("seq") < F.col("_seq"), STALE)
         .when((F.col("seq") == F.col("_seq")) & (F.col("tx") == F.col("_tx")), DUPLICATE)
         .when(F.col("seq") == F.col("_seq"), CONFLICT)
         .otherwise(APPLY)
     )
-    return moves.join(seen, "asset", "left").withColumn("status", status).drop("_seq", "_tx")
+    known = moves.join(seen, "asset", "left").join(opened, "asset", "left")
+    return known.withColumn("status", status).drop("_seq", "_tx", "_open")
 
 
 def conflicts(gated: DataFrame) -> DataFrame:

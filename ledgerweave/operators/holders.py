@@ -11,7 +11,7 @@ from ledgerweave.functions.histogram import fixed_histogram
 from ledgerweave.functions.scalars import days_between, percent
 
 # Holder tiers, activity buckets with their upper bound in days, and edge labels.
-TIERS = [("1-4", 1, 4), ("5-14", 5, 14), ("15-29", 15, 29), ("30-49", 30, 49), ("50-99", 50, 99), ("100+", 100, 10**9)]
+TIERS = [("1-4", 1, 4), ("5-14", 5, 14), ("15-29", 15, 29), ("30-49", 30, 49), ("50-99", 50, 99), ("100+", 100, None)]
 ACTIVITY_BUCKETS = [
     ("Active 0–7d", 7),
     ("Idle 8–30d", 30),
@@ -58,7 +58,8 @@ def holder_balances(states: DataFrame) -> DataFrame:
 def tier_of(balance: Column) -> Column:
     label = F.lit(None).cast("string")
     for text, low, high in reversed(TIERS):
-        label = F.when(balance.between(low, high), text).otherwise(label)
+        inside = balance >= low if high is None else balance.between(low, high)
+        label = F.when(inside, text).otherwise(label)
     return label
 
 

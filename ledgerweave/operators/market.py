@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.histogram import fixed_histogram
+from ledgerweave.functions.ordered import keep_first
 from ledgerweave.functions.scalars import days_between, exact_sum, month_text, trimmed_number, units
 
 # Resale buckets with their upper bound in days, and sale-row labels.
@@ -24,13 +25,16 @@ SALE_CLASS = "LIVE_DETECTED_SALE"
 
 
 def merge_ledgers(base: DataFrame, live: DataFrame, keys: Sequence[str] = ("tx", "asset")) -> DataFrame:
-    """All base rows plus the live rows whose key the base lacks."""
-    return base.unionByName(live.join(base.select(*keys), list(keys), "left_anti"))
+    """All base rows plus the live rows whose key the base lacks, in one shuffle of both."""
+    both = base.withColumn("_side", F.lit(0)).unionByName(live.withColumn("_side", F.lit(1)))
+    first = F.min("_side").over(Window.partitionBy(*keys))
+    return both.withColumn("_first", first).filter(F.col("_side") == F.col("_first")).drop("_side", "_first")
 
 
 def append_new(ledger: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("tx", "asset")) -> DataFrame:
-    """Ledger plus the rows it does not hold yet; the existing row wins."""
-    return merge_ledgers(ledger, fresh, keys)
+    """Ledger plus the rows it does not hold yet, one a key, in ledger order; the existing row wins."""
+    rest = [c for c in fresh.columns if c not in keys]
+    return merge_ledgers(ledger, keep_first(fresh, list(keys), rest), keys)
 
 
 def market_kpis(sales: DataFrame, mint_proceeds: Column, price_places: int, royalty_places: int) -> DataFrame:

@@ -134,9 +134,27 @@ def observation_rules(raw: DataFrame, floor: str, listed: str, places: int) -> D
 
 
 def append_daily(history: DataFrame, fresh: DataFrame, checkpoint: Column, day: str = "day") -> DataFrame:
-    """Append at most one row per date, never before the checkpoint and never inventing days."""
-    due = fresh.filter(F.col(day) > checkpoint)
-    return history.unionByName(due.join(history.select(day), day, "left_anti"))
+    """History plus the fresh rows of later dates; refuses a fresh date that is not later or that comes twice.
+
+    The last fresh day must be later than the checkpoint too, so a rerun with the same rows is refused as a whole.
+    """
+    times = fresh.groupBy(day).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*fresh.columns)).alias("_row"))
+    late = F.col(day) <= checkpoint
+    reason = F.when(late, F.concat(F.lit("not later than the checkpoint: "), F.col(day).cast("string"))).when(
+        F.col("_n") > 1, F.concat(F.lit("more than one row of "), F.col(day).cast("string"))
+    )
+    checked = F.when(reason.isNull(), F.col("_row")).otherwise(F.raise_error(reason))
+    return history.unionByName(times.select(checked.alias("_row")).select("_row.*"))
+
+
+def due_daily(history: DataFrame, fresh: DataFrame, checkpoint: Column, day: str = "day") -> tuple[DataFrame, DataFrame]:
+    """Fresh rows that may be appended, one a date, and the refused ones with the reason."""
+    rest = [c for c in fresh.columns if c != day]
+    times = fresh.groupBy(day).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*rest)).alias("_row"))
+    reason = F.when(F.col(day) <= checkpoint, "not later than the checkpoint").when(F.col("_n") > 1, "more than one row")
+    judged = times.withColumn("reason", reason)
+    fine = judged.filter("reason IS NULL").select(day, *[F.col(f"_row.{c}") for c in rest]).select(*fresh.columns)
+    return fine, judged.filter("reason IS NOT NULL").select(day, F.col("_n").alias("n"), "reason")
 
 
 def daily_guard(history: DataFrame, checkpoint: Column, today: Column, day: str = "day") -> DataFrame:

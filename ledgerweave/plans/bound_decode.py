@@ -31,9 +31,9 @@ def instruction(program, accounts, data):
     return F.struct(F.lit(program).alias("programIdIndex"), accounts.alias("accounts"), data.alias("data"))
 
 
-def lines(spark, sf_dir):
+def lines(sales):
     tx, asset, seller, line = [F.col(c).cast("string") for c in ("tx", "asset", "seller", "line")]
-    return V.sale_lines(spark, sf_dir).select(
+    return sales.select(
         F.concat_ws("-", F.lit("transaction"), tx, asset, seller, line).alias("tx_id"),
         F.col("tx").alias("num"),
         F.concat(F.lit("P"), asset).alias("item"),
@@ -53,8 +53,8 @@ V.VIEWS["jlines"] = """
     FROM sale_lines"""
 
 
-def market_tx(spark, sf_dir):
-    """Inbox rows with one sale each; every 23rd order burns instead, every 29th failed.
+def market_tx(sales):
+    """Inbox rows with one sale line each; every 23rd order burns instead, every 29th failed.
 
     Keys: 0 buyer, 1 seller, 2 asset, 3 and 4 token accounts, 5 marketplace, 6 system, 7 token
     program, 8 and 9 royalty recipients (loaded addresses).
@@ -125,7 +125,7 @@ def market_tx(spark, sf_dir):
             ),
         ).alias("meta"),
     )
-    return lines(spark, sf_dir).select(
+    return lines(sales).select(
         "tx_id",
         F.col("ts").cast("timestamp").alias("received_at"),
         (num + 1).alias("slot"),
@@ -135,7 +135,7 @@ def market_tx(spark, sf_dir):
 
 
 def market(spark, sf_dir):
-    return D.decode_tx(scan_tx(market_tx(spark, sf_dir), F.lit("2100-01-01").cast("timestamp")), "hex")
+    return D.decode_tx(scan_tx(market_tx(V.sale_lines(spark, sf_dir)), F.lit("2100-01-01").cast("timestamp")), "hex")
 
 
 V.VIEWS["events_tx"] = """
@@ -215,7 +215,7 @@ def _(spark, sf_dir):
         .otherwise(good)
     )
     shift = F.when(turn == 6, F.col("block_time") + 1).otherwise(F.col("block_time"))
-    rows = market_tx(spark, sf_dir).withColumns({"payload": damaged, "block_time": shift})
+    rows = market_tx(V.sale_lines(spark, sf_dir)).withColumns({"payload": damaged, "block_time": shift})
     return scan_tx(rows, F.lit("2001-01-01").cast("timestamp")).select("tx_id", "reason")
 
 

@@ -35,10 +35,14 @@ V.VIEWS["stated"] = """
     LEFT JOIN (SELECT asset, max(tx) AS tx FROM matched WHERE class <> 'TRANSFER' GROUP BY 1) b ON b.asset = m.asset
     WHERE rn = 1"""
 V.VIEWS["gated"] = """
-    SELECT m.*, CASE WHEN c.asset IS NULL AND m.ts <= (SELECT max(ts) FROM moves, edge WHERE seq < cut)
+    SELECT m.* EXCLUDE (act, opened),
+           CASE WHEN c.asset IS NULL AND m.ts <= act AND coalesce(opened, 0) = 0
                      THEN 'COVERED_PRE_ACTIVATION' WHEN c.asset IS NULL THEN 'APPLY' WHEN m.seq < last_seq THEN 'STALE'
                      WHEN m.seq = last_seq THEN 'DUPLICATE' ELSE 'APPLY' END AS status
-    FROM matched m LEFT JOIN cursors c ON c.asset = m.asset"""
+    FROM (SELECT *, max(CASE WHEN ts > act THEN 1 ELSE 0 END) OVER (PARTITION BY asset ORDER BY seq, tx
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS opened
+          FROM matched, (SELECT max(ts) AS act FROM moves, edge WHERE seq < cut)) m
+    LEFT JOIN cursors c ON c.asset = m.asset"""
 
 
 def restart_calls(spark, sf_dir):

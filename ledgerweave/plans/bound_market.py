@@ -38,14 +38,14 @@ def _(spark, sf_dir):
 
 @bound(
     "ledger_append",
-    """SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS sales, CAST(sum(price) AS BIGINT) AS cents
-       FROM merged GROUP BY 1""",
+    "SELECT tx, asset, buyer, seller, price, royalty FROM merged",
 )
 def _(spark, sf_dir):
-    ledger = M.append_new(V.base(spark, sf_dir), V.live(spark, sf_dir))
-    return ledger.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("date")).agg(
-        F.count(F.lit(1)).alias("sales"), F.sum("price").alias("cents")
-    )
+    """Every third fresh row comes twice, the second time with a higher price; one of each key is kept."""
+    live = V.live(spark, sf_dir)
+    twice = live.filter(F.col("tx") % 3 == 0).withColumn("price", F.col("price") + 7)
+    ledger = M.append_new(V.base(spark, sf_dir), live.unionByName(twice))
+    return ledger.select("tx", "asset", "buyer", "seller", "price", "royalty")
 
 
 @bound(
@@ -277,13 +277,45 @@ def _(spark, sf_dir):
     "daily_append_once",
     """WITH h AS (SELECT * FROM obs WHERE day <= '2000-12-31'),
             f AS (SELECT * REPLACE (listed + 1 AS listed) FROM obs WHERE day >= '2000-06-01')
-       SELECT * FROM h UNION ALL SELECT * FROM f WHERE day > (SELECT max(day) FROM h)""",
+       SELECT * FROM h UNION ALL SELECT * FROM f WHERE day > (SELECT max(day) FROM h) AND day NOT LIKE '%-15'""",
 )
 def _(spark, sf_dir):
+    history, due, _, last = daily(spark, sf_dir)
+    return S.append_daily(history, due, last)
+
+
+def daily(spark, sf_dir):
+    """History, fresh rows that may be appended, refused ones, and the checkpoint; every 15th comes twice."""
     rows = V.obs(spark, sf_dir)
     history = rows.filter(F.col("day") <= "2000-12-31")
     fresh = rows.filter(F.col("day") >= "2000-06-01").withColumn("listed", F.col("listed") + 1)
-    return S.append_daily(history, fresh, history.agg(F.max("day")).scalar())
+    twice = fresh.filter(F.col("day").endswith("-15")).withColumn("listed", F.col("listed") + 1)
+    last = history.agg(F.max("day")).scalar()
+    return history, *S.due_daily(history, fresh.unionByName(twice), last), last
+
+
+@bound(
+    "daily_append_refused",
+    """WITH f AS (SELECT day, CASE WHEN day LIKE '%-15' THEN 2 ELSE 1 END AS n FROM obs WHERE day >= '2000-06-01')
+       SELECT day, n::BIGINT AS n, CASE WHEN day <= (SELECT max(day) FROM obs WHERE day <= '2000-12-31')
+              THEN 'not later than the checkpoint' ELSE 'more than one row' END AS reason
+       FROM f WHERE n > 1 OR day <= (SELECT max(day) FROM obs WHERE day <= '2000-12-31')""",
+)
+def _(spark, sf_dir):
+    return daily(spark, sf_dir)[2]
+
+
+@bound(
+    "daily_guard",
+    """SELECT true AS history_matches_checkpoint, true AS checkpoint_not_in_future, true AS one_row_per_day, 1::BIGINT AS set
+       UNION ALL SELECT false, false, false, 2""",
+)
+def _(spark, sf_dir):
+    """The guard over a sound history, then over one with a repeated day and a checkpoint ahead of it."""
+    history, _, _, last = daily(spark, sf_dir)
+    sound = S.daily_guard(history, last, last).withColumn("set", F.lit(1).cast("bigint"))
+    broken = history.unionByName(history.filter(F.col("day").endswith("-01")))
+    return sound.unionByName(S.daily_guard(broken, F.lit("2001-06-30"), last).withColumn("set", F.lit(2).cast("bigint")))
 
 
 @bound(

@@ -59,7 +59,7 @@ def _(spark, sf_dir):
 @bound(
     "holder_tiers",
     """WITH t AS (SELECT * FROM (VALUES (1, '1-4', 1, 4), (2, '5-14', 5, 14), (3, '15-29', 15, 29),
-                    (4, '30-49', 30, 49), (5, '50-99', 50, 99), (6, '100+', 100, 1000000000)) v(ord, tier, lo, hi))
+                    (4, '30-49', 30, 49), (5, '50-99', 50, 99), (6, '100+', 100, 9223372036854775807)) v(ord, tier, lo, hi))
        SELECT CAST(ord AS BIGINT) AS ord, tier, count(assets) AS holder_count,
               CAST(coalesce(sum(assets), 0) AS BIGINT) AS supply,
               round_even(100.0::DOUBLE * coalesce(sum(assets), 0) / (SELECT count(*) FROM state WHERE burned = 0), 1)

@@ -13,11 +13,12 @@ from ledgerweave.plans.bound_inbox import freeze_point
 from ledgerweave.plans.registry import bound
 from ledgerweave.session import shared_dir
 from ledgerweave.sources.files import read_csv_contract, read_document
-from ledgerweave.sources.tables import commit_version, read_appended, read_latest
-from ledgerweave.streaming.batches import run_ledger, run_snapshot
-from ledgerweave.streaming.keyed import keyed_state
+from ledgerweave.sources.tables import commit_version, is_committed, read_appended, read_latest
+from ledgerweave.streaming.batches import finish, run_ledger, run_snapshot, stream_id
+from ledgerweave.streaming.keyed import agreed, keyed_state
 
 SLICES = 3
+FILES = 4  # files of a slice
 
 
 def workspace(spark, name):
@@ -25,44 +26,50 @@ def workspace(spark, name):
 
 
 def arrivals(spark, rows, order, path):
-    """Write rows as ``SLICES`` files in order of arrival and read them back as a stream."""
+    """Write rows as ``SLICES`` slices of ``FILES`` files in order of arrival and read them back as a stream."""
     bounds = rows.agg(F.max(order).alias("top")).scalar()
     for i in range(SLICES):
         part = F.floor(F.col(order) * SLICES / (bounds + 1)) == i
-        rows.filter(part).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        rows.filter(part).repartitionByRange(FILES, order).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
-def finish(query):
-    query.awaitTermination()
-    if query.exception():
-        raise query.exception()
-
-
-@bound("stream_snapshot", "SELECT tx_id, seq, source FROM frozen")
+@bound(
+    "stream_snapshot",
+    """SELECT 1::BIGINT AS turn, tx_id, seq, source FROM frozen UNION ALL
+       SELECT 2::BIGINT, tx_id, seq, source FROM inbox
+       WHERE status = 'pending' AND tx_id NOT IN (SELECT tx_id FROM frozen)""",
+)
 def _(spark, sf_dir):
+    """One input, two instants: what is late for the first is in the second, nothing is in both."""
     home = workspace(spark, "snapshot")
     stream = arrivals(spark, V.inbox(spark, sf_dir), "seq", f"{home}/in")
     # The frozen instant is fixed before the stream starts, as one value.
     events = V.table(spark, sf_dir, "events")
     upto = events.filter(F.col("event_id") < V.edge(spark, sf_dir)).agg(F.max("ts")).first()[0]
-    finish(run_snapshot(stream, F.lit(upto), f"{home}/out", f"{home}/checkpoint"))
-    return spark.read.parquet(f"{home}/out").select("tx_id", "seq", "source")
+    last = events.agg(F.max("ts")).first()[0]
+    turns = [run_snapshot(stream, F.lit(instant), f"{home}/tables", f"{home}/checkpoint") for instant in (upto, last)]
+    numbered = [t.select(F.lit(i).cast("bigint").alias("turn"), "tx_id", "seq", "source") for i, t in enumerate(turns, 1)]
+    return numbered[0].unionByName(numbered[1])
 
 
 @bound("stream_ledger", "SELECT tx_id, seq, source FROM inbox")
 def _(spark, sf_dir):
+    """Repeats inside a slice, and the whole input once more through a new checkpoint, change nothing."""
     home = workspace(spark, "ledger")
     rows = V.inbox(spark, sf_dir).select("tx_id", "seq", "source")
-    repeated = rows.unionByName(rows.filter(F.col("seq") % 3 == 0))
-    stream = arrivals(spark, repeated, "seq", f"{home}/in")
-    finish(run_ledger(stream, f"{home}/tables", f"{home}/checkpoint", "tx_id", "seq"))
+    first = rows.filter(F.col("seq") % 5 != 0)
+    stream = arrivals(spark, first.unionByName(first.filter(F.col("seq") % 3 == 0)), "seq", f"{home}/first")
+    finish(run_ledger(stream, f"{home}/tables", f"{home}/checkpoint-1", "tx_id", "seq"))
+    again = arrivals(spark, rows, "seq", f"{home}/second")
+    finish(run_ledger(again, f"{home}/tables", f"{home}/checkpoint-2", "tx_id", "seq"))
     return read_appended(spark, f"{home}/tables", "ledger")
 
 
 @bound(
     "stream_state",
-    "SELECT asset, latest_tx AS tx, owner, CAST(locked AS BIGINT) AS locked, CAST(burned AS BIGINT) AS burned FROM stated",
+    """SELECT asset, latest_tx AS tx, raw_owner, owner, custody_wallet, CAST(locked AS BIGINT) AS locked,
+              CAST(burned AS BIGINT) AS burned FROM stated""",
 )
 def _(spark, sf_dir):
     home = workspace(spark, "state")
@@ -71,39 +78,36 @@ def _(spark, sf_dir):
         "asset",
         "seq",
         "tx",
+        F.col("to_owner").alias("raw_owner"),
         F.when(locked, F.col("caller")).otherwise(F.col("to_owner")).alias("owner"),
+        F.when(locked, F.col("wallet")).alias("custody_wallet"),
         F.when(locked, 1).otherwise(0).cast("bigint").alias("locked"),
         F.when(F.col("class") == C.SENT, 1).otherwise(0).cast("bigint").alias("burns"),
     )
-    stream = arrivals(spark, rows, "seq", f"{home}/in")
-    # Keyed state needs the RocksDB store; one state partition per core starts no idle workers.
-    settings = {
-        "spark.sql.streaming.stateStore.providerClass": (
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-        ),
-        "spark.sql.shuffle.partitions": str(spark.sparkContext.defaultParallelism),
-    }
-    before = {name: spark.conf.get(name) for name in settings}
-    for name, value in settings.items():
-        spark.conf.set(name, value)
-    try:
-        query = (
-            keyed_state(stream)
-            .writeStream.foreachBatch(
-                lambda df, i: commit_version(spark, f"{home}/tables", i, {"updates": (df, ["asset"])})
-            )
-            .outputMode("update")
-            .option("checkpointLocation", f"{home}/checkpoint")
-            .trigger(availableNow=True)
-            .start()
-        )
-        finish(query)
-    finally:
-        for name, value in before.items():
-            spark.conf.set(name, value)
+    # A session of its own: one state partition per core starts no idle workers, and the caller's settings stay.
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    arrivals(spark, rows, "seq", f"{home}/in")
+    stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{home}/in")
+    fields = ["raw_owner", "owner", "custody_wallet", "locked"]
+
+    def commit(df, batch):
+        spark_ = df.sparkSession
+        name = stream_id(spark_, f"{home}/checkpoint")
+        if not is_committed(spark_, f"{home}/tables", name, batch):
+            commit_version(spark_, f"{home}/tables", {"updates": (agreed(df), ["asset"])}, name, batch)
+
+    finish(
+        keyed_state(stream, fields)
+        .writeStream.foreachBatch(commit)
+        .outputMode("update")
+        .option("checkpointLocation", f"{home}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
     updates = read_appended(spark, f"{home}/tables", "updates")
-    last = updates.groupBy("asset").agg(F.max(F.struct("seq", "tx", "owner", "locked", "burned")).alias("_s"))
-    return last.select("asset", *[F.col(f"_s.{c}") for c in ("tx", "owner", "locked", "burned")])
+    last = updates.groupBy("asset").agg(F.max(F.struct("seq", "tx", *fields, "burned")).alias("_s"))
+    return last.select("asset", *[F.col(f"_s.{c}") for c in ("tx", *fields, "burned")])
 
 
 @bound(

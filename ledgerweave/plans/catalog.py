@@ -14,6 +14,7 @@ for _part in [
     "bound_inbox",
     "bound_quality",
     "bound_stream",
+    "bound_live",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

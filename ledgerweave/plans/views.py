@@ -143,16 +143,18 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return keep_first(sale_lines(spark, sf_dir), ["tx", "asset"], ["line", "seller"])
+def sales(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> DataFrame:
+    """First line per (tx, asset). The date belongs to the tx, so ``dates`` is applied before the lines are compared."""
+    rows = sale_lines(spark, sf_dir)
+    return keep_first(rows if dates is None else rows.filter(dates), ["tx", "asset"], ["line", "seller"])
 
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir).filter(F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
+    return sales(spark, sf_dir, F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
 
 
 def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    later = sales(spark, sf_dir).filter(F.col("ts") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+    later = sales(spark, sf_dir, F.col("ts") >= F.lit("1999-01-01").cast("timestamp_ntz"))
     return later.withColumn("price", F.col("price") + 1)
 
 

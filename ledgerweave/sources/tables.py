@@ -2,7 +2,9 @@
 
 Every batch writes its frames under its own version and then one commit row. Readers follow
 commits only, so a batch that stopped half-way is invisible, and running it again overwrites what
-it left behind.
+it left behind. Versions count up by one, independent of who writes; a commit row also names the
+stream and the micro-batch it came from, so a stream can tell what it has committed already. One
+writer at a time is assumed.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 COMMITS = "commits"
+COMMIT_ROW = "stream string, batch bigint, committed_at timestamp, version int"
 
 
 def sorted_write(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -22,25 +25,50 @@ def sorted_write(df: DataFrame, path: str, keys: Sequence[str]) -> None:
 
 
 def commit_version(
-    spark: SparkSession, root: str, version: int, frames: dict[str, tuple[DataFrame, Sequence[str]]]
-) -> None:
-    """Write each (frame, sort keys) under the version, then commit them in one step."""
+    spark: SparkSession,
+    root: str,
+    frames: dict[str, tuple[DataFrame, Sequence[str]]],
+    stream: str | None = None,
+    batch: int | None = None,
+) -> int:
+    """Write each (frame, sort keys) under the next version, then commit them in one step."""
+    last = latest_version(spark, root)
+    version = 0 if last is None else last + 1
     for name, (df, keys) in frames.items():
         sorted_write(df, f"{root}/{name}/version={version}", keys)
-    done = spark.range(1).select(F.current_timestamp().alias("committed_at"))
-    done.coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/version={version}")
+    row = spark.range(1).select(
+        F.lit(stream).cast("string").alias("stream"),
+        F.lit(batch).cast("bigint").alias("batch"),
+        F.current_timestamp().alias("committed_at"),
+    )
+    row.coalesce(1).write.mode("overwrite").parquet(f"{root}/{COMMITS}/version={version}")
+    return version
 
 
-def committed_versions(spark: SparkSession, root: str) -> DataFrame | None:
+def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """The table at ``path``; None only if there is no such folder. Any other trouble is the caller's to know."""
     try:
-        return spark.read.parquet(f"{root}/{COMMITS}").select("version")
-    except AnalysisException:
+        reader = spark.read if schema is None else spark.read.schema(schema)
+        return reader.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
 
 
+def commits(spark: SparkSession, root: str) -> DataFrame | None:
+    return _read(spark, f"{root}/{COMMITS}", COMMIT_ROW)
+
+
 def latest_version(spark: SparkSession, root: str) -> int | None:
-    versions = committed_versions(spark, root)
-    return None if versions is None else versions.agg(F.max("version")).first()[0]
+    rows = commits(spark, root)
+    return None if rows is None else rows.agg(F.max("version")).first()[0]
+
+
+def is_committed(spark: SparkSession, root: str, stream: str, batch: int) -> bool:
+    """Has this micro-batch of this stream been committed?"""
+    rows = commits(spark, root)
+    return rows is not None and not rows.filter((F.col("stream") == stream) & (F.col("batch") == batch)).isEmpty()
 
 
 def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
@@ -50,11 +78,11 @@ def read_latest(spark: SparkSession, root: str, name: str) -> DataFrame | None:
 
 
 def read_appended(spark: SparkSession, root: str, name: str, before: int | None = None) -> DataFrame | None:
-    """A table that every version adds to: the rows of all committed versions."""
-    versions = committed_versions(spark, root)
+    """A table that versions add to: the rows of all committed versions, None if none has any."""
+    versions = commits(spark, root)
     if versions is None:
         return None
     if before is not None:
         versions = versions.filter(F.col("version") < before)
-    rows = spark.read.option("basePath", f"{root}/{name}").parquet(f"{root}/{name}")
-    return rows.join(versions, "version", "left_semi").drop("version")
+    rows = _read(spark, f"{root}/{name}")
+    return None if rows is None else rows.join(versions.select("version"), "version", "left_semi").drop("version")

@@ -1,79 +1,182 @@
-"""Micro-batches of raw transactions reduced with the batch operators and committed exactly once."""
+"""Arrivals are landed in an inbox table first; batches are reduced from the inbox, never from the stream.
+
+A stream only appends: every arrival goes into the inbox, insert-or-ignore, whatever its time. A batch is what is pending
+in the inbox at an instant S. Rows that arrive after S stay pending and are in the batch of a later instant.
+"""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.functions.ordered import keep_first
-from ledgerweave.operators.inbox import exclude_ledgered
+from ledgerweave.operators.inbox import COMMITTED, batch_manifest
 from ledgerweave.plans.live_batch import empty_state, reduce_batch
 from ledgerweave.session import settled
-from ledgerweave.sources.tables import commit_version, latest_version, read_appended, read_latest
+from ledgerweave.sources.tables import commit_version, is_committed, read_appended, read_latest
 from ledgerweave.sources.tx_json import scan_tx
 
 
 class UnresolvedBatch(RuntimeError):
-    """The batch holds rows or movements that must not be guessed; nothing was committed."""
+    """The batch holds rows or movements that must not be guessed; no table of the batch was committed."""
+
+
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """Identity of the stream that keeps its progress in ``checkpoint``; a new checkpoint is a new stream."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata").first()[0])["id"]
+
+
+def append_once(
+    df: DataFrame, root: str, key: str, order: str, name: str, stream: str | None = None, batch: int | None = None
+) -> None:
+    """Insert-or-ignore of one micro-batch into an append-only table.
+
+    ``order`` is a value a repeated key repeats; the table is kept in its order, so only the part
+    the batch overlaps is read back. A micro-batch that has been committed is skipped.
+    """
+    spark: SparkSession = df.sparkSession
+    if stream is not None and is_committed(spark, root, stream, batch):
+        return
+    fresh = settled(keep_first(df, [key], [c for c in df.columns if c != key]))
+    low, high = fresh.agg(F.min(order), F.max(order)).first()
+    held = read_appended(spark, root, name)
+    if held is not None and low is not None:
+        fresh = fresh.join(held.filter(F.col(order).between(low, high)).select(key), key, "left_anti")
+    commit_version(spark, root, {name: (fresh, [order, key])}, stream, batch)
+
+
+def run_ledger(
+    stream: DataFrame, root: str, checkpoint: str, key: str, order: str, name: str = "ledger"
+) -> StreamingQuery:
+    """Append everything that has arrived, micro-batch by micro-batch, then stop."""
 
+    def land(df: DataFrame, batch: int) -> None:
+        append_once(df, root, key, order, name, stream_id(df.sparkSession, checkpoint), batch)
 
-def commit_batch(
-    arrivals: DataFrame,
-    version: int,
+    return (
+        stream.writeStream.foreachBatch(land)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def finish(query: StreamingQuery) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def run_snapshot(stream: DataFrame, upto: Column, root: str, checkpoint: str) -> DataFrame:
+    """Land all arrivals, then freeze the batch at ``upto``: pending rows that no earlier snapshot has taken.
+
+    Rows are ``tx_id, received_at, seq, status, ...``. Returns the rows of this snapshot.
+    """
+    spark = stream.sparkSession
+    finish(run_ledger(stream, f"{root}/inbox", checkpoint, "tx_id", "seq", "rows"))
+    rows = read_appended(spark, f"{root}/inbox", "rows")
+    frozen = rows.filter((F.col("status") == "pending") & (F.col("received_at") <= upto))
+    taken = read_appended(spark, f"{root}/snapshots", "ids")
+    if taken is not None:
+        frozen = frozen.join(taken, "tx_id", "left_anti")
+    frozen = settled(frozen)
+    commit_version(spark, f"{root}/snapshots", {"ids": (frozen.select("tx_id"), ["tx_id"])})
+    return frozen
+
+
+def reduce_pending(
+    spark: SparkSession,
     root: str,
     assets: DataFrame,
     snapshot: Column,
     activation: Column,
     encoding: str = "base58",
-) -> None:
-    """Reduce one micro-batch of inbox rows and commit all of its outputs together.
+) -> int | None:
+    """Reduce what is pending in the inbox at ``snapshot`` and commit all outputs together; None if nothing is.
 
-    A batch id that has been committed is skipped, transactions of earlier batches are left out,
-    and any unresolved case stops the batch before a single table is written.
+    One version holds the state, cursors, new sales, new ledger rows and counters, the manifest (the ids of the batch,
+    those the ledger held already among them, so that they are acknowledged again) and a checkpoint row that sums it up.
+    Unresolved cases go to the ``quarantine`` table with their reasons, and nothing else is committed.
     """
-    spark = arrivals.sparkSession
-    done = latest_version(spark, root)
-    if done is not None and version <= done:
-        return
-    state = read_latest(spark, root, "state")
-    cursors = read_latest(spark, root, "cursors")
-    sold = read_appended(spark, root, "sales")
-    ledger = read_appended(spark, root, "ledger")
+    inbox = read_appended(spark, f"{root}/inbox", "rows")
+    if inbox is None:
+        return None
+    tables = f"{root}/tables"
+    manifest = read_appended(spark, tables, "manifest")
+    batch = inbox.filter(F.col("received_at") <= snapshot)
+    if manifest is not None:
+        batch = batch.join(manifest.select("tx_id"), "tx_id", "left_anti")
+    scanned = settled(scan_tx(batch, snapshot))
+    low, high, total = scanned.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
+    if not total:
+        return None
+    state = read_latest(spark, tables, "state")
+    cursors = read_latest(spark, tables, "cursors")
+    sold = read_appended(spark, tables, "sales")
+    ledger = read_appended(spark, tables, "ledger")
     state = empty_state(assets) if state is None else state
     if cursors is None:
         cursors = spark.createDataFrame([], "asset string, last_seq bigint, last_tx string")
-    first = keep_first(arrivals, ["tx_id"], ["received_at"])
-    sold = spark.createDataFrame([], "tx string, asset string, seq bigint") if sold is None else sold
-    scanned = settled(scan_tx(first, snapshot))
-    low, high = scanned.agg(F.min("seq"), F.max("seq")).first()
-    if low is not None:
-        # A repeated transaction has its old sequence number, and both tables are written in that
-        # order, so file statistics leave most of the past unread.
-        nearby = F.col("seq").between(low, high)
-        sold = sold.filter(nearby)
-        if ledger is not None:
-            held = ledger.filter(nearby).select(F.col("tx").alias("tx_id"))
-            scanned = exclude_ledgered(scanned, held).filter("reduce").drop("reduce", "note")
-    result = reduce_batch(scanned.filter(F.col("reason").isNull()), state, cursors, sold, activation, encoding)
-    problems = (
-        result.unresolved.select(F.col("tx"), "reason")
-        .unionByName(scanned.filter(F.col("reason").isNotNull()).select(F.col("tx_id").alias("tx"), "reason"))
-        .unionByName(result.conflicts.select(F.col("asset").alias("tx"), F.lit("same sequence conflict").alias("reason")))
+    # A repeated transaction has its old sequence number, and both tables are written in that
+    # order, so file statistics leave most of the past unread.
+    nearby = F.col("seq").between(low, high)
+    sold = spark.createDataFrame([], "tx string, asset string, seq bigint") if sold is None else sold.filter(nearby)
+    known = spark.createDataFrame([], "tx_id string")
+    if ledger is not None:
+        known = settled(ledger.filter(nearby).select(F.col("tx").alias("tx_id")))
+    fresh = scanned.join(known, "tx_id", "left_anti")
+    result = reduce_batch(fresh.filter(F.col("reason").isNull()), state, cursors, sold, activation, encoding)
+    problems = settled(
+        result.unresolved.select("tx", F.col("asset").cast("string").alias("asset"), "reason")
+        .unionByName(
+            fresh.filter(F.col("reason").isNotNull()).select(
+                F.col("tx_id").alias("tx"), F.lit(None).cast("string").alias("asset"), "reason"
+            )
+        )
+        .unionByName(
+            result.conflicts.select(
+                F.lit(None).cast("string").alias("tx"),
+                F.col("asset").cast("string").alias("asset"),
+                F.lit("same sequence conflict").alias("reason"),
+            )
+        )
+    )
+    shown = problems.limit(5).collect()
+    if shown:
+        commit_version(spark, f"{root}/quarantine", {"rows": (problems, ["reason", "tx", "asset"])})
+        raise UnresolvedBatch(
+            f"{problems.count()} cases, all in {root}/quarantine; "
+            + "; ".join(f"{r['tx'] or r['asset']}: {r['reason']}" for r in shown)
+        )
+    already = known.select("tx_id", F.lit(COMMITTED).alias("note"))
+    ids = settled(scanned.select("tx_id", "received_at", "seq").join(already, "tx_id", "left"))
+    failed = fresh.filter(F.col("tx.meta.err").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    more = (
+        failed.select(F.lit("FAILED_TX").alias("counter"), "n")
+        .unionByName(ids.agg(F.count("note").alias("n")).select(F.lit(COMMITTED).alias("counter"), "n"))
+        .filter("n > 0")
     )
-    sample = problems.limit(5).collect()
-    if sample:
-        raise UnresolvedBatch("; ".join(f"{r['tx']}: {r['reason']}" for r in sample))
-    commit_version(
+    stamp = batch_manifest(ids).crossJoin(  # both sides are one row
+        ids.agg(
+            F.max("received_at").alias("last_received_at"),
+            F.max("seq").alias("last_seq"),
+            F.count_if(F.col("note").isNull()).alias("reduced"),
+        )
+    )
+    return commit_version(
         spark,
-        root,
-        version,
+        tables,
         {
             "state": (result.state, ["asset"]),
             "cursors": (result.cursors, ["asset"]),
             "sales": (result.sales, ["seq", "tx", "asset"]),
             "ledger": (result.ledger, ["seq", "tx"]),
-            "counters": (result.counters, ["counter"]),
+            "counters": (result.counters.unionByName(more), ["counter"]),
+            "manifest": (ids, ["seq", "tx_id"]),
+            "checkpoint": (stamp.withColumn("snapshot", snapshot), ["snapshot"]),
         },
     )
 
@@ -86,57 +189,7 @@ def run_inbox(
     snapshot: Column,
     activation: Column,
     encoding: str = "base58",
-) -> StreamingQuery:
-    """Reduce everything that has arrived, batch by batch, then stop.
-
-    Arrivals after the frozen instant stay out of the batch: they are filtered here and picked up
-    by a later run with a later instant.
-    """
-    arrived = stream.filter(F.col("received_at") <= snapshot)
-    return (
-        arrived.writeStream.foreachBatch(
-            lambda df, batch_id: commit_batch(df, batch_id, root, assets, snapshot, activation, encoding)
-        )
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def run_snapshot(stream: DataFrame, upto: Column, out: str, checkpoint: str) -> StreamingQuery:
-    """Copy pending arrivals up to a frozen instant into a table."""
-    kept = stream.filter((F.col("status") == "pending") & (F.col("received_at") <= upto))
-    return (
-        kept.writeStream.format("parquet")
-        .option("path", out)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def append_once(df: DataFrame, version: int, root: str, key: str, order: str) -> None:
-    """Insert-or-ignore of one micro-batch into an append-only ledger.
-
-    ``order`` is a value a repeated key repeats; the ledger is kept in its order, so only the part
-    the batch overlaps is read back.
-    """
-    spark: SparkSession = df.sparkSession
-    done = latest_version(spark, root)
-    if done is not None and version <= done:
-        return
-    fresh = settled(keep_first(df, [key], [c for c in df.columns if c != key]))
-    low, high = fresh.agg(F.min(order), F.max(order)).first()
-    held = read_appended(spark, root, "ledger")
-    if held is not None and low is not None:
-        fresh = fresh.join(held.filter(F.col(order).between(low, high)).select(key), key, "left_anti")
-    commit_version(spark, root, version, {"ledger": (fresh, [order, key])})
-
-
-def run_ledger(stream: DataFrame, root: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    return (
-        stream.writeStream.foreachBatch(lambda df, batch_id: append_once(df, batch_id, root, key, order))
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+) -> int | None:
+    """Land everything that has arrived, then reduce what is pending at ``snapshot``; returns the version, if any."""
+    finish(run_ledger(stream, f"{root}/inbox", checkpoint, "tx_id", "slot", "rows"))
+    return reduce_pending(stream.sparkSession, root, assets, snapshot, activation, encoding)

@@ -1,68 +1,43 @@
-"""Keyed stream processor: the last applied movement of every asset as managed state.
+"""Keyed stream: the last applied movement of every asset as the state of a streaming aggregate.
 
-It covers movements only. Restart calls are keyed by user and need the set-based micro-batch.
-Rows of one key arrive in Arrow chunks and are folded chunk by chunk, so a busy asset is never
-held in memory as a whole. The state is the maximum by (seq, tx), which does not depend on the
-order inside a micro-batch; a row at or below the state of an earlier batch is late or repeated.
+It covers movements only; restart calls are keyed by user and need the set-based batch. The state is the maximum by
+(seq, tx) and a sticky burn flag, so it does not depend on the order of arrival, needs no Python, and rows of a busy asset
+collapse before the shuffle. Two transactions at one sequence number of an asset are a conflict: their number of distinct
+ids at the last sequence number cannot be one, and ``agreed`` fails the micro-batch.
 """
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
-
-STATE = StructType(
-    [
-        StructField("seq", LongType()),
-        StructField("tx", LongType()),
-        StructField("owner", StringType()),
-        StructField("locked", LongType()),
-        StructField("burned", LongType()),
-    ]
-)
-OUTPUT = "asset bigint, seq bigint, tx bigint, owner string, locked bigint, burned bigint, applied bigint, late bigint"
-
+from pyspark.sql import functions as F
 
-class AssetProcessor(StatefulProcessor):
-    """Input columns: asset, seq, tx, owner, locked, burns."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._last = handle.getValueState("last", STATE)
+class ConflictingMoves(RuntimeError):
+    """Two transactions claim one sequence number of an asset."""
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        before = self._last.get() if self._last.exists() else None
-        floor = before[0] if before else -1
-        best, burned, applied, late = before, (before[4] if before else 0), 0, 0
-        for chunk in rows:
-            fresh = chunk[chunk["seq"] > floor]
-            applied += len(fresh)
-            late += len(chunk) - len(fresh)
-            if len(fresh):
-                burned = max(burned, int(fresh["burns"].max()))
-                top = fresh.sort_values(["seq", "tx"]).iloc[-1]
-                if best is None or (int(top["seq"]), int(top["tx"])) > (best[0], best[1]):
-                    owner = top["owner"] if isinstance(top["owner"], str) else None
-                    best = (int(top["seq"]), int(top["tx"]), owner, int(top["locked"]), 0)
-        if best is not None:
-            best = (*best[:4], burned)
-            self._last.update(best)
-            row = [key[0], *best, applied, late]
-            yield pd.DataFrame([row], columns=[c.split()[0] for c in OUTPUT.split(", ")])
 
-    def close(self) -> None:
-        pass
+def keyed_state(moves: DataFrame, fields: list[str]) -> DataFrame:
+    """Streaming frame of state rows. Input: asset, seq, tx, burns and the state ``fields``."""
+    last = F.max(F.struct("seq", "tx", *fields))
+    # The smallest and largest id at the last sequence number, each as a maximum by (seq, id).
+    low = F.max(F.struct("seq", (-F.col("tx")).alias("n")))
+    state = moves.groupBy("asset").agg(
+        last.alias("_s"), low.alias("_l"), F.max("burns").alias("burned"), F.count(F.lit(1)).alias("seen")
+    )
+    return state.select(
+        "asset",
+        "_s.seq",
+        "_s.tx",
+        *[f"_s.{c}" for c in fields],
+        "burned",
+        "seen",
+        (F.col("_s.tx") != -F.col("_l.n")).alias("conflict"),
+    )
 
 
-def keyed_state(moves: DataFrame) -> DataFrame:
-    """Streaming frame of state rows: one per asset and micro-batch that touched it."""
-    # Workers receive the processor itself, so they need not have the package installed.
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return moves.groupBy("asset").transformWithStateInPandas(
-        statefulProcessor=AssetProcessor(), outputStructType=OUTPUT, outputMode="Update", timeMode="None"
-    )
+def agreed(states: DataFrame) -> DataFrame:
+    """The micro-batch's states, if no asset is in conflict."""
+    bad = states.filter("conflict").select("asset").limit(5).collect()
+    if bad:
+        raise ConflictingMoves(", ".join(str(r["asset"]) for r in bad))
+    return states.drop("conflict")

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from ledgerweave import constants as K
 from ledgerweave.operators import decode as D
 from ledgerweave.session import shared_dir
+from ledgerweave.operators.custody import cursor_gate
 from ledgerweave.sources.tables import latest_version, read_appended, read_latest
 from ledgerweave.sources.tx_json import payload_rows, scan_tx
-from ledgerweave.streaming.batches import run_inbox
+from ledgerweave.streaming.batches import UnresolvedBatch, finish, reduce_pending, run_inbox, run_ledger
+from ledgerweave.streaming.keyed import ConflictingMoves, agreed, keyed_state
 from tests import txkit as X
 
 T = 1_700_000_000
@@ -50,13 +52,12 @@ def home(spark):
     return f"{shared_dir(spark)}/live-{uuid.uuid4().hex}"
 
 
-def run(spark, home, rows):
+def run(spark, home, rows, upto="2100-01-01"):
     frame(spark, rows).coalesce(1).write.mode("append").parquet(f"{home}/in")
     assets = spark.createDataFrame([(a,) for a in "ABCDE"], "asset string")
     stream = spark.readStream.schema(INBOX).parquet(f"{home}/in")
-    far, past = F.lit("2100-01-01").cast("timestamp"), F.lit("2000-01-01").cast("timestamp")
-    query = run_inbox(stream, f"{home}/tables", f"{home}/checkpoint", assets, far, past)
-    query.awaitTermination()
+    past = F.lit("2000-01-01").cast("timestamp")
+    return run_inbox(stream, home, f"{home}/checkpoint", assets, F.lit(upto).cast("timestamp"), past)
 
 
 def state(spark, home):
@@ -91,10 +92,84 @@ def test_batches(spark, home):
     counters = {r["counter"]: r["n"] for r in read_latest(spark, tables, "counters").collect()}
     assert counters["MOVEMENT_STALE"] == 1 and counters["SALE"] == 2 and counters["RESTART_ASSET_UPDATES"] == 1
 
-    with pytest.raises(Exception, match="sent without burn instruction"):
+    ids = [r["tx_id"] for r in read_appended(spark, tables, "manifest").collect()]
+    assert sorted(ids) == sorted({r[0] for r in FIRST + SECOND}), "each arrival is acknowledged once"
+
+    with pytest.raises(UnresolvedBatch, match="sent without burn instruction"):
         run(spark, home, BROKEN)
     assert latest_version(spark, tables) == 1
     assert state(spark, home) == s
+    kept = read_appended(spark, f"{home}/quarantine", "rows").collect()
+    assert [(r["tx"], r["asset"], r["reason"]) for r in kept] == [("vanish", "C", "sent without burn instruction")]
+
+
+def test_late_arrivals_wait_for_a_later_instant(spark):
+    home = f"{shared_dir(spark)}/late-{uuid.uuid4().hex}"
+    first, second = FIRST[0], FIRST[2]
+    between = dt.datetime.fromtimestamp((first[1] + second[1]) / 2, dt.timezone.utc).strftime("%Y-%m-%d %H:%M:%S")
+    assert run(spark, home, [first, second], between) == 0
+    assert [r["tx"] for r in read_appended(spark, f"{home}/tables", "ledger").collect()] == ["lock-a"]
+    assert reduce_again(spark, home) == 1
+    assert sorted(r["tx"] for r in read_appended(spark, f"{home}/tables", "ledger").collect()) == ["lock-a", "sale-b"]
+    assert reduce_again(spark, home) is None, "nothing is pending any more"
+
+
+def reduce_again(spark, home):
+    assets = spark.createDataFrame([(a,) for a in "ABCDE"], "asset string")
+    far, past = F.lit("2100-01-01").cast("timestamp"), F.lit("2000-01-01").cast("timestamp")
+    return reduce_pending(spark, home, assets, far, past)
+
+
+def test_new_checkpoint_loses_nothing(spark):
+    home = f"{shared_dir(spark)}/fresh-{uuid.uuid4().hex}"
+    for turn, rows in enumerate([[("a", 1)], [("b", 2)], [("b", 2), ("c", 3)]]):
+        source = f"{home}/in-{turn}"
+        spark.createDataFrame(rows, "tx string, seq bigint").write.parquet(source)
+        stream = spark.readStream.schema("tx string, seq bigint").parquet(source)
+        finish(run_ledger(stream, f"{home}/tables", f"{home}/checkpoint-{turn}", "tx", "seq"))
+    assert sorted(r["tx"] for r in read_appended(spark, f"{home}/tables", "ledger").collect()) == ["a", "b", "c"]
+
+
+def test_unreadable_commits_are_an_error(spark):
+    home = f"{shared_dir(spark)}/torn-{uuid.uuid4().hex}"
+    assert latest_version(spark, home) is None
+    spark.createDataFrame([("x",)], "value string").write.text(f"{home}/commits/version=0")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        latest_version(spark, home)
+
+
+def test_conflicting_moves_stop_the_stream(spark):
+    rows = spark.createDataFrame([(1, 5, 7, "u", 0), (1, 5, 8, "v", 0), (2, 5, 7, "u", 1), (2, 4, 9, "w", 0)], "asset bigint, seq bigint, tx bigint, owner string, burns bigint")
+    with pytest.raises(ConflictingMoves, match="^1$"):
+        agreed(keyed_state(rows, ["owner"]))
+    got = agreed(keyed_state(rows.filter("asset = 2"), ["owner"])).collect()
+    assert [tuple(r) for r in got] == [(2, 5, 7, "u", 1, 2)]
+
+
+def test_gate_moves_its_cursor_inside_a_batch(spark):
+    """Against a fold that keeps a cursor while it walks the batch."""
+    import random
+
+    rng = random.Random(3)
+    moves = [(a, s, f"t{s:03d}", rng.randint(0, 9)) for a in "abcdef" for s in rng.sample(range(60), 15)]
+    cursors = {"a": (20, "t020"), "b": (55, "t999")}
+    expected, held = {}, dict(cursors)
+    for a, s, t, ts in sorted(moves, key=lambda m: (m[1], m[2])):
+        if a not in held:
+            status = "COVERED_PRE_ACTIVATION" if ts <= 7 else "APPLY"
+        elif s < held[a][0]:
+            status = "STALE"
+        elif s == held[a][0]:
+            status = "DUPLICATE" if t == held[a][1] else "CONFLICT"
+        else:
+            status = "APPLY"
+        if status == "APPLY":
+            held[a] = (s, t)
+        expected[a, t] = status
+    df = spark.createDataFrame(moves, "asset string, seq bigint, tx string, ts int")
+    seen = spark.createDataFrame([(a, *c) for a, c in cursors.items()], "asset string, last_seq bigint, last_tx string")
+    got = {(r["asset"], r["tx"]): r["status"] for r in cursor_gate(df, seen, F.lit(7)).collect()}
+    assert got == expected and {"COVERED_PRE_ACTIVATION", "APPLY", "STALE"} <= set(got.values())
 
 
 def test_pushed_bodies(spark):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import running_total
@@ -167,11 +167,17 @@ def daily_guard(history: DataFrame, checkpoint: Column, today: Column, day: str
     )
 
 
-def series_rules(rows: DataFrame, day: str) -> DataFrame:
-    """Uniqueness of the series key; a series keyed by unique dates is ordered by its key."""
-    return rows.agg(
+def series_rules(rows: DataFrame, day: str, place: str) -> DataFrame:
+    """Is the published series one row per day, in the order of its days? ``place`` is a row's position in it.
+
+    One row per day, so one small window.
+    """
+    before = F.lag(day).over(Window.orderBy(place))
+    steps = rows.select(day, (before >= F.col(day)).alias("_back"))
+    return steps.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_distinct(day).alias("distinct_days"),
         F.min(day).alias("first_day"),
         F.max(day).alias("last_day"),
-    ).withColumn("ok", F.col("n") == F.col("distinct_days"))
+        F.count_if(F.coalesce(F.col("_back"), F.lit(False))).alias("out_of_order"),
+    ).withColumn("ok", (F.col("n") == F.col("distinct_days")) & (F.col("out_of_order") == 0))

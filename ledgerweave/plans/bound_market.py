@@ -1,5 +1,6 @@
 """Sale-ledger and time-series queries over the test tables."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import keep_first
@@ -320,8 +321,19 @@ def _(spark, sf_dir):
 
 @bound(
     "dq_series",
-    """SELECT count(*) AS n, count(DISTINCT day) AS distinct_days, min(day) AS first_day, max(day) AS last_day,
-              count(*) = count(DISTINCT day) AS ok FROM obs""",
+    """WITH o AS (SELECT *, row_number() OVER (ORDER BY day) AS place FROM obs),
+            b AS (SELECT *, lag(day) OVER (ORDER BY place) AS d FROM
+                  (SELECT day, CASE WHEN place = 7 THEN 3.5 ELSE place END AS place FROM o
+                   UNION ALL SELECT day, place + 0.2 FROM o WHERE day LIKE '%-01'))
+       SELECT 1::BIGINT AS set, count(*) AS n, count(DISTINCT day) AS distinct_days, min(day) AS first_day,
+              max(day) AS last_day, 0::BIGINT AS out_of_order, true AS ok FROM obs
+       UNION ALL SELECT 2, count(*), count(DISTINCT day), min(day), max(day), count(*) FILTER (d >= day), false FROM b""",
 )
 def _(spark, sf_dir):
-    return S.series_rules(V.obs(spark, sf_dir), "day")
+    """A sound series, then one with a row out of place and repeated days."""
+    whole = Window.orderBy("day")  # one row per day
+    placed = V.obs(spark, sf_dir).select("day", F.row_number().over(whole).cast("double").alias("place"))
+    moved = placed.withColumn("place", F.when(F.col("place") == 7, 3.5).otherwise(F.col("place")))
+    broken = moved.unionByName(placed.filter(F.col("day").endswith("-01")).withColumn("place", F.col("place") + 0.2))
+    rules = [S.series_rules(x, "day", "place").withColumn("set", F.lit(i).cast("bigint")) for i, x in enumerate((placed, broken), 1)]
+    return rules[0].unionByName(rules[1])

@@ -14,6 +14,7 @@ from ledgerweave.plans.bound_inbox import HASH
 from ledgerweave.plans.bound_market import PRICE, ROYALTY, merged
 from ledgerweave.plans.bound_state import mints
 from ledgerweave.plans.registry import bound
+from ledgerweave.session import settled
 
 
 def kpi_sql(source):
@@ -64,7 +65,10 @@ def _(spark, sf_dir):
        SELECT rule, CAST(a AS DOUBLE) AS left, CAST(a AS DOUBLE) AS right, true AS ok FROM r""",
 )
 def _(spark, sf_dir):
-    states, as_of, sales = V.state(spark, sf_dir), V.clock(spark, sf_dir), merged(spark, sf_dir)
+    # Both derived tables are computed once; the rules then read what was written.
+    states = settled(V.state(spark, sf_dir))
+    sales = settled(merged(spark, sf_dir).select("asset", "buyer", "ts", "price", "royalty"))
+    as_of = V.clock(spark, sf_dir)
     kpi = H.state_kpis(states, as_of)
     tiers = H.holder_tiers(states)
     monthly, market = M.monthly_activity(sales, PRICE, ROYALTY), M.market_kpis(sales, F.lit(0.0), PRICE, ROYALTY)

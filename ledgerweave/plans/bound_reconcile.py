@@ -75,7 +75,7 @@ def delta(spark, sf_dir):
 
 
 def snap(spark, sf_dir, cut):
-    early = V.sales(spark, sf_dir).filter(F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
+    early = V.sales(spark, sf_dir, F.col("ts") < F.lit(cut).cast("timestamp_ntz"))
     last = keep_last(early.select("asset", "ts", "tx", "buyer", "market"), ["asset"], ["ts", "tx"])
     burned = F.col("market") == "RF"
     return last.select(

@@ -241,7 +241,7 @@ _zero = ", ".join(
         SELECT s.set_id, {_zero}, {_days.format('lo')} AS oldest_lock, {_days.format('hi')} AS newest_lock,
                {_days.format('act')} AS latest_activity,
                CASE WHEN coalesce(assets, 0) = 0 THEN 0.0::DOUBLE ELSE 100.0::DOUBLE * locked / assets END AS locked_pct,
-               100.0::DOUBLE * coalesce(assets, 0) / (SELECT count(*) FROM state WHERE burned = 0) AS supply_pct,
+               100.0::DOUBLE * coalesce(assets, 0) / (SELECT count(owner) FROM state WHERE burned = 0) AS supply_pct,
                coalesce(minted, 0) * 1.5::DOUBLE AS mint_spend
         FROM (SELECT DISTINCT set_id FROM sets) s LEFT JOIN f ON f.set_id = s.set_id
         LEFT JOIN c ON c.set_id = s.set_id LEFT JOIN o ON o.set_id = s.set_id""",
@@ -253,7 +253,7 @@ def _(spark, sf_dir):
         W.set_holdings(dated, members),
         mints(spark, sf_dir),
         members,
-        states.agg(F.count_if(F.col("burned") == 0)).scalar(),
+        states.agg(F.count_if((F.col("burned") == 0) & F.col("owner").isNotNull())).scalar(),
         H.activity_bucket(F.col("locked"), F.col("activity_ts"), F.col("_as_of")),
         V.CATEGORIES,
         H.ACTIVITY_LABELS,

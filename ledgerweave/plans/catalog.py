@@ -15,6 +15,7 @@ for _part in [
     "bound_quality",
     "bound_stream",
     "bound_live",
+    "bound_guards",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

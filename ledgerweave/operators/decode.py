@@ -68,6 +68,25 @@ def _resolve(inst: Column, outer: Column, keys: Column, decode, programs: Sequen
     )
 
 
+def with_keys(scanned: DataFrame, *parts: str) -> DataFrame:
+    """Time, success and account keys of scanned transactions, and the raw ``parts`` that are read later.
+
+    Parts: ``signers``, ``calls`` (raw outer and inner instructions) and ``balances``. A part that is not named is not
+    parsed: the one-row generator behind ``stage`` would otherwise keep it alive.
+    """
+    tx = F.col("tx")
+    inst, groups = f"array<{_INST}>", f"array<struct<index:int,instructions:array<{_INST}>>>"
+    columns = {"ts": F.timestamp_seconds(tx["blockTime"]), "ok": tx["meta"]["err"].isNull(), "keys": account_keys(tx)}
+    if "signers" in parts:
+        columns["signers"] = signers(tx)
+    if "calls" in parts:
+        columns["_outer"] = _or_empty(tx["transaction"]["message"]["instructions"], inst)
+        columns["_inner"] = _or_empty(tx["meta"]["innerInstructions"], groups)
+    if "balances" in parts:
+        columns |= {"pre": tx["meta"]["preTokenBalances"], "post": tx["meta"]["postTokenBalances"]}
+    return stage(scanned.select("tx_id", "seq", "tx"), columns, keep=["tx_id", "seq"])
+
+
 def decode_tx(scanned: DataFrame, encoding: str = "base58", programs: Sequence[str] | None = None) -> DataFrame:
     """Add keys, signers and calls to scanned transactions.
 
@@ -75,23 +94,12 @@ def decode_tx(scanned: DataFrame, encoding: str = "base58", programs: Sequence[s
     whose program index is out of range is dropped, and so is an account whose index is.
     ``programs`` limits data decoding to the programs that are read later.
     """
+    return with_calls(with_keys(scanned, "signers", "calls", "balances"), encoding, programs)
+
+
+def with_calls(staged: DataFrame, encoding: str = "base58", programs: Sequence[str] | None = None) -> DataFrame:
+    """Resolve the raw instructions of ``with_keys(..., "calls")``."""
     decode = {"base58": base58_to_binary, "hex": F.unhex}[encoding]
-    tx = F.col("tx")
-    inst, groups = f"array<{_INST}>", f"array<struct<index:int,instructions:array<{_INST}>>>"
-    staged = stage(
-        scanned.select("tx_id", "seq", "tx"),
-        {
-            "ts": F.timestamp_seconds(tx["blockTime"]),
-            "ok": tx["meta"]["err"].isNull(),
-            "keys": account_keys(tx),
-            "signers": signers(tx),
-            "_outer": _or_empty(tx["transaction"]["message"]["instructions"], inst),
-            "_inner": _or_empty(tx["meta"]["innerInstructions"], groups),
-            "pre": tx["meta"]["preTokenBalances"],
-            "post": tx["meta"]["postTokenBalances"],
-        },
-        keep=["tx_id", "seq"],
-    )
     keys = F.col("keys")
     outer = F.transform("_outer", lambda inst, i: _resolve(inst, i, keys, decode, programs))
     inner = F.flatten(
@@ -104,7 +112,7 @@ def decode_tx(scanned: DataFrame, encoding: str = "base58", programs: Sequence[s
         )
     )
     kept = F.filter(F.concat(outer, inner), lambda c: c["program"].isNotNull() & c["text"].isNotNull())
-    called = stage(staged, {"calls": kept}, keep=["tx_id", "seq", "ts", "ok", "keys", "signers", "pre", "post"])
+    called = stage(staged, {"calls": kept}, keep=[c for c in staged.columns if c not in ("_outer", "_inner")])
     return called.withColumn("undecodable", _undecodable(programs))
 
 
@@ -245,9 +253,14 @@ def burn_named(calls: Column, asset: Column) -> Column:
 
 
 def movement_rows(moved: DataFrame, assets: DataFrame | None = None) -> DataFrame:
-    """One row per movement of a known asset; an owner is set only where it is the only one."""
+    """One row per movement of a known asset; an owner is set only where it is the only one.
+
+    ``burn_ok`` is there if the transactions carry their calls.
+    """
     only = lambda c: F.when(F.size(c) == 1, F.get(c, 0))
-    rows = moved.select("tx_id", "seq", "ts", "ok", "calls", F.explode("movements").alias("_m")).select(
+    called = "calls" in moved.columns
+    calls = ["calls"] if called else []
+    rows = moved.select("tx_id", "seq", "ts", "ok", *calls, F.explode("movements").alias("_m")).select(
         F.col("tx_id").alias("tx"),
         "seq",
         "ts",
@@ -258,7 +271,7 @@ def movement_rows(moved: DataFrame, assets: DataFrame | None = None) -> DataFram
         only(F.col("_m.to_owners")).alias("to_owner"),
         F.col("_m.from_owners"),
         F.col("_m.to_owners"),
-        burn_named(F.col("calls"), F.col("_m.asset")).alias("burn_ok"),
+        *([burn_named(F.col("calls"), F.col("_m.asset")).alias("burn_ok")] if called else []),
     )
     return rows if assets is None else rows.join(assets.select("asset"), "asset", "left_semi")
 

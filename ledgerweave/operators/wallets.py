@@ -130,13 +130,13 @@ def rank_against(benchmarks: DataFrame, amounts: DataFrame) -> DataFrame:
     )
 
 
-def set_trades(sales: DataFrame, sets: DataFrame) -> DataFrame:
+def set_trades(sales: DataFrame, sets: DataFrame, place: Sequence[str] = ("idx",)) -> DataFrame:
     """Trades seen from each wallet set: buy, sell, or internal when the set is on both sides.
 
-    ``matched`` marks a sell whose asset the set last bought on the market and not yet sold.
+    ``place``: columns that, with the asset and the time, name one sale; the position index or the transaction.
     """
     members = sets.select("set_id", "wallet").distinct()
-    cols = ["idx", "asset", "ts", "price"]
+    cols = [*place, "asset", "ts", "price"]
     one, none = F.lit(1), F.lit(0)
     bought = sales.join(members, sales["buyer"] == members["wallet"]).select(
         "set_id", *cols, one.alias("bought"), none.alias("sold")
@@ -159,15 +159,18 @@ def set_trades(sales: DataFrame, sets: DataFrame) -> DataFrame:
     )
 
 
-def match_resales(trades: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Add ``matched`` to the non-internal trades: the previous one of that asset was a buy."""
+def match_resales(trades: DataFrame, order: Sequence[str] = ("idx",), chunk: Column | None = None) -> DataFrame:
+    """Add ``matched`` to the non-internal trades: the previous one of that asset was a buy.
+
+    ``chunk`` rises with the first of the ``order`` columns and bounds what one task walks.
+    """
     outside = trades.filter(F.col("kind") != "internal")
     placed = exclusive_prefix(
         outside,
         ["set_id", "asset"],
-        ["idx"],
-        F.expr(f"idx div {chunk}"),
-        maxima={"_before": F.struct("idx", "kind")},
+        list(order),
+        F.expr(f"idx div {CHUNK}") if chunk is None else chunk,
+        maxima={"_before": F.struct(*order, "kind")},
     )
     matched = (F.col("kind") == "buy") | F.coalesce(F.col("_before.kind") == "buy", F.lit(False))
     return placed.withColumn("matched", matched).drop("_before")
@@ -200,12 +203,12 @@ def set_holdings(states: DataFrame, sets: DataFrame) -> DataFrame:
     return held.join(members, held["owner"] == members["wallet"]).drop("wallet")
 
 
-def open_trail(holdings: DataFrame, trades: DataFrame) -> DataFrame:
+def open_trail(holdings: DataFrame, trades: DataFrame, order: Sequence[str] = ("idx",)) -> DataFrame:
     """Held assets without an open market purchase: the last outside trade is not a buy."""
     last = (
         trades.filter(F.col("kind") != "internal")
         .groupBy("set_id", "asset")
-        .agg(F.max(F.struct("idx", "kind")).alias("_last"))
+        .agg(F.max(F.struct(*order, "kind")).alias("_last"))
         .filter(F.col("_last.kind") == "buy")
     )
     return holdings.select("set_id", "asset").join(last.select("set_id", "asset"), ["set_id", "asset"], "left_anti")

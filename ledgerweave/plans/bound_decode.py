@@ -134,8 +134,12 @@ def market_tx(sales):
     )
 
 
+def scanned_market(spark, sf_dir):
+    return scan_tx(market_tx(V.sale_lines(spark, sf_dir)), F.lit("2100-01-01").cast("timestamp"))
+
+
 def market(spark, sf_dir):
-    return D.decode_tx(scan_tx(market_tx(V.sale_lines(spark, sf_dir)), F.lit("2100-01-01").cast("timestamp")), "hex")
+    return D.decode_tx(scanned_market(spark, sf_dir), "hex")
 
 
 V.VIEWS["events_tx"] = """
@@ -191,8 +195,12 @@ def custody_tx(spark, sf_dir):
     )
 
 
+def scanned_custody(spark, sf_dir):
+    return scan_tx(custody_tx(spark, sf_dir), F.lit("2100-01-01").cast("timestamp"))
+
+
 def custody(spark, sf_dir):
-    return D.decode_tx(scan_tx(custody_tx(spark, sf_dir), F.lit("2100-01-01").cast("timestamp")), "hex")
+    return D.decode_tx(scanned_custody(spark, sf_dir), "hex")
 
 
 @bound(
@@ -227,7 +235,7 @@ def _(spark, sf_dir):
         FROM jlines""",
 )
 def _(spark, sf_dir):
-    return market(spark, sf_dir).select("tx_id", F.array_join("keys", ",").alias("keys"))
+    return D.with_keys(scanned_market(spark, sf_dir)).select("tx_id", F.array_join("keys", ",").alias("keys"))
 
 
 @bound(
@@ -236,7 +244,8 @@ def _(spark, sf_dir):
        UNION ALL SELECT tx, CASE WHEN event_id % 17 <> 0 THEN caller END FROM events_tx""",
 )
 def _(spark, sf_dir):
-    both = market(spark, sf_dir).select("tx_id", "signers").unionByName(custody(spark, sf_dir).select("tx_id", "signers"))
+    acting = lambda scanned: D.with_keys(scanned, "signers").select("tx_id", "signers")
+    both = acting(scanned_market(spark, sf_dir)).unionByName(acting(scanned_custody(spark, sf_dir)))
     return both.select("tx_id", F.get("signers", 0).alias("actor"))
 
 
@@ -333,7 +342,7 @@ def _(spark, sf_dir):
               seller AS from_owner, CASE WHEN NOT burning THEN buyer END AS to_owner FROM jlines""",
 )
 def _(spark, sf_dir):
-    rows = D.movement_rows(D.with_movements(market(spark, sf_dir)))
+    rows = D.movement_rows(D.with_movements(D.with_keys(scanned_market(spark, sf_dir), "balances")))
     return rows.select("tx", "asset", "class", "from_owner", "to_owner")
 
 
@@ -349,7 +358,7 @@ def _(spark, sf_dir):
               false AS ambiguous FROM jlines""",
 )
 def _(spark, sf_dir):
-    held = D.positive_accounts(D.with_movements(market(spark, sf_dir)))
+    held = D.positive_accounts(D.with_movements(D.with_keys(scanned_market(spark, sf_dir), "balances")))
     return held.select("tx", "asset", "before", "after", "ambiguous")
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import keep_first
+from ledgerweave.functions.scalars import exact_sum
 from ledgerweave.operators import market as M
 from ledgerweave.operators import series as S
 from ledgerweave.plans import views as V
@@ -160,8 +161,10 @@ def _(spark, sf_dir):
        FROM j""",
 )
 def _(spark, sf_dir):
+    ntz = lambda text: F.lit(text).cast("timestamp_ntz")
+    inside = (F.col("ts") >= ntz("1996-03-01")) & (F.col("ts") < ntz("1999-04-01"))
     return S.conversion_history(
-        V.sales(spark, sf_dir), "1996-03-01", "1999-03-01", {"price": PRICE, "royalty": ROYALTY}
+        V.sales(spark, sf_dir, inside), "1996-03-01", "1999-03-01", {"price": PRICE, "royalty": ROYALTY}
     )
 
 
@@ -185,7 +188,7 @@ def _(spark, sf_dir):
     daily = (
         V.sales(spark, sf_dir)
         .groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"))
-        .agg(F.count(F.lit(1)).alias("sales"), F.sum("price").alias("cents"))
+        .agg(F.count(F.lit(1)).alias("sales"), exact_sum(F.col("price")).alias("cents"))
     )
     weekly = S.resample_sum(daily, "day", "1w", ["sales", "cents"])
     return weekly.select(
@@ -223,7 +226,8 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     rows = S.range_filter(V.obs(spark, sf_dir), "day", "1m")
     return rows.agg(
-        F.count(F.lit(1)).alias("days"), F.sum("listed").alias("listed"), F.sum("floor_units").alias("floor_units")
+        F.count(F.lit(1)).alias("days"),
+        *[exact_sum(F.col(c)).cast("bigint").alias(c) for c in ("listed", "floor_units")],  # one row per day
     )
 
 

@@ -61,6 +61,14 @@ def trades(spark, sf_dir):
     return settled(W.set_trades(sales_idx(spark, sf_dir), sets(spark, sf_dir)))
 
 
+BY_TIME = ["ts", "tx"]  # order of an asset's sales where no position index is published
+
+
+def deals_by_time(spark, sf_dir):
+    sales = V.sales(spark, sf_dir).select("tx", "asset", "ts", "buyer", "seller", "price")
+    return W.set_trades(sales, sets(spark, sf_dir), ["tx"])
+
+
 def bench_counts(spark, sf_dir):
     buys = V.sales(spark, sf_dir).groupBy("buyer").agg(F.count(F.lit(1)).alias("n"))
     mint_counts = mints(spark, sf_dir).groupBy("payer").agg(F.count(F.lit(1)).alias("n"))
@@ -159,7 +167,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     members = sets(spark, sf_dir)
     held = W.set_holdings(V.state(spark, sf_dir), members).groupBy("set_id").agg(F.count(F.lit(1)).alias("amount"))
-    deals = trades(spark, sf_dir)
+    deals = deals_by_time(spark, sf_dir)
     bought = deals.groupBy("set_id").agg(F.count_if(F.col("kind") == "buy").alias("amount"))
     minted = mints(spark, sf_dir).join(members, F.col("payer") == F.col("wallet")).groupBy("set_id")
     amounts = (
@@ -183,8 +191,9 @@ def _(spark, sf_dir):
               CAST(received - spent AS DOUBLE) / 100.0 AS net FROM flow""",
 )
 def _(spark, sf_dir):
-    deals = trades(spark, sf_dir)
-    flow = W.market_flow(deals, W.match_resales(deals))
+    deals = settled(deals_by_time(spark, sf_dir))
+    month = F.year("ts") * 12 + F.month("ts")
+    flow = W.market_flow(deals, W.match_resales(deals, BY_TIME, month))
     money = {c: F.col(c).cast("double") / 100.0 for c in ["spent", "received", "net"]}
     return flow.withColumns(money)
 
@@ -196,7 +205,8 @@ def _(spark, sf_dir):
        WHERE coalesce(last_kind, '') <> 'buy'""",
 )
 def _(spark, sf_dir):
-    return W.open_trail(W.set_holdings(V.state(spark, sf_dir), sets(spark, sf_dir)), trades(spark, sf_dir))
+    held = W.set_holdings(V.state(spark, sf_dir), sets(spark, sf_dir))
+    return W.open_trail(held, deals_by_time(spark, sf_dir), BY_TIME)
 
 
 @bound(

@@ -16,6 +16,7 @@ for _part in [
     "bound_stream",
     "bound_live",
     "bound_guards",
+    "bound_products",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

@@ -74,6 +74,20 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (epoch_micros(later) - epoch_micros(earlier)).cast("double") / F.lit(float(MICROS_PER_DAY))
 
 
+def duration_text(later: Column, earlier: Column) -> Column:
+    """Elapsed time as whole days below 60, months below 730 days, then years, with one decimal at most.
+
+    Tenths are counted in whole numbers: a month is 487 / 16 days and a year 1461 / 4.
+    """
+    days = F.greatest(F.lit(0), F.floor(days_between(later, earlier))).cast("bigint")
+    month, year = F.floor((days * 320 + 487) / 974), F.floor((days * 80 + 1461) / 2922)
+    tenths = F.when(days < 730, month).otherwise(year).cast("bigint")
+    decimal = F.when(tenths % 10 == 0, F.lit("")).otherwise(F.concat(F.lit("."), (tenths % 10).cast("string")))
+    number = F.concat(F.floor(tenths / 10).cast("string"), decimal)
+    text = F.when(days < 60, F.concat(days.cast("string"), F.lit("d"))).when(days < 730, F.concat(number, F.lit("mo")))
+    return F.when(later.isNull() | earlier.isNull(), F.lit("—")).otherwise(text.otherwise(F.concat(number, F.lit("y"))))
+
+
 def round_half_even(value: Column, digits: int) -> Column:
     """Round the exact binary value of a double, ties to even.
 

@@ -146,6 +146,13 @@ def batch_manifest(batch: DataFrame) -> DataFrame:
     )
 
 
-def recover_batch(manifest_ids: DataFrame, inbox: DataFrame) -> DataFrame:
-    """Exactly the ids of a committed manifest, with what the inbox says about each of them."""
-    return acknowledge(manifest_ids, inbox)
+def recover_batch(manifest_ids: DataFrame, stated: DataFrame) -> DataFrame:
+    """Ids of a committed manifest, to be acknowledged again after a stop between commit and acknowledgement.
+
+    ``stated`` is the one-row summary that was committed with the ids; if their count or hash differs, the query fails.
+    """
+    found = batch_manifest(manifest_ids)
+    mark = lambda df: df.select(F.concat_ws(":", F.col("n").cast("string"), "content_hash")).scalar()
+    checked = manifest_ids.withColumn("_found", mark(found)).withColumn("_stated", mark(stated))
+    wrong = F.raise_error(F.lit("the manifest's ids are not those that were committed"))
+    return checked.select(F.when(F.col("_found") == F.col("_stated"), F.col("tx_id")).otherwise(wrong).alias("tx_id"))

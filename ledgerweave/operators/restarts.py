@@ -161,24 +161,29 @@ def walk(episodes: DataFrame, calls: DataFrame, chunk: int = CHUNK) -> tuple[Dat
     )
 
 
-def _after(seq: str, tx: str, other_seq: str, other_tx: str) -> Column:
-    return (F.col(seq) > F.col(other_seq)) | (
-        (F.col(seq) == F.col(other_seq)) & F.coalesce(F.col(tx) >= F.col(other_tx), F.lit(True))
-    )
+CALLS = 256  # calls of a user that meet in one key of the pair join
+
 
+def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls: int = CALLS) -> DataFrame:
+    """Updates inside the episodes that contain an out-of-order call, one row per (call, episode).
 
-def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Updates inside the episodes that contain an out-of-order call, one row per (call, episode)."""
-    odd = spans.filter(F.col("strays_in") > 0).select("user", *EPISODE, "end_seq", "end_tx", "lock_ts", "prior_ts")
+    A user's calls are numbered, and an episode covers a range of numbers. Calls and episodes are joined by buckets of
+    numbers, so a pair is built only where it overlaps and a busy user is spread over many keys.
+    """
+    stray = spans.filter(F.col("strays_in") > 0).select(
+        "user", *EPISODE, "end_seq", "end_tx", "lock_ts", "prior_ts", "k0", (F.col("k0") + F.col("inside")).alias("_k1")
+    )
+    odd = stray.withColumn("_bucket", F.explode(F.expr(f"sequence(k0 div {calls}, (_k1 - 1) div {calls})")))
     inside = (
-        asked.select("user", "seq", "tx", "t")
-        .join(odd, "user")
+        asked.select("user", "seq", "tx", "t", "k", F.expr(f"k div {calls}").alias("_bucket"))
+        .join(odd, ["user", "_bucket"])
         .filter(
-            _after("seq", "tx", "start_seq", "start_tx")
-            & ((F.col("seq") < F.col("end_seq")) | ((F.col("seq") == F.col("end_seq")) & (F.col("tx") < F.col("end_tx"))))
+            (F.col("k") >= F.col("k0"))
+            & (F.col("k") < F.col("_k1"))
             & (F.col("t") >= F.col("lock_ts"))
             & F.coalesce(F.col("t") > F.col("prior_ts"), F.lit(True))
         )
+        .drop("_bucket", "k", "k0", "_k1")
         .withColumn("_episode", F.struct(*EPISODE))
     )
     ranked = exclusive_prefix(

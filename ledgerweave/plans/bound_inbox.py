@@ -122,7 +122,9 @@ def _(spark, sf_dir):
 
 @bound("recover_batch", "SELECT tx_id, outcome FROM acked")
 def _(spark, sf_dir):
-    return B.recover_batch(requested(spark, sf_dir), V.inbox(spark, sf_dir))
+    """The ids of a manifest, checked against its summary, and what the inbox says about each."""
+    asked = requested(spark, sf_dir)
+    return B.acknowledge(B.recover_batch(asked, B.batch_manifest(asked)), V.inbox(spark, sf_dir))
 
 
 @bound("inbox_stats", "SELECT status, count(*) AS n FROM inbox GROUP BY 1")

@@ -12,7 +12,7 @@ from ledgerweave.plans.bound_decode import market_tx
 from ledgerweave.plans.bound_stream import arrivals, workspace
 from ledgerweave.plans.registry import bound
 from ledgerweave.sources.tables import read_appended, read_latest
-from ledgerweave.streaming.batches import UnresolvedBatch, reduce_pending, run_inbox
+from ledgerweave.streaming.batches import UnresolvedBatch, recover, reduce_pending, run_inbox
 
 FIRST, LAST = "1998-01-01", "2100-01-01"
 _DONE: dict[tuple[str, str], str] = {}
@@ -97,6 +97,12 @@ def _(spark, sf_dir):
     return read_appended(spark, live(spark, sf_dir), "manifest").select("tx_id", "seq", "note")
 
 
+@bound("live_batch_recover", "SELECT tx_id FROM live_turns WHERE turn = 2")
+def _(spark, sf_dir):
+    """After a stop behind the last commit: exactly its ids again."""
+    return recover(spark, live(spark, sf_dir).removesuffix("/tables"))
+
+
 @bound(
     "live_batch_counters",
     """SELECT 'MOVEMENT_' || status AS counter, count(*) AS n FROM live_moves WHERE turn = 2 GROUP BY 1

@@ -195,6 +195,21 @@ def _(spark, sf_dir):
     )
 
 
+@bound(
+    "duration_text",
+    """WITH d AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE greatest(0, epoch_us((SELECT max(o_orderdate) FROM orders
+                  WHERE o_orderkey % 2 = 0) - INTERVAL 100 DAY) - epoch_us(o_orderdate)) // 86400000000 END AS days FROM orders)
+       SELECT id, CASE WHEN days IS NULL THEN '—' WHEN days < 60 THEN days || 'd'
+              WHEN days < 730 THEN regexp_replace(CAST(CAST((days * 320 + 487) // 974 AS DECIMAL(18, 1)) / 10 AS DECIMAL(18, 1))::VARCHAR, '[.]0$', '') || 'mo'
+              ELSE regexp_replace(CAST(CAST((days * 80 + 1461) // 2922 AS DECIMAL(18, 1)) / 10 AS DECIMAL(18, 1))::VARCHAR, '[.]0$', '') || 'y' END AS age FROM d""",
+)
+def _(spark, sf_dir):
+    orders = V.table(spark, sf_dir, "orders")
+    end = orders.filter(F.col("o_orderkey") % 2 == 0).agg(F.max("o_orderdate") - F.expr("interval 100 days")).scalar()
+    start = F.when(F.col("o_orderkey") % 9 != 0, F.col("o_orderdate"))
+    return orders.withColumn("_end", end).select(F.col("o_orderkey").alias("id"), P.duration_text(F.col("_end"), start).alias("age"))
+
+
 @bound(
     "parse_utc",
     """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 7 < 5

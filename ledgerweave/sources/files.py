@@ -25,19 +25,3 @@ def read_csv_contract(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A JSON document, pretty or compact, as one row."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-
-
-CHECKPOINTS = """
-    cutover_date string, hero_state_checkpoint string, market_checkpoint_date string, market_checkpoint_utc string,
-    floor_checkpoint_date string, webhook_inbox_checkpoint string, notes string
-"""
-MANIFEST = """
-    schema_version int, snapshot_received_at string, activation_boundary_utc string, signatures array<string>,
-    signature_count bigint, canonical_hashes map<string,string>, public_json_hashes map<string,string>,
-    reducer_counts map<string,bigint>
-"""
-CURSORS = "mint string, last_slot string, last_signature string, last_block_time_utc string"
-EVENTS = """
-    signature string, slot string, block_time_utc string, received_at string, tx_success string,
-    hero_movements string, world_calls string, quest_hero_updates string, market_sales string, source string
-"""

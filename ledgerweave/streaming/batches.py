@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.functions.ordered import keep_first
-from ledgerweave.operators.inbox import COMMITTED, batch_manifest
+from ledgerweave.operators.inbox import COMMITTED, batch_manifest, recover_batch
 from ledgerweave.plans.live_batch import empty_state, reduce_batch
 from ledgerweave.session import settled
 from ledgerweave.sources.tables import commit_version, is_committed, read_appended, read_latest
@@ -181,6 +181,12 @@ def reduce_pending(
     )
 
 
+def recover(spark: SparkSession, root: str) -> DataFrame | None:
+    """Ids of the last committed batch, read back from its manifest and checked; None before the first commit."""
+    ids = read_latest(spark, f"{root}/tables", "manifest")
+    return None if ids is None else recover_batch(ids, read_latest(spark, f"{root}/tables", "checkpoint"))
+
+
 def run_inbox(
     stream: DataFrame,
     root: str,

@@ -10,6 +10,7 @@ from ledgerweave import constants as K
 from ledgerweave.operators import decode as D
 from ledgerweave.session import shared_dir
 from ledgerweave.operators.custody import cursor_gate
+from ledgerweave.operators.inbox import batch_manifest, recover_batch
 from ledgerweave.sources.tables import latest_version, read_appended, read_latest
 from ledgerweave.sources.tx_json import payload_rows, scan_tx
 from ledgerweave.streaming.batches import UnresolvedBatch, finish, reduce_pending, run_inbox, run_ledger
@@ -192,3 +193,11 @@ def test_odd_shapes(spark):
     assert moves["two-senders"]["from_owner"] is None and moves["two-senders"]["from_owners"] == ["s1", "s2"]
     assert moves["two-senders"]["to_owner"] == "t"
     assert moves["received"]["class"] == "MINT_OR_RECEIVE_FROM_ZERO"
+
+
+def test_recovery_refuses_other_ids(spark):
+    ids = spark.createDataFrame([("a" * 25,), ("b" * 25,)], "tx_id string")
+    stated = batch_manifest(ids)
+    assert sorted(r["tx_id"][0] for r in recover_batch(ids, stated).collect()) == ["a", "b"]
+    with pytest.raises(Exception, match="not those that were committed"):
+        recover_batch(ids.limit(1), stated).collect()

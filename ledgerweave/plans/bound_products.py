@@ -11,6 +11,7 @@ from ledgerweave.operators import holders as H
 from ledgerweave.operators import launch as L
 from ledgerweave.operators import market as M
 from ledgerweave.operators import products as P
+from ledgerweave.operators import quality as Q
 from ledgerweave.operators import series as S
 from ledgerweave.operators import wallets as W
 from ledgerweave.plans import views as V
@@ -225,3 +226,142 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return part(spark, sf_dir, "mints")
+
+
+def product_rules(spark, sf_dir, change=None):
+    """Equality rules between the products of one version; ``change`` may spoil one of its tables first."""
+    names = ("documents", "assets", "mints", "sales", "wallets", "collection", "benchmarks")
+    tables = {n: part(spark, sf_dir, n) for n in names}
+    if change is not None:
+        tables = change(tables)
+    of = lambda name, value: tables["documents"].filter(F.col("name") == name).agg(F.max(value)).scalar()
+    num = lambda name, path: of(name, F.get_json_object("json", f"$.{path}").cast("double"))
+    size = lambda name: tables[name].agg(F.count(F.lit(1))).scalar()
+    one = lambda field: tables["collection"].agg(F.max(field)).scalar()
+
+    def total(name, section, field, key=None, wanted=None):
+        shape = f"array<struct<{field}:double" + (f",{key}:string" if key else "") + ">>"
+        rows = F.from_json(F.get_json_object("json", f"$.{section}"), shape)
+        kept = rows if key is None else F.filter(rows, lambda x: x[key].isin(*wanted))
+        return of(name, F.aggregate(kept, F.lit(0.0), lambda s, x: s + x[field]))
+
+    def entry(name, section, field, at):
+        rows = F.from_json(F.get_json_object("json", f"$.{section}"), f"array<struct<{field}:double>>")
+        return of(name, F.element_at(rows, at)[field])
+
+    positions = lambda *kinds: tables["wallets"].filter(F.col("kind").isin(*kinds)).agg(F.sum("n")).scalar()
+    runs = lambda kind, value: tables["benchmarks"].filter(F.col("kind") == kind).agg(F.sum(value)).scalar()
+    count, weight = F.col("repeats"), F.col("repeats") * F.col("n")
+    labels = H.ACTIVITY_LABELS
+    assets = V.table(spark, sf_dir, "part").agg(F.count(F.lit(1))).scalar()
+    state = lambda field: num("state", f"kpis.{field}")
+    market = lambda field: num("market", f"kpis.{field}")
+    return Q.rule_report(spark, [
+        ("supply and burned cover all assets", state("active_supply") + state("burned"), assets, 0),
+        ("locked share", state("locked_pct"), F.round(state("locked_assets") * 100 / state("active_supply"), 1), 0.11),
+        ("activity buckets cover the locked", total("state", "activity", "assets"), state("locked_assets"), 0),
+        ("active are the first two buckets", state("active_30d"), total("state", "activity", "assets", "bucket", labels[:2]), 0),
+        ("dormant are the last two buckets", state("dormant_1y"), total("state", "activity", "assets", "bucket", labels[-2:]), 0),
+        ("categories cover the burned", total("state", "burned_by_category", "burned"), state("burned"), 0),
+        ("burn history ends at the burned", entry("state", "burn_history", "total_burns", -1), state("burned"), 0),
+        ("tiers cover the holders", total("state", "tiers", "holder_count"), state("holders"), 0),
+        ("tiers cover the held assets", total("state", "tiers", "supply"), one("active_supply"), 0),
+        ("months cover the sales", total("market", "monthly", "sales"), market("secondary_sales"), 0),
+        ("months cover the volume", total("market", "monthly", "volume"), market("secondary_volume"), 0.05),
+        ("first sales cover all assets", total("market", "first_resale", "assets"), assets, 0),
+        ("proceeds and royalties", market("mint_plus_royalties"), market("royalties") + PROCEEDS, 1e-6),
+        ("summary has the market's sales", num("summary", "market.secondary_sales"), market("secondary_sales"), 0),
+        ("summary has the state's burned", num("summary", "state.burned"), state("burned"), 0),
+        ("latest floor ends the history", num("observation", "kpis.floor_units"), entry("observation", "history", "floor_units", -1), 0),
+        ("latest count ends the history", num("observation", "kpis.listed"), entry("observation", "history", "listed", -1), 0),
+        ("collection has the holders", one("holders"), state("holders"), 0),
+        ("collection has the locked", one("locked_assets"), state("locked_assets"), 0),
+        ("collection has the buyers", one("unique_buyers"), market("unique_buyers"), 0),
+        ("index has all assets", size("assets"), assets, 0),
+        ("index has all mints", size("mints"), one("public_mint_supply"), 0),
+        ("index has all sales", size("sales"), market("secondary_sales"), 0),
+        ("held assets are assigned once", positions("current"), one("active_supply"), 0),
+        ("mints are assigned once", positions("mint"), size("mints"), 0),
+        ("holder benchmark has all holders", runs("current", count), state("holders"), 0),
+        ("holder benchmark has all held assets", runs("current", weight), one("active_supply"), 0),
+        ("buyer benchmark has all buyers", runs("buy", count), market("unique_buyers"), 0),
+        ("buyer benchmark has all purchases", runs("buy", weight), positions("buy"), 0),
+        ("mint benchmark has all minters", runs("mint", count), one("unique_minters"), 0),
+        ("first of the top holders", entry("top_holders", "holders", "assets", 1), tables["benchmarks"].filter("kind = 'current'").agg(F.max("n")).scalar(), 0),
+        ("locked assets of the index", tables["assets"].agg(F.sum("locked")).scalar(), state("locked_assets"), 0),
+    ])
+
+
+# Rules whose value SQL gets from the source tables, with that value.
+COUNTED = {
+    "supply and burned cover all assets": "assets",
+    "activity buckets cover the locked": "locked",
+    "categories cover the burned": "burned",
+    "burn history ends at the burned": "burned",
+    "tiers cover the holders": "holders",
+    "tiers cover the held assets": "held",
+    "months cover the sales": "sales",
+    "months cover the volume": "volume",
+    "first sales cover all assets": "assets",
+    "summary has the market's sales": "sales",
+    "summary has the state's burned": "burned",
+    "collection has the holders": "holders",
+    "collection has the locked": "locked",
+    "collection has the buyers": "buyers",
+    "index has all assets": "assets",
+    "index has all mints": "mints",
+    "index has all sales": "sales",
+    "held assets are assigned once": "held",
+    "mints are assigned once": "mints",
+    "holder benchmark has all holders": "holders",
+    "holder benchmark has all held assets": "held",
+    "buyer benchmark has all buyers": "buyers",
+    "buyer benchmark has all purchases": "sales",
+    "mint benchmark has all minters": "minters",
+    "locked assets of the index": "locked",
+}
+_rows = " UNION ALL ".join("SELECT '" + r.replace("'", "''") + f"' AS rule, round(CAST({v} AS DOUBLE), 2) AS value, true AS ok FROM c" for r, v in COUNTED.items())
+RULES_SQL = f"""
+    WITH c AS (SELECT * FROM
+        (SELECT count(*) AS assets, count(*) FILTER (burned = 1) AS burned, count(*) FILTER (locked = 1) AS locked,
+                count(DISTINCT owner) FILTER (burned = 0) AS holders, count(owner) FILTER (burned = 0) AS held FROM state),
+        (SELECT count(*) AS sales, CAST(sum(price) AS DOUBLE) / 100.0 AS volume, count(DISTINCT buyer) AS buyers FROM merged),
+        (SELECT count(payer) AS mints, count(DISTINCT payer) AS minters FROM mints))
+    {_rows}"""
+
+
+@bound("dq_products", RULES_SQL)
+def _(spark, sf_dir):
+    rows = product_rules(spark, sf_dir).filter(F.col("rule").isin(*COUNTED))
+    return rows.select("rule", F.round("left", 2).alias("value"), "ok")
+
+
+@bound("dq_products_ok", "SELECT 32::BIGINT AS rules, 32::BIGINT AS ok")
+def _(spark, sf_dir):
+    return product_rules(spark, sf_dir).agg(F.count(F.lit(1)).alias("rules"), F.count_if("ok").alias("ok"))
+
+
+@bound(
+    "dq_products_broken",
+    """SELECT rule, false AS ok FROM (VALUES ('index has all sales'), ('held assets are assigned once'), ('buyer benchmark has all buyers'),
+       ('collection has the holders'), ('months cover the sales'), ('summary has the market''s sales'), ('index has all assets')) v(rule)""",
+)
+def _(spark, sf_dir):
+    """A version in which a sale, an asset and a buyer are lost, holders are off by one and sales are misstated."""
+
+    def spoil(t):
+        wrong = F.regexp_replace("json", '"secondary_sales":', '"secondary_sales":1')
+        return t | {
+            "sales": t["sales"].filter("idx > 0"),
+            "assets": t["assets"].filter("number <> 0 AND number <> 1"),
+            "wallets": t["wallets"].withColumn("n", F.when(F.col("kind") == "current", F.col("n") + 1).otherwise(F.col("n"))),
+            "benchmarks": t["benchmarks"].withColumn("repeats", F.when((F.col("kind") == "buy") & (F.col("first_rank") == 1), 0).otherwise(F.col("repeats"))),
+            "collection": t["collection"].withColumn("holders", F.col("holders") + 1),
+            "documents": t["documents"].withColumn("json", F.when(F.col("name") == "market", wrong).otherwise(F.col("json"))),
+        }
+
+    watched = [
+        "index has all sales", "held assets are assigned once", "buyer benchmark has all buyers", "collection has the holders",
+        "months cover the sales", "summary has the market's sales", "index has all assets",
+    ]
+    return product_rules(spark, sf_dir, spoil).filter(F.col("rule").isin(*watched)).select("rule", "ok")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerweave import constants as K
-from ledgerweave.functions.scalars import base58_to_binary, starts_with_hex, uint_le
+from ledgerweave.functions.scalars import base58_to_binary, iso_z, starts_with_hex, uint_le
 from ledgerweave.functions.stage import once, stage
 from ledgerweave.operators.custody import LOCK, RECEIVED, RESTART, SENT, TRANSFER, UNLOCK
 from ledgerweave.sources.tx_json import first_signature, object_field
@@ -401,6 +401,7 @@ def ledger_rows(decoded: DataFrame, assets: DataFrame | None = None) -> DataFram
     rows = decoded.select(
         F.col("tx_id").alias("tx"),
         "seq",
+        iso_z(F.col("ts")).alias("block_time"),
         F.when(F.col("ok"), 1).otherwise(0).cast("bigint").alias("tx_success"),
         label(F.transform("movements", lambda m: F.concat_ws(":", m["asset"], m["class"]))).alias("movements"),
         label(F.transform(custody_array(), lambda w: w["action"])).alias("calls"),

@@ -112,16 +112,25 @@ def direct_family(detail: Column) -> Column:
     return F.coalesce(F.try_element_at(known, detail), detail)
 
 
-def sale_rows(sales: DataFrame, places: int, royalty_places: int) -> DataFrame:
-    """Ledger rows as text: derived dates, family, fixed labels and trimmed amounts.
+def sale_rows(sales: DataFrame, assets: DataFrame, places: int, royalty_places: int) -> DataFrame:
+    """Ledger rows as text: asset number and name, derived dates, family, fixed labels and trimmed amounts.
 
-    ``sales`` carries ``price``, ``royalty`` and ``royalty_second`` in base units.
+    ``sales`` carries ``price``, ``royalty`` and ``royalty_second`` in base units, the marketplace, its detail and the
+    price method; ``assets`` (asset, number, name) is one row an asset. A number that is none is kept as it is.
     """
     wide = lambda c, p: F.col(c).cast("decimal(38,9)") / F.lit(10**p).cast("decimal(20,0)")
     first, second = wide("royalty", royalty_places), wide("royalty_second", royalty_places)
-    return sales.select(
+    number = F.col("number").try_cast("double")
+    whole = F.when(number.isNotNull(), number.cast("bigint").cast("string")).otherwise(F.col("number"))
+    named = sales.join(assets.select("asset", "number", "name"), "asset", "left")
+    return named.select(
         "tx",
         "asset",
+        F.coalesce(whole, F.lit("")).alias("number"),
+        F.coalesce("name", F.lit("")).alias("name"),
+        "marketplace",
+        F.col("method").alias("price_method"),
+        F.lit("0").alias("price_recovered"),
         F.unix_seconds(F.col("ts").cast("timestamp")).cast("string").alias("block_time"),
         F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit(".000 UTC")).alias("utc"),
         F.date_format("ts", "yyyy-MM-dd").alias("sale_date"),

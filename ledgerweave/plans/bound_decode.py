@@ -408,7 +408,7 @@ def _(spark, sf_dir):
 
 @bound(
     "tx_ledger",
-    """SELECT l.tx_id AS tx, CASE WHEN ok THEN 1 ELSE 0 END::BIGINT AS tx_success,
+    """SELECT l.tx_id AS tx, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS block_time, CASE WHEN ok THEN 1 ELSE 0 END::BIGINT AS tx_success,
               CASE WHEN NOT ok THEN '' WHEN burning THEN item || ':BURN_OR_SEND_TO_ZERO' ELSE item || ':TRANSFER' END AS movements,
               '' AS calls, CASE WHEN ok AND NOT burning THEN item || ':' || CASE place WHEN 'R' THEN 'Magic Eden V2'
                    WHEN 'A' THEN 'Tensor Marketplace' ELSE 'Tensor AMM' END ELSE '' END AS sales
@@ -416,4 +416,4 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     sold = D.with_sales(D.with_movements(market(spark, sf_dir)))
-    return D.ledger_rows(sold).select("tx", "tx_success", "movements", "calls", "sales")
+    return D.ledger_rows(sold).select("tx", "block_time", "tx_success", "movements", "calls", "sales")

@@ -80,12 +80,15 @@ def _(spark, sf_dir):
 
 @bound(
     "live_batch_ledger",
-    """SELECT tx_id AS tx, num + 1 AS seq, CASE WHEN ok THEN 1 ELSE 0 END::BIGINT AS tx_success,
+    """SELECT tx_id AS tx, num + 1 AS seq, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS block_time,
+              strftime(ts, '%Y-%m-%d') AS received, 'RAW_INBOX' AS source, CASE WHEN ok THEN 1 ELSE 0 END::BIGINT AS tx_success,
               CASE WHEN NOT ok THEN '' WHEN burning THEN item || ':BURN_OR_SEND_TO_ZERO' ELSE item || ':TRANSFER' END AS movements
        FROM live_lines""",
 )
 def _(spark, sf_dir):
-    return read_appended(spark, live(spark, sf_dir), "ledger").select("tx", "seq", "tx_success", "movements")
+    rows = read_appended(spark, live(spark, sf_dir), "ledger")
+    received = F.date_format("received_at", "yyyy-MM-dd").alias("received")
+    return rows.select("tx", "seq", "block_time", received, "source", "tx_success", "movements")
 
 
 @bound(

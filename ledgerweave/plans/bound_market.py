@@ -62,7 +62,9 @@ def _(spark, sf_dir):
 
 
 SALE_ROW_SQL = """
-    SELECT tx, asset, CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR) AS block_time,
+    SELECT tx, asset, CASE WHEN asset % 5 = 0 THEN 'n/a' ELSE coalesce(CAST(p_partkey AS VARCHAR), '') END AS number,
+           coalesce(p_type, '') AS name, substr(market, 1, 1) AS marketplace, 'by ' || substr(market, 2) AS price_method,
+           '0' AS price_recovered, CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR) AS block_time,
            strftime(ts, '%Y-%m-%d %H:%M:%S') || '.000 UTC' AS utc, strftime(ts, '%Y-%m-%d') AS sale_date,
            strftime(ts, '%Y-%m') AS sale_month, strftime(ts, '%Y') AS sale_year, market AS marketplace_detail,
            'direct_program_live' AS attribution_method, market AS direct_program_families, buyer, seller,
@@ -70,7 +72,7 @@ SALE_ROW_SQL = """
            'LIVE_DETECTED_SALE' AS sale_class, '0' AS legacy_sale,
            t(royalty) AS royalty_first, t(royalty // 9) AS royalty_second, t(royalty + royalty // 9) AS royalty_total,
            CASE WHEN royalty > 0 THEN '1' ELSE '0' END AS royalty_paid
-    FROM sales"""
+    FROM sales LEFT JOIN part ON p_partkey = asset"""
 
 
 def _trim_sql(expr: str) -> str:
@@ -90,8 +92,18 @@ for _expr in ["royalty + royalty // 9", "royalty // 9", "royalty"]:
 
 @bound("sale_row", _sql)
 def _(spark, sf_dir):
-    rows = V.sales(spark, sf_dir).withColumn("royalty_second", F.expr("royalty div 9"))
-    return M.sale_rows(rows, PRICE, ROYALTY)
+    """Every fifth asset has a number that is not one."""
+    rows = V.sales(spark, sf_dir).withColumns(
+        {
+            "royalty_second": F.expr("royalty div 9"),
+            "marketplace": F.substring("market", 1, 1),
+            "method": F.concat(F.lit("by "), F.substring("market", 2, 9)),
+        }
+    )
+    key = F.col("p_partkey")
+    number = F.when(key % 5 == 0, "n/a").otherwise(F.concat(key.cast("string"), F.lit(".0")))
+    assets = V.table(spark, sf_dir, "part").select(key.alias("asset"), number.alias("number"), F.col("p_type").alias("name"))
+    return M.sale_rows(rows, assets, PRICE, ROYALTY)
 
 
 @bound(

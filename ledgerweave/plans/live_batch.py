@@ -76,9 +76,10 @@ def reduce_batch(
             F.col("tx_id").alias("tx"), F.lit(None).cast("string").alias("asset"), F.lit("undecodable data").alias("reason")
         )
     )
-    fresh = C.sales_by_movement(sales, moves, moved=True).join(
-        sold_before.select("tx", "asset"), ["tx", "asset"], "left_anti"
-    )
+    sold = C.sales_by_movement(sales, moves, moved=True)
+    known = sold_before.select("tx", "asset")
+    fresh = sold.join(known, ["tx", "asset"], "left_anti")
+    again = sold.join(known, ["tx", "asset"], "left_semi").agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
     updates = effects.groupBy("tx").agg(F.sum("assets_changed").alias("restart_updates"))
     ledger = (
         D.ledger_rows(decoded, assets)
@@ -93,5 +94,7 @@ def reduce_batch(
         ledger=ledger,
         unresolved=reasons,
         conflicts=C.conflicts(gated),
-        counters=C.batch_counters(gated, calls, fresh, total),
+        counters=C.batch_counters(gated, calls, fresh, total).unionByName(
+            again.select(F.lit("SALE_DUPLICATE").alias("counter"), "n")
+        ),
     )

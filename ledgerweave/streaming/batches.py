@@ -20,6 +20,9 @@ from ledgerweave.sources.tables import commit_version, is_committed, read_append
 from ledgerweave.sources.tx_json import scan_tx
 
 
+SOURCE = "RAW_INBOX"  # where a ledger row comes from
+
+
 class UnresolvedBatch(RuntimeError):
     """The batch holds rows or movements that must not be guessed; no table of the batch was committed."""
 
@@ -151,6 +154,7 @@ def reduce_pending(
             f"{problems.count()} cases, all in {root}/quarantine; "
             + "; ".join(f"{r['tx'] or r['asset']}: {r['reason']}" for r in shown)
         )
+    arrived = fresh.select(F.col("tx_id").alias("tx"), "received_at")
     already = known.select("tx_id", F.lit(COMMITTED).alias("note"))
     ids = settled(scanned.select("tx_id", "received_at", "seq").join(already, "tx_id", "left"))
     failed = fresh.filter(F.col("tx.meta.err").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
@@ -173,7 +177,7 @@ def reduce_pending(
             "state": (result.state, ["asset"]),
             "cursors": (result.cursors, ["asset"]),
             "sales": (result.sales, ["seq", "tx", "asset"]),
-            "ledger": (result.ledger, ["seq", "tx"]),
+            "ledger": (result.ledger.join(arrived, "tx").withColumn("source", F.lit(SOURCE)), ["seq", "tx"]),
             "counters": (result.counters.unionByName(more), ["counter"]),
             "manifest": (ids, ["seq", "tx_id"]),
             "checkpoint": (stamp.withColumn("snapshot", snapshot), ["snapshot"]),

@@ -53,6 +53,13 @@ def change_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("field").agg(F.count(F.lit(1)).alias("changes"))
 
 
+def report_matches(verdicts: DataFrame, reported: DataFrame) -> DataFrame:
+    """Counts of verdicts against a report (verdict, n); a verdict on one side only does not match."""
+    counts = verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("found"))
+    both = counts.join(reported.withColumnRenamed("n", "reported"), "verdict", "full_outer")
+    return both.withColumn("ok", F.coalesce(F.col("found") == F.col("reported"), F.lit(False)))
+
+
 def allowed_changes(
     base: DataFrame, delta: DataFrame, key: str, fields: Sequence[str], allowed: Sequence[str]
 ) -> DataFrame:

@@ -134,3 +134,20 @@ def _(spark, sf_dir):
         ("burn history end = burned", Q.scalar(S.burn_history(states, as_of), F.max("total_burns")), Q.scalar(kpi, F.max("burned") - 1), 0),
     ]
     return Q.rule_report(spark, rules)
+
+
+@bound(
+    "allowed_changes_report",
+    """WITH x AS (SELECT d.asset, d.balance IS DISTINCT FROM c.balance AS b, d.segment IS DISTINCT FROM c.segment AS s
+                  FROM delta d JOIN cust c ON c.asset = d.asset),
+            v AS (SELECT CASE WHEN NOT b AND NOT s THEN 'no-op' WHEN s THEN 'forbidden' ELSE 'ok' END AS verdict, count(*) AS found FROM x GROUP BY 1)
+       SELECT verdict, found, CASE WHEN verdict = 'ok' THEN found + 1 ELSE found END AS reported, verdict <> 'ok' AS ok FROM v
+       UNION ALL SELECT 'unheard', NULL, 3, false""",
+)
+def _(spark, sf_dir):
+    """A report that is off by one in one verdict and has another that nothing falls under."""
+    verdicts = O.allowed_changes(C.cust(spark, sf_dir), C.delta(spark, sf_dir), "asset", C.FIELDS, ["balance"])
+    counts = verdicts.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+    stated = counts.withColumn("n", F.when(F.col("verdict") == "ok", F.col("n") + 1).otherwise(F.col("n")))
+    extra = spark.range(1).select(F.lit("unheard").alias("verdict"), F.lit(3).cast("bigint").alias("n"))
+    return O.report_matches(verdicts, stated.unionByName(extra))

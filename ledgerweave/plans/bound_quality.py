@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.fingerprint import fingerprint
+from ledgerweave.functions.scalars import exact_sum, units
 from ledgerweave.operators import holders as H
 from ledgerweave.operators import launch as L
 from ledgerweave.operators import market as M
@@ -171,32 +172,64 @@ def _(spark, sf_dir):
     return Q.checkpoint_rules(row, "cutover", ["state", "market", "floor"], "snap")
 
 
+FLOWS = {"before": "1998-01-01", "after": "1999-04-01"}  # ends of the conversion window in the two KPI sets
+
+
+def all_kpis_sql(sales, states, cut, end):
+    figures = f"""SELECT count(*) FILTER (burned = 1) AS burned, count(*) FILTER (burned = 0) AS active_supply,
+        count(*) FILTER (locked = 1) AS locked_assets, count(DISTINCT owner) FILTER (burned = 0) AS holders FROM {states}"""
+    flows = f"""SELECT coalesce(CAST(sum(price) AS DOUBLE), 0) / 100.0 AS total_sold, coalesce(CAST(sum(royalty) AS DOUBLE), 0) / 10000.0
+        AS total_purchased FROM sales WHERE ts >= TIMESTAMP '1996-03-01' AND ts < TIMESTAMP '{end}'"""
+    seen = f"""SELECT CAST(arg_max(floor_units, day) AS DOUBLE) / 100.0 AS floor, CAST(arg_max(listed, day) AS DOUBLE) AS listed_count
+        FROM obs WHERE day < '{cut}'"""
+    long = lambda sql, names: (
+        f"SELECT unnest([{', '.join(repr(n) for n in names)}]) AS metric, unnest([{', '.join(f'CAST({n} AS DOUBLE)' for n in names)}]) AS value FROM ({sql})"
+    )
+    return " UNION ALL ".join([
+        long(kpi_sql(sales), ["secondary_sales", "secondary_volume", "unique_buyers", "assets_ever_sold", "royalties"]),
+        long(figures, ["burned", "active_supply", "locked_assets", "holders"]),
+        long(flows, ["total_sold", "total_purchased"]),
+        long(seen, ["floor", "listed_count"]),
+    ])
+
+
+V.VIEWS["all_before"] = all_kpis_sql("base", "state_base", "2000-01-01", FLOWS["before"])
+V.VIEWS["all_after"] = all_kpis_sql("merged", "state", "9999-01-01", FLOWS["after"])
+
+
 @bound(
     "kpi_delta",
-    """SELECT b.metric, b.value AS before, m.value AS after, m.value - b.value AS delta, NULL::DOUBLE AS percent
-       FROM kpi_base b JOIN kpi_merged m ON m.metric = b.metric
-       WHERE m.value - b.value > CASE WHEN b.metric IN ('secondary_volume', 'royalties') THEN 0.0005 ELSE 0 END
-       UNION ALL
-       SELECT * FROM (SELECT 'floor', a.f AS before, b.f AS after, b.f - a.f AS delta, (b.f - a.f) / a.f * 100.0
-             FROM (SELECT CAST(arg_max(floor_units, day) AS DOUBLE) / 100.0 AS f FROM obs WHERE day < '2000-01-01') a,
-                  (SELECT CAST(arg_max(floor_units, day) AS DOUBLE) / 100.0 AS f FROM obs) b) WHERE delta <> 0
-       UNION ALL
-       SELECT * FROM (SELECT 'listed_count', a.f AS before, b.f AS after, b.f - a.f AS delta, NULL::DOUBLE
-             FROM (SELECT CAST(arg_max(listed, day) AS DOUBLE) AS f FROM obs WHERE day < '2000-01-01') a,
-                  (SELECT CAST(arg_max(listed, day) AS DOUBLE) AS f FROM obs) b) WHERE delta <> 0""",
+    """SELECT b.metric, b.value AS before, m.value AS after, m.value - b.value AS delta,
+              CASE WHEN b.metric = 'floor' AND b.value > 0 THEN (m.value - b.value) / b.value * 100.0 END AS percent
+       FROM all_before b JOIN all_after m ON m.metric = b.metric
+       WHERE CASE WHEN b.metric IN ('floor', 'listed_count', 'locked_assets', 'holders') THEN m.value <> b.value
+                  WHEN b.metric = 'active_supply' THEN false
+                  ELSE m.value - b.value > CASE b.metric WHEN 'secondary_volume' THEN 0.0005 WHEN 'royalties' THEN 0.0005
+                       WHEN 'total_sold' THEN 0.0005 WHEN 'total_purchased' THEN 0.005 ELSE 0 END END""",
 )
 def _(spark, sf_dir):
+    """All thirteen metrics. Assets only leave the supply by burning, so the burns explain its change."""
     rows = V.obs(spark, sf_dir)
+    ntz = lambda text: F.lit(text).cast("timestamp_ntz")
 
-    def both(sales, observed):
+    def metrics(sales, states, observed, end):
         last = S.latest_observation(observed, "day", ["floor_units", "listed"])
         floor = last.select(
             (F.col("floor_units").cast("double") / 100.0).alias("floor"), F.col("listed").alias("listed_count")
         )
-        return kpis(sales).unionByName(Q.unpivot_row(floor))
+        figures = H.state_kpis(states, V.clock(spark, sf_dir)).select("burned", "active_supply", "locked_assets", "holders")
+        inside = V.sales(spark, sf_dir, (F.col("ts") >= ntz("1996-03-01")) & (F.col("ts") < ntz(end)))
+        flows = inside.agg(
+            units(exact_sum(F.col("price")), PRICE).alias("total_sold"), units(exact_sum(F.col("royalty")), ROYALTY).alias("total_purchased")
+        )
+        out = kpis(sales)
+        for row in (floor, figures, flows):
+            out = out.unionByName(Q.unpivot_row(row))
+        return out
 
-    before = both(V.base(spark, sf_dir), rows.filter(F.col("day") < "2000-01-01"))
-    return Q.kpi_delta(before, both(merged(spark, sf_dir), rows))
+    early = V.state(spark, sf_dir, F.col("ts") < ntz("2000-01-01"))
+    before = metrics(V.base(spark, sf_dir), early, rows.filter(F.col("day") < "2000-01-01"), FLOWS["before"])
+    return Q.kpi_delta(before, metrics(merged(spark, sf_dir), V.state(spark, sf_dir), rows, FLOWS["after"]))
 
 
 @bound(
@@ -241,6 +274,6 @@ def _(spark, sf_dir):
     monthly = (
         merged(spark, sf_dir)
         .groupBy(F.date_format("ts", "yyyy-MM-01").alias("month"))
-        .agg(F.count(F.lit(1)).alias("sales"), F.sum("price").alias("cents"))
+        .agg(F.count(F.lit(1)).alias("sales"), exact_sum(F.col("price")).cast("bigint").alias("cents"))
     )
     return P.json_rows(monthly)

@@ -156,19 +156,34 @@ def _(spark, sf_dir):
     return read_csv_contract(spark, path, "id string, raw string, note string")
 
 
+CHECKPOINT_DOCUMENT = """
+    schema_version int, cutover_date string, checkpoints struct<market:string,state:string>,
+    reducer_counts map<string,bigint>, markets array<struct<name:string,sales:bigint>>
+"""
+
+
 @bound(
     "json_document",
-    """SELECT max(strftime(ts, '%Y-%m-%d')) AS market_checkpoint_date, min(strftime(ts, '%Y-%m-%d')) AS cutover_date
-       FROM sales""",
+    """SELECT 1 AS schema_version, (SELECT min(strftime(ts, '%Y-%m-%d')) FROM sales) AS cutover_date,
+              (SELECT max(strftime(ts, '%Y-%m-%d')) FROM sales) AS market, (SELECT max(strftime(ts, '%Y-%m-%d')) FROM sales WHERE market = 'RF') AS state,
+              (SELECT count(*) FROM sales WHERE market = 'RF') AS burns, market AS name, count(*) AS sales FROM sales GROUP BY market""",
 )
 def _(spark, sf_dir):
+    """A checkpoint document with an object, a map and a list, written pretty and read back under its schema."""
     path = workspace(spark, "document")
-    row = V.sales(spark, sf_dir).agg(
-        F.date_format(F.max("ts"), "yyyy-MM-dd").alias("market_checkpoint_date"),
-        F.date_format(F.min("ts"), "yyyy-MM-dd").alias("cutover_date"),
-    )
+    sales = V.sales(spark, sf_dir)
+    day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    burn = F.col("market") == "RF"
+    markets = sales.groupBy(F.col("market").alias("name")).agg(F.count(F.lit(1)).alias("sales"))
+    row = sales.agg(
+        F.lit(1).alias("schema_version"),
+        day(F.min("ts")).alias("cutover_date"),
+        F.struct(day(F.max("ts")).alias("market"), day(F.max(F.when(burn, F.col("ts")))).alias("state")).alias("checkpoints"),
+        F.create_map(F.lit("BURN"), F.count_if(burn)).alias("reducer_counts"),
+    ).withColumn("markets", markets.agg(F.sort_array(F.collect_list(F.struct("name", "sales")))).scalar())  # one entry a market
     row.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.text(path)
-    return read_document(spark, path, "market_checkpoint_date string, cutover_date string")
+    read = read_document(spark, path, CHECKPOINT_DOCUMENT)
+    return read.select("schema_version", "cutover_date", "checkpoints.market", "checkpoints.state", F.col("reducer_counts")["BURN"].alias("burns"), F.inline("markets"))
 
 
 @bound(

@@ -90,6 +90,9 @@ VIEWS: dict[str, str] = {
         FROM orders GROUP BY 1""",
 }
 
+VIEWS["last_base"] = VIEWS["last_sale"].replace("FROM sales)", "FROM base)")
+VIEWS["state_base"] = VIEWS["state"].replace("last_sale", "last_base")
+
 
 def with_views(sql: str) -> str:
     """Put the views that ``sql`` names, and those they need, in front of it."""
@@ -158,9 +161,9 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
     return later.withColumn("price", F.col("price") + 1)
 
 
-def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+def state(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> DataFrame:
     last = keep_last(
-        sales(spark, sf_dir).select("asset", "ts", "tx", "buyer", "market", "shipped"), ["asset"], ["ts", "tx"]
+        sales(spark, sf_dir, dates).select("asset", "ts", "tx", "buyer", "market", "shipped"), ["asset"], ["ts", "tx"]
     )
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("category"))
     burned = F.col("market") == "RF"

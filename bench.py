@@ -29,6 +29,8 @@ HEADLINE = [
     "batch_manifest",
     "sales_decode",
     "balance_movements",
+    "live_batch_ledger",
+    "product_state",
 ]
 
 

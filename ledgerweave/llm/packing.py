@@ -12,6 +12,7 @@ repeated or NULL doc_id are packed row by row.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,8 @@ RELEASED = 24  # sequences that a partition hands on, at most
 _SIMPLE = regex.compile(r"[\x21-;=-~¡-ÿ]+")
 _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
+_ASCII_PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+
 
 class WordIds(dict):
     """Little-endian 32-bit ids of each distinct white-space separated word under a lower-casing word-level BPE.
@@ -51,7 +54,11 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "surrogatepass")
-        if _SIMPLE.fullmatch(text):
+        if text.isascii() and text.isprintable() and "<" not in text:
+            low = text.lower()
+            # A printable ASCII letter stands for its own byte.
+            ids = [t.id for p in ((low,) if low.isalpha() else _ASCII_PARTS.findall(low)) for t in self.model.tokenize(p)]
+        elif _SIMPLE.fullmatch(text):
             parts = _PARTS.findall(text.lower())
             ids = [t.id for p in parts for t in self.model.tokenize(p.encode().decode("latin-1").translate(self.table))]
         else:

@@ -34,7 +34,7 @@ def tokenizer_path(name: str) -> str:
 @query("op1_language_id")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
     codes = language_id.fit(docs.filter(~held))
     out = language_id.predict(docs.select("doc_id", held.alias("held_out"), "text"), codes)
     return out.select("doc_id", "held_out", "lang_pred", "score", "ambiguous")

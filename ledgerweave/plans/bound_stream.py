@@ -117,7 +117,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     home = workspace(spark, "sorted")
     rows = V.state(spark, sf_dir).select("asset", "category", "owner")
-    commit_version(spark, home, 1, {"state": (rows, ["asset"])})
+    commit_version(spark, home, {"state": (rows, ["asset"])})
     return read_latest(spark, home, "state")
 
 

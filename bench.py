@@ -29,7 +29,6 @@ HEADLINE = [
     "batch_manifest",
     "sales_decode",
     "balance_movements",
-    "live_batch_ledger",
     "product_state",
 ]
 

@@ -1,16 +1,19 @@
 """Line deduplication across documents by pairwise alignment.
 
-A line hash that several documents hold is owned by the earliest of them (smallest doc_id). Every later holder is paired
-with the owner, so a line shared by n documents makes n - 1 pairs, however frequent it is; rare lines find the few
-overlapping documents that frequent ones would miss, and no pair is left out for either. Each pair's line sequences are
-aligned with patience diff: lines that occur once in both are matched in a longest increasing run, and the stretches
-between are aligned the same way, until the pair has no common block any more. Runs of matched lines with at least ``BLOCK_WORDS`` words are deleted from the later
-document.
+A run is a line grown forwards, or backwards, by the lines beside it until it holds ``BLOCK_WORDS`` words; it begins and
+ends with a line that has words. A run that several documents hold is owned by the earliest of them (smallest doc_id), and
+every later holder is paired with the owner, so a run shared by n documents makes n - 1 pairs, however frequent or short its
+lines are. Each word of a block that two documents share stands in a run inside the block, so no block is left out. Each
+pair's line sequences are aligned with patience diff: lines that occur once in both are matched in a longest increasing run,
+and the stretches between are aligned the same way, until the alignment finds no common block any more. Blocks with at least
+``BLOCK_WORDS`` words are deleted from the later document, and so are the owner's runs that the alignment passed over because
+they stand in another order between other matches.
 
 Only hashes move until the last step: a pair carries two lists of 8-byte line hashes.
 
 Defined results: a NULL text stays NULL and an empty one empty. Lines are compared without white space at their ends;
-blank lines match but find no pair. Rows with the same doc_id are never "later" than each other; equal rows get equal
+blank lines match but find no pair. So a line with words is deleted just if it stands in a row of consecutive lines with
+``BLOCK_WORDS`` words or more that an earlier document has as well; blank lines go with an aligned block. Rows with the same doc_id are never "later" than each other; equal rows get equal
 results. Rows with a NULL doc_id are returned unchanged. A document whose lines are all deleted keeps an empty text.
 """
 
@@ -20,16 +23,35 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import batches, words_of, written
+from ledgerweave.llm.common import batches, mixed, words_of, written
 
-ANCHOR_WORDS = 5  # a line with fewer words does not bring documents together
 BLOCK_WORDS = 8  # words of the shortest block that is deleted
 
+_FACTOR = 0x9E3779B97F4A7C15
+_BACK = pow(_FACTOR, -1, 1 << 64)
+
+
+def runs(lines: list[int], words: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the runs that each line with words begins and of those that it ends."""
+    own = np.array(words, np.int64)
+    upto = np.concatenate([[0], np.cumsum(own)])
+    full = np.nonzero(own)[0]
+    ends = np.searchsorted(upto, upto[full] + BLOCK_WORDS)
+    starts = np.searchsorted(upto, upto[full + 1] - BLOCK_WORDS, side="right") - 1
+    first, last = ends <= len(own), starts >= 0
+    starts, ends = np.concatenate([full[first], starts[last]]), np.concatenate([ends[first], full[last] + 1])
+    # Differences of prefix sums, shifted back to the same power: any length costs the same.
+    power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(own), _FACTOR, np.uint64)]))
+    back = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(own), _BACK, np.uint64)]))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(np.array(lines, np.int64).view(np.uint64)) * power[:-1])])
+    return starts, ends, mixed((total[ends] - total[starts]) * back[starts]).view(np.int64)
+
 
 def matched(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     """Patience alignment of two sequences: matched positions, rising in both."""
@@ -90,7 +112,8 @@ def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def common_lines(a: list[int], b: list[int], words: list[int]) -> list[int]:
     """Positions in ``b`` that lie in aligned common blocks of enough words (``words`` of each line of ``b``).
 
-    What stays of ``b`` is aligned again until no block is found, so blocks that stand in another order go as well.
+    What stays of ``b`` is aligned again until no block is found, so blocks that stand in another order go as well. Runs
+    of ``a`` that the alignment passed over go with them.
     """
     out: list[int] = []
     rest = list(range(len(b)))
@@ -110,17 +133,28 @@ def common_lines(a: list[int], b: list[int], words: list[int]) -> list[int]:
         out += gone
         lost = set(gone)
         rest = [x for x in rest if x not in lost]
-    return sorted(out)
+    return sorted({*out, *_shared(a, b, words)})
+
+
+def _shared(a: list[int], b: list[int], words: list[int]) -> list[int]:
+    """Positions in ``b`` inside its runs that ``a`` holds."""
+    known = dict(zip(b, words, strict=True))
+    starts, ends, keys = runs(b, words)
+    # A run of ``a`` with a line that ``b`` lacks is none of ``b``'s, wherever it ends.
+    hit = np.isin(keys, runs(a, [known.get(x, BLOCK_WORDS) for x in a])[2])
+    edges = np.bincount(starts[hit], minlength=len(b) + 1) - np.bincount(ends[hit], minlength=len(b) + 1)
+    return np.nonzero(np.cumsum(edges))[0].tolist()
 
 
 def _lines(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lines", pa.list_(pa.int64())), ("words", pa.list_(pa.int32())), ("runs", pa.list_(pa.int64()))])
 
     def rows():
         for part in parts:
             for doc_id, h, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 lines = [x.strip() for x in text.split("\n")]
-                yield doc_id, h, [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [len(words_of(x)) for x in lines]
+                hashes, sizes = [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines], [len(words_of(x)) for x in lines]
+                yield doc_id, h, hashes, sizes, np.unique(runs(hashes, sizes)[2])
 
     yield from batches(schema, rows())
 
@@ -142,15 +176,15 @@ def cuts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """``doc_id, h, cut``: which lines (from 0) each text loses; ``h`` is the text's xxhash64."""
     text = F.col(text_col).cast("string")
     source = docs.filter(F.col(id_col).isNotNull() & text.isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    lined = written(source.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>").dropDuplicates(["doc_id", "h"]), "lines")
-    anchors = lined.select("doc_id", "h", F.explode(F.arrays_zip("lines", "words")).alias("x")).filter(F.col("x.words") >= ANCHOR_WORDS).select("doc_id", "h", F.col("x.lines").alias("line"))
-    owners = anchors.groupBy("line").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max("doc_id").alias("last"))
-    owners = written(owners.filter(F.col("first.doc_id") < F.col("last")).select("line", F.col("first.doc_id").alias("owner"), F.col("first.h").alias("owner_h")), "owners")
-    pairs = anchors.join(owners, "line").filter("owner < doc_id").select("doc_id", "h", "owner", "owner_h").distinct()
+    lined = written(source.mapInArrow(_lines, "doc_id long, h long, lines array<long>, words array<int>, runs array<long>").dropDuplicates(["doc_id", "h"]), "lines")
+    held = lined.select("doc_id", "h", F.explode("runs").alias("run"))
+    owners = held.groupBy("run").agg(F.min(F.struct("doc_id", "h")).alias("first"), F.max("doc_id").alias("last"))
+    owners = written(owners.filter(F.col("first.doc_id") < F.col("last")).select("run", F.col("first.doc_id").alias("owner"), F.col("first.h").alias("owner_h")), "owners")
+    pairs = held.join(owners, "run").filter("owner < doc_id").select("doc_id", "h", "owner", "owner_h").distinct()
     first = lined.select(F.col("doc_id").alias("owner"), F.col("h").alias("owner_h"), F.col("lines").alias("owner_lines"))
-    both = pairs.join(lined, ["doc_id", "h"]).join(first, ["owner", "owner_h"]).select("doc_id", "h", "lines", "words", "owner_lines")
+    both = pairs.join(lined.drop("runs"), ["doc_id", "h"]).join(first, ["owner", "owner_h"]).select("doc_id", "h", "lines", "words", "owner_lines")
     found = both.mapInArrow(_cuts, "doc_id long, h long, cut array<int>")
-    # A text has at most as many owners as lines, so its cuts stay small.
+    # A text has at most two owners a line, so its cuts stay small.
     return found.groupBy("doc_id", "h").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("cut")))).alias("cut"))
 
 

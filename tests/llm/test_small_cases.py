@@ -241,6 +241,30 @@ def test_line_dedup(docs, none, rows, spark):
     assert {r.doc_id: r.text for r in line_dedup.dedup(many, ["doc_id"]).collect()} == {i: (line + "\nown 0" if i == 0 else "" if i % 3 else f"own {i}") for i in range(200)}
 
 
+def test_line_dedup_finds_each_block(spark):
+    """Blocks of short lines that no document with a common longer line owns, against all pairs of documents."""
+    rng = random.Random(10)
+    pool = [words(n, rng) for n in (1, 1, 2, 3, 4, 5, 6, 7, 9)] + [""]
+    texts = [[rng.choice(pool) for _ in range(rng.randint(1, 12))] for _ in range(60)]
+    poem, line = [words(2, rng) for _ in range(9)], [words(6, rng), words(6, rng)]
+    texts += [[line[0], "x y"], [line[1], "y z"], ["own one", *line], [*poem, "own two"], [*line, "own three"], ["own four", *poem]]
+    u = [words(3, rng) for _ in range(5)]  # more scattered matches than the block has lines
+    texts += [[*u, *poem[2:6]], [*poem[2:6], u[0], "p", u[1], "q", u[2], "r", u[3], "s", u[4]]]
+    expected = {}
+    for i, text in enumerate(texts):
+        gone = set()
+        for a in range(len(text)):
+            for b in range(a + 1, len(text) + 1):
+                if len(" ".join(text[a:b]).split()) >= line_dedup.BLOCK_WORDS and any(t[k : k + b - a] == text[a:b] for t in texts[:i] for k in range(len(t))):
+                    gone |= set(range(a, b))
+        expected[i] = [x for k, x in enumerate(text) if x and k not in gone]
+    df = spark.createDataFrame([(i, "\n".join(t), None, None, 1) for i, t in enumerate(texts)], DOCS)
+    got = {r.doc_id: [x for x in (r.text or "").split("\n") if x] for r in line_dedup.dedup(df, ["doc_id"]).collect()}
+    assert got == expected
+    assert got[64] == ["own three"] and got[65] == ["own four"]
+    assert line_dedup.common_lines([*range(1, 6), 8, 9], [8, 9, 1, 6, 2, 7, 3, 0, 4, 10, 5], [4, 4] + [1] * 9) == [0, 1]
+
+
 def test_mixing(docs, none, spark, rows):
     size = [len((r[1] or "").encode().split()) for r in rows]
     total = Counter()

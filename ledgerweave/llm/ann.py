@@ -139,16 +139,28 @@ def _visits(hashes: int, cosines: dict[int, float]):
 
 
 def best(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, row and exact score of each query's ``k`` best rows, others with the k-th score included."""
+    """Query, row and exact score of each query's ``k`` best row ids, each id once with its best score."""
+    ids, which = np.unique(row_ids, return_inverse=True)
+    if len(ids) < len(row_ids):  # rows of one id stand together, equal ones once
+        once = np.unique(np.column_stack([which.astype(np.float64), rows]), axis=0)
+        which, rows = once[:, 0].astype(np.int64), once[:, 1:]
+        row_ids = ids[which]
     rough = _unit(queries) @ _unit(rows).T
     rough[query_ids[:, None] == row_ids[None, :]] = -np.inf
-    n = rough.shape[1]
-    least = np.partition(rough, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
-    q, r = np.nonzero((rough >= least[:, None] - 1e-9) & (rough > -np.inf))
+    n = len(ids)
+    top = np.maximum.reduceat(rough, np.searchsorted(which, np.arange(n)), axis=1) if n < len(row_ids) else rough
+    least = np.partition(top, n - k, axis=1)[:, n - k] if n > k else np.full(len(rough), -np.inf)
+    near = (rough >= least[:, None] - 1e-9) & (rough > -np.inf)
+    if n < len(row_ids):
+        near &= rough >= top[:, which] - 1e-9  # of an id only what can be its best
+    q, r = np.nonzero(near)
     a, b = queries[q], rows[r]
     score = (a * b).sum(axis=1) / (np.sqrt((a * a).sum(axis=1)) * np.sqrt((b * b).sum(axis=1)))
     order = np.lexsort((row_ids[r], -score, q))
     q, r, score = q[order], r[order], score[order]
+    if n < len(row_ids):
+        first = np.sort(np.unique(np.column_stack([q, row_ids[r]]), axis=0, return_index=True)[1])
+        q, r, score = q[first], r[first], score[first]
     place = np.arange(len(q)) - np.searchsorted(q, q)
     keep = place < k
     return query_ids[q[keep]], row_ids[r[keep]], score[keep]
@@ -190,8 +202,11 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def sampled_cosines(rows: DataFrame, k: int) -> dict[int, float]:
-    """For each dimension in a bounded sample, a low quantile of its k-th nearest cosines."""
-    sample = rows.orderBy(F.xxhash64("id", F.lit(SEED)), "id").limit(SAMPLE_ROWS).toArrow()
+    """For each dimension in a bounded sample of ids, one vector each, a low quantile of its k-th nearest cosines."""
+    drawn = [F.xxhash64("id", F.lit(SEED)), F.col("id")]
+    picked = rows.join(F.broadcast(rows.select("id").distinct().orderBy(*drawn).limit(SAMPLE_ROWS)), "id", "left_semi")
+    once = picked.groupBy("id").agg(F.min(F.struct("dim", "v")).alias("x"))
+    sample = once.orderBy(*drawn).select("id", "x.dim", "x.v").limit(SAMPLE_ROWS).toArrow()
     out = {}
     dims = sample["dim"].to_numpy()
     for dim in np.unique(dims).tolist():

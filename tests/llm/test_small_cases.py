@@ -341,6 +341,30 @@ def test_neighbours(spark):
     assert ann.nearest(empty, empty).isEmpty()
 
 
+def test_neighbours_of_repeated_ids(spark):
+    """Ids in more rows than k, equal and differing ones, push no other neighbour out."""
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((40, 6))
+    ids = np.concatenate([np.arange(40), np.repeat(np.arange(40), 9)])
+    y = np.concatenate([x, np.repeat(x, 9, axis=0)])
+    y[200:] += 0.01 * rng.standard_normal((len(y) - 200, 6))
+    score = ann._unit(x) @ ann._unit(y).T
+    best = [{int(i): float(score[q][ids == i].max()) for i in range(40) if i != q} for q in range(40)]
+    true = [sorted(b, key=lambda i: (-b[i], i))[:5] for b in best]
+    got = ann.best(x, np.arange(40), y, ids, 5)
+    assert list(zip(got[0].tolist(), got[1].tolist(), strict=True)) == [(q, i) for q in range(40) for i in true[q]]
+    assert all(abs(s - best[q][i]) < 1e-12 for q, i, s in zip(*(g.tolist() for g in got), strict=True))
+    rows = ann.vectors(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, y, strict=True)], "vec_id long, embedding array<double>"))
+    queries = ann.vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    once = ann.vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"))
+    assert ann.sampled_cosines(queries.unionByName(once), 5) == ann.sampled_cosines(once, 5)
+    # Every bucket is compared: 39 others are fewer than k.
+    found = {}
+    for r in ann.nearest(queries, rows, 40).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: sorted(best[q], key=lambda i: (-best[q][i], i)) for q in range(40)}
+
+
 def test_probes_come_in_order_of_chance():
     chance = {}
     for a, ca in ann.cell_chances(0.4, 0.2, 0.8):

@@ -8,6 +8,10 @@ every document is judged by it: nothing is drawn at random.
 The ratio of a feature is log((c + A) / (e + A)) with c its trusted count and e its expected count if trusted text were
 like the raw corpus. Features too rare to tell have a ratio near 0 instead of a large negative one.
 
+A mean dilutes a few bad words in a long text. So a second score adds up, over a text's distinct bare words, by how much
+each log ratio lies below ``-STRONG``; it has a threshold of its own. Both thresholds together may cost ``GOOD_LOST`` of the
+good documents that fix them.
+
 Defined results: NULL or empty text has 0 words and fails the base rules; rows with a repeated or NULL doc_id are judged
 row by row; labels with a NULL id or quality are not used; without any good label every document that passes the base
 rules is kept.
@@ -25,13 +29,14 @@ from pyspark.sql import functions as F
 
 from ledgerweave.llm.common import WordHashes, batches, mixed, windows, words_of, written
 
-BUCKETS_LOG2 = 17  # hashed features
+BUCKETS_LOG2 = 17  # hashed features of each of three kinds
 LABELLED = 20_000  # labelled documents that are looked at, at most: those with the smallest hash of their id
 SMOOTH = 10.0  # the A above
 LEAST_WORDS = 10
 MOST_REPEATED = 20  # percent of the words that may stand in repeated windows
 WINDOW = 5
-GOOD_LOST = 0.005  # share of good calibration documents that the threshold may cost
+GOOD_LOST = 0.005  # share of good calibration documents that the thresholds may cost
+STRONG = 1.2  # from this log ratio below 0 on a word counts by itself
 
 _SYMBOLS = b"#*$%&|<>"
 _EDGES = b".,;:!?\"'()"
@@ -39,29 +44,31 @@ _EDGES = b".,;:!?\"'()"
 
 @dataclass
 class Ratios:
-    """Weight of each hashed feature, and the smallest mean weight of a kept document."""
+    """Weight of each hashed feature, and the smallest mean weight and sum of strong words of a kept document."""
 
     weights: np.ndarray
     threshold: float
+    strong: float
 
 
 def features(words: list[bytes], hashes: WordHashes, plain: WordHashes) -> np.ndarray:
-    """Buckets of a text's words as they stand, of its bare lower-case words and of pairs of those."""
+    """Buckets of a text's words as they stand, of its bare lower-case words and of pairs of those, one kind after another."""
     if not words:
         return np.empty(0, np.int64)
     own = hashes.of(words)
     bare = plain.of([w.lower().strip(_EDGES) for w in words])
-    both = np.concatenate([mixed(own), mixed(bare + np.uint64(1)), windows(bare, 2)])
-    return (both >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64)
+    kinds = [mixed(own), mixed(bare + np.uint64(1)), windows(bare, 2)]
+    # Each kind has buckets of its own: the many rare pairs would blur the words.
+    return np.concatenate([(x >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64) + (k << BUCKETS_LOG2) for k, x in enumerate(kinds)])
 
 
 def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
-    total = np.zeros(1 << BUCKETS_LOG2, np.int64)
+    total = np.zeros(3 << BUCKETS_LOG2, np.int64)
     hashes, plain = WordHashes(), WordHashes()
     for part in parts:
         for text in part.column(0).to_pylist():
-            total += np.bincount(features(words_of(text), hashes, plain), minlength=len(total)) if text else 0
+            np.add.at(total, features(words_of(text), hashes, plain), 1)
     at = np.nonzero(total)[0]
     if len(at):
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
@@ -70,14 +77,20 @@ def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def feature_counts(texts: DataFrame) -> np.ndarray:
     """Feature counts of a one-column frame of texts, summed in Spark; the result has a fixed size."""
     rows = texts.mapInArrow(_counts, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(1 << BUCKETS_LOG2, np.float64)
+    total = np.zeros(3 << BUCKETS_LOG2, np.float64)
     total[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
     return total
 
 
-def _score(weights: np.ndarray, words: list[bytes], hashes: WordHashes, plain: WordHashes) -> float:
+def _score(weights: np.ndarray, words: list[bytes], hashes: WordHashes, plain: WordHashes) -> tuple[float, float]:
+    """Mean weight of a text's features, and the sum over its strong words."""
+    if not words:
+        return 0.0, 0.0
     found = features(words, hashes, plain)
-    return float(weights[found].mean()) if len(found) else 0.0
+    own = weights[found]
+    bare = slice(len(words), 2 * len(words))
+    strong = np.unique(found[bare][own[bare] < -STRONG])
+    return float(own.mean()), float((weights[strong] + STRONG).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Ratios:
@@ -103,16 +116,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     expected = raw * (trusted.sum() / max(raw.sum(), 1.0))
     weights = np.log((trusted + SMOOTH) / (expected + SMOOTH)).astype(np.float32)
     if not trusted.any():
-        return Ratios(np.zeros_like(weights), -np.inf)
+        return Ratios(np.zeros_like(weights), -np.inf, -np.inf)
     shared = spark.sparkContext.broadcast(weights)
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, plain = WordHashes(), WordHashes()
-        schema = pa.schema([("good", pa.bool_()), ("score", pa.float64())])
-        yield from batches(schema, ((g, _score(shared.value, words_of(t), hashes, plain)) for p in parts for t, g in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)))
+        schema = pa.schema([("good", pa.bool_()), ("score", pa.float64()), ("strong", pa.float64())])
+        yield from batches(schema, ((g, *_score(shared.value, words_of(t), hashes, plain)) for p in parts for t, g in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)))
+
+    rows = picked.filter("NOT fits").select("text", "good").mapInArrow(scored, "good boolean, score double, strong double").toArrow()
+    return Ratios(weights, *thresholds(rows["score"].to_numpy(), rows["strong"].to_numpy(), rows["good"].to_numpy(zero_copy_only=False)))
+
 
-    rows = picked.filter("NOT fits").select("text", "good").mapInArrow(scored, "good boolean, score double").toArrow()
-    return Ratios(weights, threshold(rows["score"].to_numpy(), rows["good"].to_numpy(zero_copy_only=False)))
+def thresholds(scores: np.ndarray, strong: np.ndarray, good: np.ndarray, lost: float = GOOD_LOST) -> tuple[float, float]:
+    """The cut of the means, at half of what may be lost, then the cut of the strong words at what is left of it."""
+    first = threshold(scores, good, lost / 2)
+    left = scores >= first
+    gone = (good & ~left).sum() / max(good.sum(), 1)
+    return first, threshold(strong[left], good[left], max(lost - gone, 0.0))
 
 
 def threshold(scores: np.ndarray, good: np.ndarray, lost: float = GOOD_LOST) -> float:
@@ -157,11 +178,11 @@ def statistics(text: str | None, words: list[bytes], ids: np.ndarray) -> tuple[i
 
 def judge(docs: DataFrame, ratios: Ratios, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Statistics, score and verdict of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast((ratios.weights, ratios.threshold))
+    shared = docs.sparkSession.sparkContext.broadcast((ratios.weights, ratios.threshold, ratios.strong))
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("score", pa.float64())])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, least = shared.value
+        weights, least, least_strong = shared.value
         hashes, plain = WordHashes(), WordHashes()
 
         def rows():
@@ -170,8 +191,8 @@ def judge(docs: DataFrame, ratios: Ratios, id_col: str = "doc_id", text_col: str
                     words = words_of(text)
                     found = statistics(text, words, hashes.of(words))
                     failed = found[0] < LEAST_WORDS or 100 * found[4] > MOST_REPEATED * found[0]
-                    score = _score(weights, words, hashes, plain)
-                    yield doc_id, *found, failed, not failed and score >= least, score
+                    score, strong = _score(weights, words, hashes, plain)
+                    yield doc_id, *found, failed, not failed and score >= least and strong >= least_strong, score
 
         yield from batches(schema, rows())
 

@@ -211,6 +211,22 @@ def test_quality_tells_bad_words(spark):
     assert all(g.kept == (g.doc_id % 3 != 0) for g in got) and len(got) > 200
 
 
+def test_quality_tells_few_toxic_words(spark):
+    """Four of ten toxic words among 200 others are not diluted, though clean texts of a subject rare among the labels have lower means."""
+    rng = random.Random(14)
+    common, rare, toxic = [f"w{i}" for i in range(200)], [f"v{i}" for i in range(200)], [f"slur{i}" for i in range(10)]
+    data = []
+    for i in range(2400):
+        subject = rare if i % 20 == 1 or i >= 1600 and i % 5 == 2 else common
+        data.append((i, " ".join(rng.choices(subject, k=200) + (rng.choices(toxic, k=4) if i % 8 == 0 else [])), None, None, 1))
+    df = spark.createDataFrame(data, DOCS)
+    labels = spark.createDataFrame([(i, 1, int(i % 8 == 0)) for i in range(1600)], "doc_id long, quality int, toxic int")
+    got = quality.judge(df, quality.fit(df, labels)).filter("doc_id >= 1600 AND NOT base_failed").collect()
+    bad = [g.kept for g in got if g.doc_id % 8 == 0]
+    assert len(bad) == 100 and sum(bad) <= 20
+    assert sum(not g.kept for g in got if g.doc_id % 8) <= 35
+
+
 def test_patience_alignment():
     rng = random.Random(5)
     for _ in range(300):

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, chat, html_main, language_id, line_dedup, mixing, neardup, packing, quality, token_counts
-from ledgerweave.llm.common import read
+from ledgerweave.llm import ann, chat, html_main, language_id, line_dedup, mixing, neardup, packing, periodic, quality, token_counts
+from ledgerweave.functions.stage import stage
+from ledgerweave.llm.common import WORD, read
 from ledgerweave.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +120,72 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
     return html_main.extract(pages, html_main.fit(pages))
+
+
+#: Unsigned CRC-32 (the reflected polynomial 0xEDB88320) of a number's decimal digits: each byte, then eight shifts.
+CRC_SQL = """xor(4294967295, list_reduce(
+  flatten(list_transform(range(1, length({x}::VARCHAR) + 1), lambda i: [ascii(substr({x}::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, 4294967295))"""
+
+
+# Every pair of equal five-word windows of a text is joined here; a run has one at each place of its diagonal.
+OP11_SQL = r"""
+WITH given AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, @CRC AS h FROM documents
+), numbered AS (
+  SELECT k, doc_id, ws, h, len(ws) AS n, (h // 10) % greatest(len(ws), 1) AS a, h // 10 AS g FROM given
+), placed AS (
+  SELECT k, doc_id, n, CASE WHEN h % 10 = 0 AND n > 0
+    THEN list_transform(range(0, n), lambda i: ws[1 + CASE WHEN i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END]) ELSE ws END AS ws
+  FROM numbered
+), words AS (
+  SELECT k, n, unnest(ws) AS word, unnest(range(0, n)) AS i FROM placed
+), grams AS (
+  SELECT k, n, i, hash(word, lead(word, 1) OVER w, lead(word, 2) OVER w, lead(word, 3) OVER w, lead(word, 4) OVER w) AS gram
+  FROM words WINDOW w AS (PARTITION BY k ORDER BY i) QUALIFY lead(word, 4) OVER w IS NOT NULL
+), cells AS (
+  SELECT x.k, x.i, x.i - y.i AS q FROM grams x JOIN grams y ON x.k = y.k AND x.gram = y.gram AND x.i > y.i AND 4 * (x.i - y.i) <= x.n
+), diagonals AS (
+  SELECT k, q, min(i) - q AS start, max(i) + 5 - min(i) + q AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY k, q ORDER BY i) AS island FROM cells) GROUP BY k, q, island
+), runs AS (
+  SELECT k, start, length, min(q) AS period FROM diagonals WHERE length >= greatest(6, 4 * q) GROUP BY k, start, length
+), per_row AS (
+  SELECT k, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listed,
+    first({'start': start, 'length': length, 'period': period} ORDER BY length::DOUBLE / period DESC, start, period) AS best
+  FROM runs GROUP BY k
+), kept AS (
+  SELECT k, string_agg(word, ' ' ORDER BY i) AS collapsed FROM words w
+  WHERE NOT EXISTS (SELECT 1 FROM runs r WHERE r.k = w.k AND w.i >= r.start + r.period AND w.i < r.start + r.length) GROUP BY k
+)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.start::BIGINT AS start, best.length::BIGINT AS length, best.period::BIGINT AS period,
+  (1000 * best.length // best.period)::BIGINT AS exponent_milli, sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM given LEFT JOIN per_row USING (k) LEFT JOIN kept USING (k)
+""".replace("@CRC", CRC_SQL.format(x="doc_id"))
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``doc_id, text`` where a tenth of the ids, by their CRC-32, gets a text whose words repeat from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = stage(docs.select("doc_id", "text"), {"h": h, "words": F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORD})")))})
+    n, g = F.size("words"), F.floor(F.col("h") / 10)
+    sized = stage(words, {"a": g % n, "n": n, "p": 1 + F.floor((n - g % n) / (3 + g % 8))})
+    repeated = F.transform(F.sequence("a", F.col("n") - 1), lambda i: F.get("words", F.col("a") + (i - F.col("a")) % F.col("p")))
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a").cast("int")), repeated), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = repeated_tails(read(spark, sf_dir, "documents"))
+    found = stage(periodic.find_runs(docs, ["doc_id"]), {"best": periodic.strongest(F.col("runs"))})
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, chat, html_main, language_id, line_dedup, mixing, neardup, packing, periodic, quality, token_counts
+from ledgerweave.llm import ann, chat, exact_topk, html_main, language_id, line_dedup, mixing, neardup, packing, periodic, quality, token_counts
 from ledgerweave.functions.stage import stage
 from ledgerweave.llm.common import WORD, read
 from ledgerweave.session import use_utc
@@ -189,3 +189,22 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM rows q JOIN rows c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 20
+"""
+
+
+@query("op12_exact_topk", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_topk.sparse_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", exact_topk.floor_of(64))
+    return exact_topk.top_k(rows.filter("id % 20 = 0"), rows, 20)

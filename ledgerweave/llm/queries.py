@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.llm import ann, chat, exact_topk, html_main, language_id, line_dedup, mixing, neardup, packing, periodic, quality, token_counts
+from ledgerweave.llm import ann, chat, exact_topk, html_main, language_id, line_dedup, mixing, neardup, packing, periodic, prefix_trie, quality, token_counts
 from ledgerweave.functions.stage import stage
-from ledgerweave.llm.common import WORD, read
+from ledgerweave.llm.common import WORD, read, written
+from ledgerweave.llm.forest import join_one
 from ledgerweave.session import use_utc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -208,3 +209,67 @@ FROM scored QUALIFY rank <= 20
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_topk.sparse_rows(read(spark, sf_dir, "embeddings"), "vec_id", "embedding", exact_topk.floor_of(64))
     return exact_topk.top_k(rows.filter("id % 20 = 0"), rows, 20)
+
+
+OP13_SQL = """
+WITH placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, @CRC % 6 AS h FROM (SELECT DISTINCT conv_id FROM placed)
+), rebuilt AS (
+  SELECT c.conv_id, b.role, b.text, b.pos FROM convs c JOIN placed b ON b.conv_id = c.base AND b.pos < c.h
+  UNION ALL SELECT c.conv_id, o.role, o.text, o.pos + 1000000000 FROM convs c JOIN placed o ON o.conv_id = c.conv_id AND o.pos >= c.h
+), turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS depth FROM rebuilt
+), chain AS (
+  SELECT conv_id, depth, length(text) AS chars, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM turns
+  UNION ALL SELECT conv_id, 0, 0, '' FROM convs
+), named AS (
+  SELECT conv_id, depth, chars, sha256(path) AS node FROM chain
+), linked AS (
+  SELECT *, lag(node) OVER (PARTITION BY conv_id ORDER BY depth) AS parent, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM named
+), nodes AS (
+  SELECT node, min(parent) AS parent, min(depth) AS depth, min(chars) AS chars, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM linked GROUP BY node
+), children AS (
+  SELECT parent AS node, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), full_nodes AS (
+  SELECT n.*, coalesce(n_children, 0) AS n_children FROM nodes n LEFT JOIN children USING (node)
+), sums AS (
+  SELECT l.node, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((f.n_convs - 1) * f.chars) AS saved_tokens
+  FROM full_nodes f JOIN linked l ON l.conv_id = f.conv_id AND l.depth <= f.depth GROUP BY l.node
+)
+SELECT f.conv_id, f.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, f.n_convs::BIGINT AS n_convs, f.n_children::BIGINT AS n_children,
+  n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, f.ends_sha256
+FROM full_nodes f JOIN sums USING (node) LEFT JOIN nodes p ON f.parent = p.node
+""".replace("@CRC", CRC_SQL.format(x="conv_id"))
+
+
+def shared_heads(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``conv_id, pos, item, chars`` where each conversation begins with up to five turns of its hundred's first one, and all ids.
+
+    Ids are replaced by ``id - id % 100`` rounded towards zero, so at most 199 conversations share a head.
+    """
+    sizes = written(rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    taken = lambda c: F.crc32(F.col(c).cast("string")) % 6
+    base = F.col("conv_id") - F.col("conv_id") % 100
+    convs = sizes.select("conv_id", base.alias("base"), taken("conv_id").alias("h"))
+    first = rows.filter("conv_id % 100 = 0 AND pos < 5").select(F.col("conv_id").alias("base"), "pos", "item", "chars")
+    heads = convs.join(first, "base").filter("pos < h").select("conv_id", "pos", "item", "chars")
+    rest = rows.withColumn("base", base).withColumn("h", taken("conv_id")).filter("pos >= h")
+    lengths = sizes.filter("conv_id % 100 = 0").select(F.col("conv_id").alias("base"), F.col("n").alias("n_base"))
+    moved = join_one(rest, lengths, "base").withColumn("pos", F.col("pos") - F.col("h") + F.least("h", F.coalesce("n_base", F.lit(0))))
+    return heads.unionByName(moved.select("conv_id", "pos", "item", "chars")), sizes.select("conv_id")
+
+
+@query("op13_prefix_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = written(prefix_trie.sequences(given), "sequences")
+    nodes, ends = prefix_trie.trie(*shared_heads(rows))
+    out = nodes.join(prefix_trie.end_digests(ends), "node", "left")
+    figures = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens"]
+    return out.select(*figures, F.coalesce("ends_sha256", F.sha2(F.lit(""), 256)).alias("ends_sha256"))

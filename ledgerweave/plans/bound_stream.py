@@ -5,17 +5,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerweave.functions import scalars as P
-from ledgerweave.operators import custody as C
 from ledgerweave.operators.addresses import address_tokens
+from ledgerweave.operators.state import latest_state
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_events import matched
 from ledgerweave.plans.bound_inbox import freeze_point
 from ledgerweave.plans.registry import bound
 from ledgerweave.session import shared_dir
 from ledgerweave.sources.files import read_csv_contract, read_document
-from ledgerweave.sources.tables import commit_version, is_committed, read_appended, read_latest
+from ledgerweave.sources.tables import commit_version, read_appended, read_latest
 from ledgerweave.streaming.batches import finish, run_ledger, run_snapshot, stream_id
-from ledgerweave.streaming.keyed import agreed, keyed_state
+from ledgerweave.streaming.gate import PROVIDER, commit_gated, gate_rows, gated_stream
 
 SLICES = 3
 FILES = 4  # files of a slice
@@ -66,48 +66,59 @@ def _(spark, sf_dir):
     return read_appended(spark, f"{home}/tables", "ledger")
 
 
-@bound(
-    "stream_state",
-    """SELECT asset, latest_tx AS tx, raw_owner, owner, custody_wallet, CAST(locked AS BIGINT) AS locked,
-              CAST(burned AS BIGINT) AS burned FROM stated""",
-)
-def _(spark, sf_dir):
-    home = workspace(spark, "state")
-    locked = F.coalesce(F.col("matched") == C.LOCK, F.lit(False))
-    rows = matched(spark, sf_dir).select(
-        "asset",
-        "seq",
-        "tx",
-        F.col("to_owner").alias("raw_owner"),
-        F.when(locked, F.col("caller")).otherwise(F.col("to_owner")).alias("owner"),
-        F.when(locked, F.col("wallet")).alias("custody_wallet"),
-        F.when(locked, 1).otherwise(0).cast("bigint").alias("locked"),
-        F.when(F.col("class") == C.SENT, 1).otherwise(0).cast("bigint").alias("burns"),
-    )
+def named_moves(spark, sf_dir):
+    """Matched movements whose transaction ids are text."""
+    return matched(spark, sf_dir).withColumn("tx", F.concat(F.lit("tx-"), F.col("tx").cast("string")))
+
+
+def run_gate(spark, moves, activation, start=None):
+    """All movements through the gate in slices by sequence number; returns the folder of the tables."""
+    home = workspace(spark, "gate")
     # A session of its own: one state partition per core starts no idle workers, and the caller's settings stay.
     own = spark.newSession()
     own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    rows = gate_rows(moves, F.lit(activation))
     arrivals(spark, rows, "seq", f"{home}/in")
     stream = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(f"{home}/in")
-    fields = ["raw_owner", "owner", "custody_wallet", "locked"]
-
-    def commit(df, batch):
-        spark_ = df.sparkSession
-        name = stream_id(spark_, f"{home}/checkpoint")
-        if not is_committed(spark_, f"{home}/tables", name, batch):
-            commit_version(spark_, f"{home}/tables", {"updates": (agreed(df), ["asset"])}, name, batch)
-
-    finish(
-        keyed_state(stream, fields)
-        .writeStream.foreachBatch(commit)
-        .outputMode("update")
-        .option("checkpointLocation", f"{home}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    updates = read_appended(spark, f"{home}/tables", "updates")
-    last = updates.groupBy("asset").agg(F.max(F.struct("seq", "tx", *fields, "burned")).alias("_s"))
-    return last.select("asset", *[F.col(f"_s.{c}") for c in ("tx", *fields, "burned")])
+    checkpoint = f"{home}/checkpoint"
+
+    def land(df, batch):
+        commit_gated(df, f"{home}/tables", stream_id(df.sparkSession, checkpoint), batch)
+
+    if start is not None:
+        begin = f"{home}/start"
+        start.write.parquet(begin)
+        start = own.read.parquet(begin)
+    query = gated_stream(stream, start).writeStream.foreachBatch(land).outputMode("update")
+    finish(query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    return f"{home}/tables"
+
+
+@bound(
+    "stream_state",
+    """SELECT asset, 'tx-' || latest_tx AS tx, raw_owner, owner, custody_wallet, CAST(locked AS BIGINT) AS locked,
+              CAST(burned AS BIGINT) AS burned FROM stated""",
+)
+def _(spark, sf_dir):
+    """No cursors yet and an instant before all movements: every one applies."""
+    first = V.table(spark, sf_dir, "events").agg(F.min("ts") - F.expr("interval 1 day")).first()[0]
+    updates = read_appended(spark, run_gate(spark, named_moves(spark, sf_dir), first), "updates")
+    fields = ["raw_owner", "owner", "custody_wallet", "locked", "burned"]
+    last = updates.groupBy("asset").agg(F.max(F.struct("last_seq", "last_tx", *fields)).alias("_s"))
+    return last.select("asset", F.col("_s.last_tx").alias("tx"), *[F.col(f"_s.{c}") for c in fields])
+
+
+@bound("stream_statuses", "SELECT status, count(*) AS n FROM gated GROUP BY 1")
+def _(spark, sf_dir):
+    """Statuses of all micro-batches, from the committed cursors and states of the first half of the log."""
+    moves = named_moves(spark, sf_dir)
+    cut = V.table(spark, sf_dir, "events").agg(F.expr("(max(event_id) + 1) div 2")).first()[0]
+    early = moves.filter(F.col("seq") < cut)
+    activation = early.agg(F.max("ts")).first()[0]
+    start = latest_state(early).join(early.groupBy("asset").agg(F.max("seq").alias("last_seq")), "asset").withColumn("last_tx", F.col("latest_tx"))
+    tables = run_gate(spark, moves, activation, start.filter(F.col("asset") % 5 != 0))
+    return read_appended(spark, tables, "statuses").groupBy("status").agg(F.sum("n").alias("n"))
 
 
 @bound(

@@ -1,9 +1,9 @@
-"""Keyed stream: the last applied movement of every asset as the state of a streaming aggregate.
+"""Keyed stream without a state processor: the last movement of every asset as a streaming aggregate of built-in functions.
 
-It covers movements only; restart calls are keyed by user and need the set-based batch. The state is the maximum by
-(seq, tx) and a sticky burn flag, so it does not depend on the order of arrival, needs no Python, and rows of a busy asset
-collapse before the shuffle. Two transactions at one sequence number of an asset are a conflict: their number of distinct
-ids at the last sequence number cannot be one, and ``agreed`` fails the micro-batch.
+It has no cursors and no statuses; ``streaming.gate`` has both. The state is the maximum by (seq, tx) and a sticky burn flag,
+so it does not depend on the order of arrival, needs no Python, and rows of a busy asset collapse before the shuffle. Two
+transactions at the last sequence number of an asset are a conflict, and ``agreed`` fails the micro-batch; at an earlier number
+they are not seen. Ids may be of any type.
 """
 
 from __future__ import annotations
@@ -19,10 +19,11 @@ class ConflictingMoves(RuntimeError):
 def keyed_state(moves: DataFrame, fields: list[str]) -> DataFrame:
     """Streaming frame of state rows. Input: asset, seq, tx, burns and the state ``fields``."""
     last = F.max(F.struct("seq", "tx", *fields))
-    # The smallest and largest id at the last sequence number, each as a maximum by (seq, id).
-    low = F.max(F.struct("seq", (-F.col("tx")).alias("n")))
+    # The smallest and largest mark of an id at the last sequence number, each as a maximum by (seq, mark).
+    mark = F.shiftright(F.xxhash64("tx"), 1)
+    low, high = (F.max(F.struct("seq", m.alias("n"))) for m in (-mark, mark))
     state = moves.groupBy("asset").agg(
-        last.alias("_s"), low.alias("_l"), F.max("burns").alias("burned"), F.count(F.lit(1)).alias("seen")
+        last.alias("_s"), low.alias("_l"), high.alias("_h"), F.max("burns").alias("burned"), F.count(F.lit(1)).alias("seen")
     )
     return state.select(
         "asset",
@@ -31,7 +32,7 @@ def keyed_state(moves: DataFrame, fields: list[str]) -> DataFrame:
         *[f"_s.{c}" for c in fields],
         "burned",
         "seen",
-        (F.col("_s.tx") != -F.col("_l.n")).alias("conflict"),
+        (F.col("_h.n") != -F.col("_l.n")).alias("conflict"),
     )
 
 

@@ -19,7 +19,10 @@ PROGRAMS = [K.CUSTODY_PROGRAM, K.SYSTEM_PROGRAM, *K.TOKEN_PROGRAMS, *[x.program
 
 @dataclass
 class Reduction:
-    """Frames of a reduced batch. ``unresolved`` and ``conflicts`` must be empty before a commit."""
+    """Frames of a reduced batch. ``unresolved`` and ``conflicts`` must be empty before a commit.
+
+    ``state`` and ``cursors`` hold the assets that the batch changed, and no others.
+    """
 
     state: DataFrame
     cursors: DataFrame
@@ -40,18 +43,35 @@ def empty_state(assets: DataFrame, tx_type: str = "string") -> DataFrame:
     return assets.select("asset", zero.alias("burned"), zero.alias("locked"), *rest).select(*T.STATE_COLUMNS)
 
 
-def reduce_log(
-    moves: DataFrame, calls: DataFrame, base: DataFrame, cursors: DataFrame, activation: Column
-) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """State after movements and calls; returns (state, cursors, gated movements, call effects)."""
+@dataclass
+class Walk:
+    """A log walked against a base: gated movements, those applied, restart updates of episodes and effects of calls."""
+
+    gated: DataFrame
+    applied: DataFrame
+    updates: DataFrame
+    effects: DataFrame
+
+    def state(self, base: DataFrame) -> DataFrame:
+        moved = T.merge_state(base, T.latest_state(self.applied))
+        return X.apply_restarts(moved, self.updates, T.ACTIVITY_SOURCE, T.ACTIVITY_DEPTH)
+
+
+def walk_log(moves: DataFrame, calls: DataFrame, base: DataFrame, cursors: DataFrame, activation: Column) -> Walk:
     gated = C.cursor_gate(C.match_custody(moves, calls), cursors, activation)
     applied = gated.filter(F.col("status") == C.APPLY)
     episodes = X.lock_episodes(applied, base)
     asked, spans = X.walk(episodes, calls.filter(F.col("action") == C.RESTART))
     odd = X.stray_updates(asked, spans)
-    moved = T.merge_state(base, T.latest_state(applied))
-    after = X.apply_restarts(moved, X.restart_fanout(asked, spans, odd), T.ACTIVITY_SOURCE, T.ACTIVITY_DEPTH)
-    return after, T.next_cursors(cursors, applied), gated, X.restart_effects(asked, spans, odd)
+    return Walk(gated, applied, X.restart_fanout(asked, spans, odd), X.restart_effects(asked, spans, odd))
+
+
+def reduce_log(
+    moves: DataFrame, calls: DataFrame, base: DataFrame, cursors: DataFrame, activation: Column
+) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """State after movements and calls; returns (state, cursors, gated movements, call effects)."""
+    log = walk_log(moves, calls, base, cursors, activation)
+    return log.state(base), T.next_cursors(cursors, log.applied), log.gated, log.effects
 
 
 def reduce_batch(
@@ -70,7 +90,11 @@ def reduce_batch(
     moves = D.movement_rows(fine, assets)
     calls = D.custody_calls(fine)
     sales = D.sale_rows(fine, assets)
-    state, next_cursors, gated, effects = reduce_log(moves, calls, base, cursors, activation)
+    log = walk_log(moves, calls, base, cursors, activation)
+    gated, effects = log.gated, log.effects
+    moved = log.applied.select("asset").distinct()
+    restarted = log.updates.filter(F.col("end_seq") == X.FOREVER).select("asset")
+    touched = settled(moved.unionByName(restarted).distinct())
     reasons = C.unresolved(gated, calls, sales, vaults=[K.MARKET_VAULT]).unionByName(
         fine.filter("undecodable").select(
             F.col("tx_id").alias("tx"), F.lit(None).cast("string").alias("asset"), F.lit("undecodable data").alias("reason")
@@ -88,8 +112,8 @@ def reduce_batch(
     )
     total = effects.agg(F.coalesce(F.sum("assets_changed"), F.lit(0)).cast("bigint")).scalar()
     return Reduction(
-        state=state,
-        cursors=next_cursors,
+        state=log.state(base.join(touched, "asset", "left_semi")),
+        cursors=T.next_cursors(cursors.join(moved, "asset", "left_semi"), log.applied),
         sales=fresh,
         ledger=ledger,
         unresolved=reasons,

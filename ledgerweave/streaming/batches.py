@@ -2,6 +2,11 @@
 
 A stream only appends: every arrival goes into the inbox, insert-or-ignore, whatever its time. A batch is what is pending
 in the inbox at an instant S. Rows that arrive after S stay pending and are in the batch of a later instant.
+
+A batch never looks through the history for what is pending. It keeps a mark, the inbox version up to which arrivals have been
+looked at, and the ``open`` table of rows that had landed by then but belong to a later instant. The next batch reads the open
+rows and the inbox versions above the mark. The mark counts landings, not times, so a row that arrives late, however old its
+time is, lies above it.
 """
 
 from __future__ import annotations
@@ -13,10 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ledgerweave.functions.ordered import keep_first
-from ledgerweave.operators.inbox import COMMITTED, batch_manifest, recover_batch
+from ledgerweave.operators.inbox import COMMITTED, batch_manifest, recover_batch, upsert
 from ledgerweave.plans.live_batch import empty_state, reduce_batch
 from ledgerweave.session import settled
-from ledgerweave.sources.tables import commit_version, is_committed, read_appended, read_latest
+from ledgerweave.sources.tables import ByChange, commit_version, is_committed, read_latest, read_overlapping, read_since
 from ledgerweave.sources.tx_json import scan_tx
 
 
@@ -37,18 +42,32 @@ def append_once(
 ) -> None:
     """Insert-or-ignore of one micro-batch into an append-only table.
 
-    ``order`` is a value a repeated key repeats; the table is kept in its order, so only the part
-    the batch overlaps is read back. A micro-batch that has been committed is skipped.
+    ``order`` is a value a repeated key repeats; the table is kept in its order, so only the versions and the part of them
+    that the batch overlaps are read back. A micro-batch that has been committed is skipped.
     """
     spark: SparkSession = df.sparkSession
     if stream is not None and is_committed(spark, root, stream, batch):
         return
     fresh = settled(keep_first(df, [key], [c for c in df.columns if c != key]))
     low, high = fresh.agg(F.min(order), F.max(order)).first()
-    held = read_appended(spark, root, name)
-    if held is not None and low is not None:
-        fresh = fresh.join(held.filter(F.col(order).between(low, high)).select(key), key, "left_anti")
-    commit_version(spark, root, {name: (fresh, [order, key])}, stream, batch)
+    span = None if low is None else (low, high)
+    held = None if span is None else read_overlapping(spark, root, name, order, *span)
+    if held is not None:
+        fresh = fresh.join(held.select(key), key, "left_anti")
+    commit_version(spark, root, {name: (fresh, [order, key])}, stream, batch, span)
+
+
+def candidates(spark: SparkSession, inbox: str, tables: str, mark: str) -> tuple[DataFrame | None, int | None]:
+    """Rows no batch has taken yet: the open ones of the last batch and what has landed above its mark; and the new mark.
+
+    ``mark`` names the one-row table that holds it.
+    """
+    last = read_latest(spark, tables, mark)
+    landed, upto = read_since(spark, inbox, "rows", None if last is None else last.select("mark").first()[0])
+    if last is None:
+        return landed, upto
+    still = read_latest(spark, tables, "open")
+    return still if landed is None else still.unionByName(landed), upto
 
 
 def run_ledger(
@@ -80,13 +99,16 @@ def run_snapshot(stream: DataFrame, upto: Column, root: str, checkpoint: str) ->
     """
     spark = stream.sparkSession
     finish(run_ledger(stream, f"{root}/inbox", checkpoint, "tx_id", "seq", "rows"))
-    rows = read_appended(spark, f"{root}/inbox", "rows")
-    frozen = rows.filter((F.col("status") == "pending") & (F.col("received_at") <= upto))
-    taken = read_appended(spark, f"{root}/snapshots", "ids")
-    if taken is not None:
-        frozen = frozen.join(taken, "tx_id", "left_anti")
-    frozen = settled(frozen)
-    commit_version(spark, f"{root}/snapshots", {"ids": (frozen.select("tx_id"), ["tx_id"])})
+    tables = f"{root}/snapshots"
+    rows, mark = candidates(spark, f"{root}/inbox", tables, "marks")
+    if rows is None:
+        return spark.createDataFrame([], stream.schema)
+    rows = settled(rows.filter(F.col("status") == "pending"))
+    taken = F.coalesce(F.col("received_at") <= upto, F.lit(False))
+    frozen = rows.filter(taken)
+    marks = spark.createDataFrame([(mark,)], "mark bigint")
+    frames = {"ids": (frozen.select("tx_id"), ["tx_id"]), "open": (rows.filter(~taken), ["tx_id"]), "marks": (marks, ["mark"])}
+    commit_version(spark, tables, frames)
     return frozen
 
 
@@ -104,32 +126,29 @@ def reduce_pending(
     those the ledger held already among them, so that they are acknowledged again) and a checkpoint row that sums it up.
     Unresolved cases go to the ``quarantine`` table with their reasons, and nothing else is committed.
     """
-    inbox = read_appended(spark, f"{root}/inbox", "rows")
-    if inbox is None:
-        return None
     tables = f"{root}/tables"
-    manifest = read_appended(spark, tables, "manifest")
-    batch = inbox.filter(F.col("received_at") <= snapshot)
-    if manifest is not None:
-        batch = batch.join(manifest.select("tx_id"), "tx_id", "left_anti")
-    scanned = settled(scan_tx(batch, snapshot))
+    rows, mark = candidates(spark, f"{root}/inbox", tables, "checkpoint")
+    if rows is None:
+        return None
+    arrived_by = F.coalesce(F.col("received_at") <= snapshot, F.lit(False))
+    scanned = settled(scan_tx(rows.filter(arrived_by), snapshot))
     low, high, total = scanned.agg(F.min("seq"), F.max("seq"), F.count(F.lit(1))).first()
     if not total:
         return None
     state = read_latest(spark, tables, "state")
     cursors = read_latest(spark, tables, "cursors")
-    sold = read_appended(spark, tables, "sales")
-    ledger = read_appended(spark, tables, "ledger")
-    state = empty_state(assets) if state is None else state
+    first = state is None
+    state = empty_state(assets) if first else state
     if cursors is None:
         cursors = spark.createDataFrame([], "asset string, last_seq bigint, last_tx string")
     # A repeated transaction has its old sequence number, and both tables are written in that
-    # order, so file statistics leave most of the past unread.
-    nearby = F.col("seq").between(low, high)
-    sold = spark.createDataFrame([], "tx string, asset string, seq bigint") if sold is None else sold.filter(nearby)
+    # order, so versions and files elsewhere in it stay unread.
+    sold = read_overlapping(spark, tables, "sales", "seq", low, high)
+    ledger = read_overlapping(spark, tables, "ledger", "seq", low, high)
+    sold = spark.createDataFrame([], "tx string, asset string") if sold is None else sold
     known = spark.createDataFrame([], "tx_id string")
     if ledger is not None:
-        known = settled(ledger.filter(nearby).select(F.col("tx").alias("tx_id")))
+        known = settled(ledger.select(F.col("tx").alias("tx_id")))
     fresh = scanned.join(known, "tx_id", "left_anti")
     result = reduce_batch(fresh.filter(F.col("reason").isNull()), state, cursors, sold, activation, encoding)
     problems = settled(
@@ -174,14 +193,16 @@ def reduce_pending(
         spark,
         tables,
         {
-            "state": (result.state, ["asset"]),
-            "cursors": (result.cursors, ["asset"]),
+            "state": ByChange(upsert(state, settled(result.state), "asset") if first else result.state, "asset"),
+            "cursors": ByChange(result.cursors, "asset"),
             "sales": (result.sales, ["seq", "tx", "asset"]),
             "ledger": (result.ledger.join(arrived, "tx").withColumn("source", F.lit(SOURCE)), ["seq", "tx"]),
             "counters": (result.counters.unionByName(more), ["counter"]),
             "manifest": (ids, ["seq", "tx_id"]),
-            "checkpoint": (stamp.withColumn("snapshot", snapshot), ["snapshot"]),
+            "open": (rows.filter(~arrived_by), ["tx_id"]),
+            "checkpoint": (stamp.withColumn("snapshot", snapshot).withColumn("mark", F.lit(mark).cast("bigint")), ["snapshot"]),
         },
+        span=(low, high),
     )
 
 

@@ -10,15 +10,23 @@ assets, so the pairs are never built for orderly data:
   open episode, and a call with the same time as its predecessor updates only the episodes that
   began in between. Both counts come from prefix sums and key lookups.
 * A call is out of order when it is earlier than an earlier call, lock or prior activity of its
-  user. Episodes that contain such a call are resolved on their own by an equality join on the
-  user with a range condition.
+  user. Episodes that contain such a call are resolved on their own, again without pairs: inside an
+  episode the updating calls are the running maxima of time from its first sufficient call on, so
+  each is the next later-timed call after the one before. These links form a forest over the user's
+  calls. An episode is a path in it, from its first sufficient call up to its latest-timed one; the
+  ends are found by searches along the calls (``functions.nearest``). Its length is a difference of
+  depths, and how many paths run through a call is a sum over the calls under it, which are an
+  interval; both are prefix sums.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.nearest import Blocks
 from ledgerweave.functions.ordered import CHUNK, exclusive_prefix
 from ledgerweave.operators.custody import LOCK, TRANSFER
 from ledgerweave.session import settled
@@ -161,38 +169,71 @@ def walk(episodes: DataFrame, calls: DataFrame, chunk: int = CHUNK) -> tuple[Dat
     )
 
 
-CALLS = 256  # calls of a user that meet in one key of the pair join
+CALLS = 256  # calls of a user in one block of the searches
 
 
-def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls: int = CALLS) -> DataFrame:
-    """Updates inside the episodes that contain an out-of-order call, one row per (call, episode).
+@dataclass
+class StrayUpdates:
+    """Updates in the episodes that contain an out-of-order call: one row for each episode, and a count for each call."""
 
-    A user's calls are numbered, and an episode covers a range of numbers. Calls and episodes are joined by buckets of
-    numbers, so a pair is built only where it overlaps and a busy user is spread over many keys.
-    """
-    stray = spans.filter(F.col("strays_in") > 0).select(
-        "user", *EPISODE, "end_seq", "end_tx", "lock_ts", "prior_ts", "k0", (F.col("k0") + F.col("inside")).alias("_k1")
-    )
-    odd = stray.withColumn("_bucket", F.explode(F.expr(f"sequence(k0 div {calls}, (_k1 - 1) div {calls})")))
-    inside = (
-        asked.select("user", "seq", "tx", "t", "k", F.expr(f"k div {calls}").alias("_bucket"))
-        .join(odd, ["user", "_bucket"])
-        .filter(
-            (F.col("k") >= F.col("k0"))
-            & (F.col("k") < F.col("_k1"))
-            & (F.col("t") >= F.col("lock_ts"))
-            & F.coalesce(F.col("t") > F.col("prior_ts"), F.lit(True))
+    episodes: DataFrame
+    calls: DataFrame
+
+
+def _ticks(df: DataFrame, column: str) -> Column:
+    """A time as a long of the same order."""
+    kind = df.schema[column].dataType.simpleString()
+    if kind == "timestamp_ntz":
+        return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast(kind), F.col(column))
+    return F.unix_micros(column) if kind == "timestamp" else F.col(column).cast("bigint")
+
+
+def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls: int = CALLS) -> StrayUpdates:
+    """Resolve the episodes that contain an out-of-order call; rows stay a few for each call and episode of their users."""
+    piece = F.expr(f"k div {chunk}")
+    odd = spans.filter(F.col("strays_in") > 0)
+    floor = F.greatest(_ticks(odd, "lock_ts"), _ticks(odd, "prior_ts") + 1)  # the later of both; a NULL is passed over
+    stray = settled(
+        odd.filter(F.col("lock_ts").isNotNull()).select(
+            F.monotonically_increasing_id().alias("id"), "user", *EPISODE, "end_seq", "k0", (F.col("k0") + F.col("inside")).alias("k1"), floor.alias("floor")
         )
-        .drop("_bucket", "k", "k0", "_k1")
-        .withColumn("_episode", F.struct(*EPISODE))
     )
-    ranked = exclusive_prefix(
-        inside, ["_episode"], ["seq", "tx"], F.expr(f"seq div {chunk}"), maxima={"_best": F.col("t")}
+    ours = asked.join(stray.select("user").distinct(), "user", "left_semi")
+    numbered = settled(ours.select("user", "seq", "tx", F.col("t").alias("ts"), "k", _ticks(asked, "t").alias("t")))
+    blocks = Blocks(numbered, "user", "k", "t", calls)
+
+    # The last earlier call that is not earlier in time: the calls after it, up to this one, are those under it.
+    linked = blocks.last_at_least(numbered, F.col("k") - 1, F.col("t"), "under")
+    linked = settled(linked.withColumn("under", F.coalesce("under", F.lit(-1))))
+    begun = linked.groupBy("user", (F.col("under") + 1).alias("k")).agg(F.count(F.lit(1)).alias("_begun"))
+    change = linked.join(begun, ["user", "k"], "left").withColumn("_change", F.coalesce("_begun", F.lit(0)) - 1).drop("_begun")
+    sums = exclusive_prefix(settled(change), ["user"], ["k"], piece, sums={"_depth": F.col("_change")})
+    deep = settled(sums.select("user", "seq", "tx", "ts", "k", "t", "under", (F.col("_depth") + F.col("_change")).alias("depth")))
+
+    named = lambda prefix, *names: deep.select("user", F.col("k").alias(prefix), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
+    first = blocks.first_at_least(stray, F.col("k0"), F.col("floor"), "first").filter(F.col("first") < F.col("k1"))
+    ends = blocks.first_highest(settled(first), ["id"], F.col("first"), F.col("k1"), "last")
+    paths = ends.join(named("first", "depth"), ["user", "first"]).join(named("last", "depth", "t", "ts", "tx"), ["user", "last"])
+    beyond = settled(blocks.first_at_least(paths, F.col("last") + 1, F.col("last_t") + 1, "beyond"))
+    episodes = beyond.select(
+        "user", *EPISODE, "end_seq",
+        (F.col("first_depth") - F.col("last_depth") + 1).alias("updates"),
+        F.col("last_ts").alias("activity_ts"),
+        F.col("last_tx").alias("activity_tx"),
+    )
+
+    marks = beyond.select("user", F.col("first").alias("k"), F.lit(1).alias("_w")).unionByName(
+        beyond.filter(F.col("beyond").isNotNull()).select("user", F.col("beyond").alias("k"), F.lit(-1).alias("_w"))
     )
-    return ranked.filter(F.col("_best").isNull() | (F.col("t") > F.col("_best"))).drop("_episode", "_best")
+    weighed = deep.join(marks.groupBy("user", "k").agg(F.sum("_w").alias("_w")), ["user", "k"], "left").withColumn("_w", F.coalesce("_w", F.lit(0)))
+    upto = exclusive_prefix(settled(weighed), ["user"], ["k"], piece, sums={"_s": F.col("_w")})
+    upto = settled(upto.select("user", "seq", "tx", "k", "under", (F.col("_s") + F.col("_w")).alias("_s")))
+    before = upto.select("user", F.col("k").alias("under"), F.col("_s").alias("_b"))
+    through = upto.join(before, ["user", "under"], "left").select("user", "seq", "tx", (F.col("_s") - F.coalesce("_b", F.lit(0))).alias("_rough"))
+    return StrayUpdates(episodes, through.filter("_rough > 0"))
 
 
-def restart_fanout(asked: DataFrame, spans: DataFrame, odd: DataFrame) -> DataFrame:
+def restart_fanout(asked: DataFrame, spans: DataFrame, odd: StrayUpdates) -> DataFrame:
     """Episodes with at least one update: number of updates, last activity and its transaction."""
     plain = spans.filter((F.col("strays_in") == 0) & (F.col("inside") > 0))
     first = asked.select("user", F.col("k").alias("k0"), F.col("step").alias("_first_step"), F.col("tx").alias("_first_tx"))
@@ -202,16 +243,10 @@ def restart_fanout(asked: DataFrame, spans: DataFrame, odd: DataFrame) -> DataFr
         F.col("last_call.t").alias("activity_ts"),
         F.when(F.col("steps_in") > 0, F.col("last_step.tx")).otherwise(F.col("_first_tx")).alias("activity_tx"),
     )
-    last = odd.groupBy("user", *EPISODE, "end_seq").agg(
-        F.count(F.lit(1)).alias("updates"), F.max(F.struct("t", "tx")).alias("_l")
-    )
-    rough = last.select(
-        "user", *EPISODE, "end_seq", "updates", F.col("_l.t").alias("activity_ts"), F.col("_l.tx").alias("activity_tx")
-    )
-    return calm.unionByName(rough)
+    return calm.unionByName(odd.episodes)
 
 
-def restart_effects(asked: DataFrame, spans: DataFrame, odd: DataFrame, chunk: int = CHUNK) -> DataFrame:
+def restart_effects(asked: DataFrame, spans: DataFrame, odd: StrayUpdates, chunk: int = CHUNK) -> DataFrame:
     """Assets changed by each call."""
     plain = spans.filter((F.col("strays_in") == 0) & (F.col("inside") > 0))
     edge = lambda seq, tx, n: plain.select(
@@ -225,7 +260,6 @@ def restart_effects(asked: DataFrame, spans: DataFrame, odd: DataFrame, chunk: i
     opened = exclusive_prefix(line, ["user"], ORDER, F.expr(f"seq div {chunk}"), sums={"open": F.col("_n")})
     standing = opened.filter(F.col("phase") == 1).select("user", "seq", "tx", "open")
     begun = plain.groupBy("user", F.col("k0").alias("k")).agg(F.count(F.lit(1)).alias("_begun"))
-    rough = odd.groupBy("user", "seq", "tx").agg(F.count(F.lit(1)).alias("_rough"))
     calm = (
         F.when(F.col("stray"), F.lit(0))
         .when(F.col("step"), F.col("open"))
@@ -234,7 +268,7 @@ def restart_effects(asked: DataFrame, spans: DataFrame, odd: DataFrame, chunk: i
     return (
         asked.join(standing, ["user", "seq", "tx"])
         .join(begun, ["user", "k"], "left")
-        .join(rough, ["user", "seq", "tx"], "left")
+        .join(odd.calls, ["user", "seq", "tx"], "left")
         .select(
             "user", "seq", "tx", F.col("t").alias("ts"),
             (calm + F.coalesce(F.col("_rough"), F.lit(0))).cast("bigint").alias("assets_changed"),

@@ -3,7 +3,7 @@
 The rows of a key are cut into blocks of ``size`` numbers, one row each, blocks into blocks of blocks, and so on; a block knows
 its highest value. A search looks at the rest of its own block, then at the rest of the block above, until some block reaches
 the value, and from there down to the row. So a search is one row a level, up and down, and compares with at most ``size``
-values at each; nothing is joined with a range. ``size`` levels apart, log(rows) / log(size) levels suffice.
+values at each; nothing is joined with a range, and log(rows) / log(size) levels suffice.
 
 Numbers start at 0 for each key and have no gap. Values and thresholds are long, without NULL.
 """
@@ -67,7 +67,6 @@ class Blocks:
                 F.when(F.col("_hit").isNotNull(), F.col("_level")).when(F.col("_got").isNotNull(), level).alias("_level"),
                 F.when(F.coalesce("_hit", "_got").isNotNull(), F.col("_at")).when(F.col("_at") < 0, -1).otherwise(step).alias("_at"),
             )
-            up = settled(up)
         down = up
         for level in range(len(self.levels) - 2, -1, -1):
             # A hit above this level is a block of this level: its first or last value that reaches.
@@ -76,7 +75,7 @@ class Blocks:
             reach = F.filter(F.transform("_values", lambda v, i: F.when(v >= F.col("_least"), i.cast("bigint"))), lambda i: i.isNotNull())
             moved = inner.select(*kept, "_least", (end(reach) + F.col("_block") * self.size).alias("_hit"), F.col("_level"))
             down = deep.filter(F.coalesce(F.col("_level") <= level, F.lit(True))).unionByName(moved)
-        return settled(down.select(*kept, F.col("_hit").alias(name)))
+        return down.select(*kept, F.col("_hit").alias(name))
 
     def first_highest(self, searches: DataFrame, ident: list[str], low: Column, high: Column, name: str) -> DataFrame:
         """Add ``name``: the smallest number with the highest value from ``low`` to below ``high``, NULL for an empty range.
@@ -107,7 +106,9 @@ class Blocks:
         starts = F.expr("-_best.m") * F.pow(F.lit(self.size), F.col("_best.level")).cast("bigint")
         ranked = best.select(self.key, *ident, F.struct(F.col("_best.v").alias("v"), (-starts).alias("s"), F.col("_best.level").alias("level"), F.col("_best.m").alias("m")).alias("_best"))
         last_best = ranked.groupBy(self.key, *ident).agg(F.max("_best").alias("_best"))
-        rows = settled(last_best.select(self.key, *ident, F.col("_best.v").alias("_v"), F.col("_best.level").alias("_level"), (-F.col("_best.m")).alias("_m")))
+        rows = last_best.select(self.key, *ident, F.col("_best.v").alias("_v"), F.col("_best.level").alias("_level"), (-F.col("_best.m")).alias("_m"))
+        if len(self.levels) > 1:
+            rows = settled(rows)
         for level in range(len(self.levels) - 2, -1, -1):
             inner = rows.filter(F.col("_level") > level).withColumn("_block", F.col("_m")).join(self.levels[level], [self.key, "_block"])
             moved = inner.select(self.key, *ident, "_v", F.lit(level).alias("_level"), (F.array_position("_values", F.col("_v")) - 1 + F.col("_block") * self.size).alias("_m"))

@@ -16,7 +16,8 @@ assets, so the pairs are never built for orderly data:
   calls. An episode is a path in it, from its first sufficient call up to its latest-timed one; the
   ends are found by searches along the calls (``functions.nearest``). Its length is a difference of
   depths, and how many paths run through a call is a sum over the calls under it, which are an
-  interval; both are prefix sums.
+  interval; both are prefix sums. Where the pairs are no more than a few for each call and episode,
+  as their counted number shows, they are joined instead: that is linear as well, with fewer steps.
 """
 
 from __future__ import annotations
@@ -169,7 +170,8 @@ def walk(episodes: DataFrame, calls: DataFrame, chunk: int = CHUNK) -> tuple[Dat
     )
 
 
-CALLS = 256  # calls of a user in one block of the searches
+CALLS = 256  # calls of a user in one block of the searches, or in one key of the pair join
+PAIRS = 4  # pairs for each call and episode up to which they are joined
 
 
 @dataclass
@@ -189,17 +191,39 @@ def _ticks(df: DataFrame, column: str) -> Column:
 
 
 def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls: int = CALLS) -> StrayUpdates:
-    """Resolve the episodes that contain an out-of-order call; rows stay a few for each call and episode of their users."""
-    piece = F.expr(f"k div {chunk}")
-    odd = spans.filter(F.col("strays_in") > 0)
+    """Resolve the episodes that contain an out-of-order call; rows stay a few for each call and episode."""
+    odd = spans.filter((F.col("strays_in") > 0) & F.col("lock_ts").isNotNull())
     floor = F.greatest(_ticks(odd, "lock_ts"), _ticks(odd, "prior_ts") + 1)  # the later of both; a NULL is passed over
     stray = settled(
-        odd.filter(F.col("lock_ts").isNotNull()).select(
+        odd.select(
             F.monotonically_increasing_id().alias("id"), "user", *EPISODE, "end_seq", "k0", (F.col("k0") + F.col("inside")).alias("k1"), floor.alias("floor")
         )
     )
+    numbered = asked.select("user", "seq", "tx", F.col("t").alias("ts"), "k", _ticks(asked, "t").alias("t"))
+    pairs, episodes = stray.agg(F.coalesce(F.sum(F.col("k1") - F.col("k0")), F.lit(0)), F.count(F.lit(1))).first()
+    few = pairs <= PAIRS * (episodes + asked.count())
+    return (_by_pairs if few else _by_paths)(numbered, stray, chunk, calls)
+
+
+def _by_pairs(numbered: DataFrame, stray: DataFrame, chunk: int, calls: int) -> StrayUpdates:
+    """Join calls and episodes by buckets of call numbers, so that a busy user is spread over many keys."""
+    spread = stray.withColumn("_bucket", F.explode(F.expr(f"sequence(k0 div {calls}, (k1 - 1) div {calls})")))
+    inside = (
+        numbered.withColumn("_bucket", F.expr(f"k div {calls}"))
+        .join(spread, ["user", "_bucket"])
+        .filter((F.col("k") >= F.col("k0")) & (F.col("k") < F.col("k1")) & (F.col("t") >= F.col("floor")))
+    )
+    ranked = exclusive_prefix(inside, ["id"], ["k"], F.expr(f"k div {chunk}"), maxima={"_best": F.col("t")})
+    updates = settled(ranked.filter(F.col("_best").isNull() | (F.col("t") > F.col("_best"))))
+    last = updates.groupBy("user", *EPISODE, "end_seq").agg(F.count(F.lit(1)).alias("updates"), F.max(F.struct("t", "ts", "tx")).alias("_l"))
+    episodes = last.select("user", *EPISODE, "end_seq", "updates", F.col("_l.ts").alias("activity_ts"), F.col("_l.tx").alias("activity_tx"))
+    return StrayUpdates(episodes, updates.groupBy("user", "seq", "tx").agg(F.count(F.lit(1)).alias("_rough")))
+
+
+def _by_paths(asked: DataFrame, stray: DataFrame, chunk: int, calls: int) -> StrayUpdates:
+    piece = F.expr(f"k div {chunk}")
     ours = asked.join(stray.select("user").distinct(), "user", "left_semi")
-    numbered = settled(ours.select("user", "seq", "tx", F.col("t").alias("ts"), "k", _ticks(asked, "t").alias("t")))
+    numbered = settled(ours)
     blocks = Blocks(numbered, "user", "k", "t", calls)
 
     # The last earlier call that is not earlier in time: the calls after it, up to this one, are those under it.
@@ -207,12 +231,12 @@ def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls:
     linked = settled(linked.withColumn("under", F.coalesce("under", F.lit(-1))))
     begun = linked.groupBy("user", (F.col("under") + 1).alias("k")).agg(F.count(F.lit(1)).alias("_begun"))
     change = linked.join(begun, ["user", "k"], "left").withColumn("_change", F.coalesce("_begun", F.lit(0)) - 1).drop("_begun")
-    sums = exclusive_prefix(settled(change), ["user"], ["k"], piece, sums={"_depth": F.col("_change")})
+    sums = exclusive_prefix(change, ["user"], ["k"], piece, sums={"_depth": F.col("_change")})
     deep = settled(sums.select("user", "seq", "tx", "ts", "k", "t", "under", (F.col("_depth") + F.col("_change")).alias("depth")))
 
     named = lambda prefix, *names: deep.select("user", F.col("k").alias(prefix), *[F.col(c).alias(f"{prefix}_{c}") for c in names])
     first = blocks.first_at_least(stray, F.col("k0"), F.col("floor"), "first").filter(F.col("first") < F.col("k1"))
-    ends = blocks.first_highest(settled(first), ["id"], F.col("first"), F.col("k1"), "last")
+    ends = blocks.first_highest(first, ["id"], F.col("first"), F.col("k1"), "last")
     paths = ends.join(named("first", "depth"), ["user", "first"]).join(named("last", "depth", "t", "ts", "tx"), ["user", "last"])
     beyond = settled(blocks.first_at_least(paths, F.col("last") + 1, F.col("last_t") + 1, "beyond"))
     episodes = beyond.select(
@@ -226,7 +250,7 @@ def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls:
         beyond.filter(F.col("beyond").isNotNull()).select("user", F.col("beyond").alias("k"), F.lit(-1).alias("_w"))
     )
     weighed = deep.join(marks.groupBy("user", "k").agg(F.sum("_w").alias("_w")), ["user", "k"], "left").withColumn("_w", F.coalesce("_w", F.lit(0)))
-    upto = exclusive_prefix(settled(weighed), ["user"], ["k"], piece, sums={"_s": F.col("_w")})
+    upto = exclusive_prefix(weighed, ["user"], ["k"], piece, sums={"_s": F.col("_w")})
     upto = settled(upto.select("user", "seq", "tx", "k", "under", (F.col("_s") + F.col("_w")).alias("_s")))
     before = upto.select("user", F.col("k").alias("under"), F.col("_s").alias("_b"))
     through = upto.join(before, ["user", "under"], "left").select("user", "seq", "tx", (F.col("_s") - F.coalesce("_b", F.lit(0))).alias("_rough"))

@@ -77,3 +77,25 @@ def test_busy_user_with_falling_calls(spark, monkeypatch):
     assert got == want and max(u for u, *_ in want.values()) > 5
     assert {r["tx"]: r["_rough"] for r in odd.calls.collect()} == {f"t{k}": c for k, c in enumerate(through) if c}
     assert max(rows) <= n + m and sum(rows) < 20 * (n + m), rows
+
+
+@pytest.mark.parametrize("calls", [2, 256])
+def test_pairs_and_paths_agree(spark, calls):
+    rng = random.Random(calls)
+    asked, spans = [], []
+    for u in range(30):
+        n = rng.randint(1, 25)
+        asked += [(f"u{u}", k, f"t{u}-{k}", rng.randint(0, 12), k) for k in range(n)]
+        for i in range(rng.randint(0, 8)):
+            a, b = sorted((rng.randint(0, n), rng.randint(0, n)))
+            lock = rng.choice([None, rng.randint(0, 9), 0])
+            spans.append((f"u{u}", f"a{u}-{i}", a, rng.choice([None, "s"]), b, lock, rng.choice([None, rng.randint(0, 9)]), a, b - a, int(a < b)))
+    asked = spark.createDataFrame(asked, "user string, seq bigint, tx string, t bigint, k bigint")
+    spans = spark.createDataFrame(spans, "user string, asset string, start_seq bigint, start_tx string, end_seq bigint, lock_ts bigint, prior_ts bigint, k0 bigint, inside bigint, strays_in int")
+    got = []
+    for pairs in (-1, 10**9):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(X, "PAIRS", pairs)
+            odd = X.stray_updates(asked, spans, calls=calls)
+            got.append((sorted(map(repr, odd.episodes.collect())), sorted(map(repr, odd.calls.collect()))))
+    assert got[0] == got[1] and len(got[0][0]) > 20

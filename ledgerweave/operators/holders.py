@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.distinct import agg_distinct
 from ledgerweave.functions.histogram import fixed_histogram
 from ledgerweave.functions.scalars import days_between, percent
 
@@ -35,18 +36,19 @@ def activity_bucket(locked: Column, activity: Column, as_of: Column) -> Column:
     return F.when(locked == 1, label.otherwise(ACTIVITY_OLD))
 
 
-def state_kpis(states: DataFrame, as_of: Column) -> DataFrame:
+def state_kpis(states: DataFrame, as_of: Column, dense: bool = False) -> DataFrame:
+    """Supply, holders and lock figures; ``dense`` says that owners are dense codes."""
     burned, locked = F.col("burned") == 1, F.col("locked") == 1
     age = days_between(F.col("_as_of"), F.col("activity_ts"))
     dormant = F.col("activity_ts").isNull() | (age > DORMANT_DAYS)
-    one = states.withColumn("_as_of", as_of).agg(
-        F.count_if(~burned).alias("active_supply"),
-        F.count_distinct(F.when(~burned, F.col("owner"))).alias("holders"),
-        F.count_if(locked).alias("locked_assets"),
-        F.count_if(locked & (age <= ACTIVE_DAYS)).alias("active_30d"),
-        F.count_if(locked & dormant).alias("dormant_1y"),
-        F.count_if(burned).alias("burned"),
-    )
+    figures = {
+        "active_supply": F.count_if(~burned),
+        "locked_assets": F.count_if(locked),
+        "active_30d": F.count_if(locked & (age <= ACTIVE_DAYS)),
+        "dormant_1y": F.count_if(locked & dormant),
+        "burned": F.count_if(burned),
+    }
+    one = agg_distinct(states.withColumn("_as_of", as_of), figures, F.when(~burned, F.col("owner")), "holders", dense)
     return one.withColumn("locked_pct", percent(F.col("locked_assets"), F.col("active_supply")))
 
 

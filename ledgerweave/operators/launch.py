@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.distinct import agg_distinct
 from ledgerweave.functions.scalars import iso_z
 
 # Public mint price in units and phase labels in order.
@@ -12,10 +13,10 @@ MINT_PRICE = 1.5
 PHASES = ["Phase I", "Phase II", "Phase III"]
 
 
-def launch_kpis(mints: DataFrame, price: float = MINT_PRICE) -> DataFrame:
-    return mints.agg(
-        F.count(F.lit(1)).alias("public_mint_supply"), F.count_distinct("payer").alias("unique_minters")
-    ).select(
+def launch_kpis(mints: DataFrame, price: float = MINT_PRICE, dense: bool = False) -> DataFrame:
+    """Supply and minters of the launch; ``dense`` says that payers are dense codes."""
+    totals = agg_distinct(mints, {"public_mint_supply": F.count(F.lit(1))}, F.col("payer"), "unique_minters", dense)
+    return totals.select(
         "public_mint_supply",
         "unique_minters",
         F.lit(price).alias("mint_price"),

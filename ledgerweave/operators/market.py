@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.histogram import fixed_histogram
+from ledgerweave.functions.distinct import agg_distinct, distinct_count
 from ledgerweave.functions.ordered import keep_first
 from ledgerweave.functions.scalars import days_between, exact_sum, month_text, trimmed_number, units
 
@@ -37,15 +38,14 @@ def append_new(ledger: DataFrame, fresh: DataFrame, keys: Sequence[str] = ("tx",
     return merge_ledgers(ledger, keep_first(fresh, list(keys), rest), keys)
 
 
-def market_kpis(sales: DataFrame, mint_proceeds: Column, price_places: int, royalty_places: int) -> DataFrame:
-    """Sales, volume, buyers, assets sold and royalties of the first recipient."""
-    totals = sales.agg(
-        F.count(F.lit(1)).alias("secondary_sales"),
-        exact_sum(F.col("price")).alias("_volume"),
-        F.count_distinct("buyer").alias("unique_buyers"),
-        F.count_distinct("asset").alias("assets_ever_sold"),
-        exact_sum(F.col("royalty")).alias("_royalty"),
-    )
+def market_kpis(sales: DataFrame, mint_proceeds: Column, price_places: int, royalty_places: int, dense: bool = False) -> DataFrame:
+    """Sales, volume, buyers, assets sold and royalties of the first recipient; ``dense``: buyers and assets are dense codes.
+
+    ``sales`` is read twice, so it should be a stored table.
+    """
+    figures = {"secondary_sales": F.count(F.lit(1)), "_volume": exact_sum(F.col("price")), "_royalty": exact_sum(F.col("royalty"))}
+    totals = agg_distinct(sales, figures, F.col("buyer"), "unique_buyers", dense)
+    totals = totals.withColumn("assets_ever_sold", distinct_count(sales, "asset", dense))
     royalties = units(F.col("_royalty"), royalty_places)
     return totals.select(
         "secondary_sales",

@@ -9,6 +9,7 @@ from ledgerweave.operators import market as M
 from ledgerweave.operators import series as S
 from ledgerweave.plans import views as V
 from ledgerweave.plans.registry import bound
+from ledgerweave.session import settled
 
 PRICE, ROYALTY = 2, 4
 
@@ -115,7 +116,8 @@ def _(spark, sf_dir):
        FROM merged""",
 )
 def _(spark, sf_dir):
-    return M.market_kpis(merged(spark, sf_dir), F.lit(14850.0), PRICE, ROYALTY)
+    sales = settled(merged(spark, sf_dir).select("buyer", "asset", "price", "royalty"))
+    return M.market_kpis(sales, F.lit(14850.0), PRICE, ROYALTY, dense=True)
 
 
 @bound(

@@ -40,9 +40,9 @@ def build(spark, sf_dir):
         F.col("p_partkey").alias("asset"), F.lit(V.ORIGIN).cast("timestamp_ntz").alias("origin")
     )
     kpis = {
-        "state": H.state_kpis(states, as_of),
-        "launch": L.launch_kpis(minted),
-        "market": M.market_kpis(sales, F.lit(PROCEEDS), PRICE, ROYALTY),
+        "state": H.state_kpis(states, as_of, dense=True),
+        "launch": L.launch_kpis(minted, dense=True),
+        "market": M.market_kpis(sales, F.lit(PROCEEDS), PRICE, ROYALTY, dense=True),
         "observation": S.latest_observation(days, "day", ["floor_units", "listed"]),
     }
     lists = {

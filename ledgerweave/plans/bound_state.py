@@ -48,7 +48,7 @@ def mints(spark, sf_dir):
         FROM state""",
 )
 def _(spark, sf_dir):
-    return H.state_kpis(V.state(spark, sf_dir), V.clock(spark, sf_dir))
+    return H.state_kpis(V.state(spark, sf_dir), V.clock(spark, sf_dir), dense=True)
 
 
 @bound("holder_balances", "SELECT owner, assets FROM balances")
@@ -171,7 +171,7 @@ def _(spark, sf_dir):
               count(*) * 1.5::DOUBLE AS mint_proceeds FROM mints""",
 )
 def _(spark, sf_dir):
-    return L.launch_kpis(mints(spark, sf_dir))
+    return L.launch_kpis(mints(spark, sf_dir), dense=True)
 
 
 @bound(

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerweave.functions.ordered import keep_first, keep_last
+from ledgerweave.functions.ordered import keep_first
 
 # Fixed values of the bindings.
 CATEGORIES = ["ECONOMY", "STANDARD", "SMALL", "MEDIUM", "LARGE", "PROMO"]
@@ -162,9 +162,12 @@ def live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def state(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> DataFrame:
-    last = keep_last(
-        sales(spark, sf_dir, dates).select("asset", "ts", "tx", "buyer", "market", "shipped"), ["asset"], ["ts", "tx"]
-    )
+    rows = sale_lines(spark, sf_dir)
+    rows = rows if dates is None else rows.filter(dates)
+    # The first line of the last sale in one aggregate: greatest (ts, tx), there the least (line, seller).
+    order = [F.col("ts"), F.col("tx"), (-F.col("line")).alias("_line"), (-F.col("seller")).alias("_seller")]
+    last = rows.groupBy("asset").agg(F.max(F.struct(*order, "buyer", "market", "shipped")).alias("_last"))
+    last = last.select("asset", *[F.col(f"_last.{c}") for c in ("ts", "tx", "buyer", "market", "shipped")])
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("category"))
     burned = F.col("market") == "RF"
     locked = F.col("market").isin("AO", "RO")

@@ -3,11 +3,13 @@
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import CHUNK, keep_last
+from ledgerweave.operators import backtest as B
 from ledgerweave.operators import custody as C
 from ledgerweave.operators import restarts as X
 from ledgerweave.operators import state as T
 from ledgerweave.plans import views as V
 from ledgerweave.plans.registry import bound
+from ledgerweave.session import settled
 
 # Call times are rounded to the hour, which makes ties, and some are set back three days.
 V.VIEWS["restart_calls"] = """
@@ -329,3 +331,76 @@ def _(spark, sf_dir):
         "raw_owner", F.when(F.col("asset") % 9 == 0, "someone else").otherwise(F.col("raw_owner"))
     )
     return T.state_backtest(stored, base, keep_last(log, ["asset"], ["seq", "tx"]))
+
+
+# Every stored state after the whole log with restarts, and faults in it by asset number.
+V.VIEWS["stored"] = """
+    SELECT s.*, l.ts AS latest_ts, a.ts AS activity_ts, a.tx AS activity_tx,
+           CASE WHEN s.asset % 7 = 0 THEN 'someone' WHEN s.locked = 1 THEN s.owner END AS lock_user, b.raw_owner AS base_owner,
+           coalesce(b.burned, 0) AS base_burned, coalesce(b.locked, 0) AS base_locked, b.lock_tx AS base_lock, b.latest_tx AS base_tx
+    FROM stated s JOIN matched l ON l.tx = s.latest_tx
+    LEFT JOIN (SELECT asset, max(ts) AS ts, arg_max(tx, seq) AS tx FROM updates WHERE e = 9223372036854775807 GROUP BY 1) a ON a.asset = s.asset
+    LEFT JOIN stated_base b ON b.asset = s.asset"""
+V.VIEWS["matched_base"] = "SELECT m.* FROM matched m, edge WHERE seq < cut"
+V.VIEWS["stated_base"] = V.VIEWS["stated"].replace("matched)", "matched_base)").replace("FROM matched WHERE", "FROM matched_base WHERE")
+V.VIEWS["backtest"] = """
+    SELECT class, asset, tx, coalesce(mismatched, '') AS mismatched FROM (
+    SELECT 'LOCK' AS class, asset, lock_tx AS tx, concat_ws('|', CASE WHEN asset % 11 = 0 THEN 'owner' END, CASE WHEN asset % 7 = 0 THEN 'lock_user' END) AS mismatched
+    FROM stored WHERE locked = 1 AND lock_tx IS DISTINCT FROM base_lock
+    UNION ALL SELECT 'RESTART', asset, activity_tx, CASE WHEN asset % 7 = 0 THEN 'missing event' WHEN asset % 5 = 0 THEN 'activity_ts' ELSE '' END
+    FROM (SELECT * FROM stored WHERE locked = 1 AND activity_tx IS NOT NULL QUALIFY row_number() OVER (PARTITION BY activity_tx ORDER BY asset) = 1)
+    UNION ALL SELECT 'BURN', asset, burn_tx, concat_ws('|', CASE WHEN asset % 11 = 0 THEN 'owner' END, CASE WHEN latest_tx <> burn_tx THEN 'moved' END,
+                                                     CASE WHEN asset % 9 = 0 THEN 'burn_ts' END, CASE WHEN asset % 7 = 0 THEN 'lock_user' END)
+    FROM stored WHERE burned = 1 AND base_burned = 0
+    UNION ALL SELECT CASE WHEN m.matched = 'UNLOCK' THEN 'UNLOCK' ELSE 'TRANSFER' END, s.asset, latest_tx,
+                     concat_ws('|', CASE WHEN s.asset % 11 = 0 THEN 'owner' END, CASE WHEN s.asset % 7 = 0 THEN 'lock_user' END)
+    FROM stored s JOIN matched m ON m.tx = s.latest_tx
+    WHERE burned = 0 AND base_burned = 0 AND locked = 0 AND latest_tx IS DISTINCT FROM base_tx
+      AND (base_locked = 1 OR raw_owner IS DISTINCT FROM base_owner))"""
+
+
+def backtested(spark, sf_dir, newest):
+    """The backtest over a stored state with faults in owner, lock, burn and activity fields."""
+    log = settled(matched(spark, sf_dir))
+    base = T.latest_state(log.filter(F.col("seq") < V.edge(spark, sf_dir)))
+    asked, spans, odd = walked(spark, sf_dir)
+    after = X.apply_restarts(T.latest_state(log), X.restart_fanout(asked, spans, odd), T.ACTIVITY_SOURCE, T.ACTIVITY_DEPTH)
+    key, hour = F.col("asset"), F.expr("interval 1 hour")
+    stored = after.withColumns(
+        {
+            "owner": F.when(key % 11 == 0, "someone else").otherwise(F.col("owner")),
+            "lock_user": F.when(key % 7 == 0, "someone").otherwise(F.col("lock_user")),
+            "burn_ts": F.when(key % 9 == 0, F.col("burn_ts") + hour).otherwise(F.col("burn_ts")),
+            "activity_ts": F.when((key % 5 == 0) & F.col("activity_ts").isNotNull(), F.col("activity_ts") + hour).otherwise(F.col("activity_ts")),
+        }
+    )
+    calls = restart_calls(spark, sf_dir).withColumn("action", F.lit(C.RESTART))
+    return B.backtest_by_class(settled(stored), settled(base), log, calls, newest)
+
+
+@bound(
+    "backtest_classes",
+    """SELECT class, asset, tx, CASE WHEN contains(mismatched, 'moved') THEN NULL ELSE mismatched END AS mismatched,
+              CASE WHEN contains(mismatched, 'moved') THEN NULL ELSE mismatched = '' END AS passed FROM backtest""",
+)
+def _(spark, sf_dir):
+    """Every case of all five classes; what an asset did after its burn is left open."""
+    rows = backtested(spark, sf_dir, None)
+    later = F.col("mismatched").contains("latest_tx") & (F.col("class") == "BURN")
+    return rows.withColumns({"mismatched": F.when(~later, F.col("mismatched")), "passed": F.when(~later, F.col("passed"))})
+
+
+@bound(
+    "backtest_report",
+    """WITH ranked AS (
+         SELECT b.*, row_number() OVER (PARTITION BY CASE WHEN b.class IN ('TRANSFER', 'UNLOCK') THEN 'MOVED' ELSE b.class END ORDER BY
+                CASE b.class WHEN 'RESTART' THEN s.activity_ts + CASE WHEN b.asset % 5 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END
+                           WHEN 'BURN' THEN m.ts + CASE WHEN b.asset % 9 = 0 THEN INTERVAL 1 HOUR ELSE INTERVAL 0 HOUR END
+                           ELSE m.ts END DESC, b.tx DESC, b.asset) AS n
+         FROM backtest b JOIN stored s ON s.asset = b.asset LEFT JOIN matched m ON m.tx = b.tx)
+       SELECT class, count(*) FILTER (WHERE mismatched = '') AS passed, count(*) FILTER (WHERE mismatched <> '') AS failed
+       FROM ranked WHERE n <= 12 GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    """The twelve newest cases of each class."""
+    return B.backtest_report(backtested(spark, sf_dir, 12))

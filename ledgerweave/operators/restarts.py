@@ -174,6 +174,13 @@ CALLS = 256  # calls of a user in one block of the searches, or in one key of th
 PAIRS = 4  # pairs for each call and episode up to which they are joined
 
 
+def from_ticks(value: Column, kind: str) -> Column:
+    """A long of ``ticks`` as a time of type ``kind`` again."""
+    if kind == "timestamp_ntz":
+        return F.timestamp_add("MICROSECOND", value, F.lit("1970-01-01").cast(kind))
+    return F.timestamp_micros(value) if kind == "timestamp" else value.cast(kind)
+
+
 @dataclass
 class StrayUpdates:
     """Updates in the episodes that contain an out-of-order call: one row for each episode, and a count for each call."""
@@ -182,7 +189,7 @@ class StrayUpdates:
     calls: DataFrame
 
 
-def _ticks(df: DataFrame, column: str) -> Column:
+def ticks(df: DataFrame, column: str) -> Column:
     """A time as a long of the same order."""
     kind = df.schema[column].dataType.simpleString()
     if kind == "timestamp_ntz":
@@ -193,13 +200,13 @@ def _ticks(df: DataFrame, column: str) -> Column:
 def stray_updates(asked: DataFrame, spans: DataFrame, chunk: int = CHUNK, calls: int = CALLS) -> StrayUpdates:
     """Resolve the episodes that contain an out-of-order call; rows stay a few for each call and episode."""
     odd = spans.filter((F.col("strays_in") > 0) & F.col("lock_ts").isNotNull())
-    floor = F.greatest(_ticks(odd, "lock_ts"), _ticks(odd, "prior_ts") + 1)  # the later of both; a NULL is passed over
+    floor = F.greatest(ticks(odd, "lock_ts"), ticks(odd, "prior_ts") + 1)  # the later of both; a NULL is passed over
     stray = settled(
         odd.select(
             F.monotonically_increasing_id().alias("id"), "user", *EPISODE, "end_seq", "k0", (F.col("k0") + F.col("inside")).alias("k1"), floor.alias("floor")
         )
     )
-    numbered = asked.select("user", "seq", "tx", F.col("t").alias("ts"), "k", _ticks(asked, "t").alias("t"))
+    numbered = asked.select("user", "seq", "tx", F.col("t").alias("ts"), "k", ticks(asked, "t").alias("t"))
     pairs, episodes = stray.agg(F.coalesce(F.sum(F.col("k1") - F.col("k0")), F.lit(0)), F.count(F.lit(1))).first()
     few = pairs <= PAIRS * (episodes + asked.count())
     return (_by_pairs if few else _by_paths)(numbered, stray, chunk, calls)

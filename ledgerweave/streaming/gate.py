@@ -71,12 +71,13 @@ class Gate(StatefulProcessor):
             self.cursor.update((initialState["last_seq"], initialState["last_tx"]))
         self.state.update(tuple(initialState[n] for n in self.names))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+    def walk(self, rows: Iterator[Row]) -> tuple[tuple | None, dict | None, dict[str, int], int | None, list[tuple[Row, dict | None]]]:
+        """Cursor and state if they moved, counts, the number of a conflict, and the applied rows with the state before each."""
         cursor = self.cursor.get() if self.cursor.exists() else None
         start = cursor
         state = dict(zip(self.names, self.state.get(), strict=True)) if self.state.exists() else None
         counts = dict.fromkeys(STATUSES, 0)
-        conflict = None
+        steps = []
         for row in sorted(rows, key=lambda r: (r["seq"], r["tx"])):
             if cursor is None:
                 status = COVERED if row["late"] else APPLY
@@ -85,21 +86,25 @@ class Gate(StatefulProcessor):
             elif row["tx"] == cursor[1]:
                 status = DUPLICATE
             else:
-                conflict = row["seq"]
-                break
+                return None, None, counts, row["seq"], []
             counts[status] += 1
             if status == APPLY:
+                steps.append((row, state))
                 cursor = (row["seq"], row["tx"])
                 old, state = state, {n: row[n] for n in self.names}
                 if old is not None and not state["burned"]:
                     state |= {n: old[n] for n in BURN}
-        moved = conflict is None and cursor != start
-        if moved:
-            self.cursor.update(cursor)
-            self.state.update(tuple(state[n] for n in self.names))
-        last_seq, last_tx = cursor if moved else (None, None)
+        if cursor == start:
+            return None, None, counts, None, []
+        self.cursor.update(cursor)
+        self.state.update(tuple(state[n] for n in self.names))
+        return cursor, state, counts, None, steps
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        cursor, state, counts, conflict, _ = self.walk(rows)
+        last_seq, last_tx = cursor or (None, None)
         figures = {_count(s): n for s, n in counts.items()}
-        yield Row(asset=key[0], last_seq=last_seq, last_tx=last_tx, **(state if moved else dict.fromkeys(self.names)), **figures, conflict=conflict)
+        yield Row(asset=key[0], last_seq=last_seq, last_tx=last_tx, **(state or dict.fromkeys(self.names)), **figures, conflict=conflict)
 
     def close(self) -> None:
         pass

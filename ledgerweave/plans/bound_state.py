@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ledgerweave.functions.ordered import keep_last
 from ledgerweave.operators import holders as H
 from ledgerweave.operators import launch as L
 from ledgerweave.operators import series as S
@@ -128,7 +129,7 @@ def _(spark, sf_dir):
 
 @bound("rarity_lookup", "SELECT s.asset, s.buyer AS owner, p_type AS category FROM last_sale s JOIN part ON p_partkey = s.asset")
 def _(spark, sf_dir):
-    last = V.keep_last(V.sales(spark, sf_dir).select("asset", "ts", "tx", "buyer"), ["asset"], ["ts", "tx"])
+    last = keep_last(V.sales(spark, sf_dir).select("asset", "ts", "tx", "buyer"), ["asset"], ["ts", "tx"])
     parts = V.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("category"))
     return H.category_lookup(last.select("asset", F.col("buyer").alias("owner")), parts)
 

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ledgerweave.functions import scalars as P
 from ledgerweave.operators.addresses import address_tokens
+from ledgerweave.operators.custody import RESTART
 from ledgerweave.operators.state import latest_state
 from ledgerweave.plans import views as V
-from ledgerweave.plans.bound_events import matched
+from ledgerweave.plans.bound_events import matched, restart_calls
 from ledgerweave.plans.bound_inbox import freeze_point
 from ledgerweave.plans.registry import bound
 from ledgerweave.session import shared_dir
@@ -16,6 +17,7 @@ from ledgerweave.sources.files import read_csv_contract, read_document
 from ledgerweave.sources.tables import commit_version, read_appended, read_latest
 from ledgerweave.streaming.batches import finish, run_ledger, run_snapshot, stream_id
 from ledgerweave.streaming.gate import PROVIDER, commit_gated, gate_rows, gated_stream
+from ledgerweave.streaming.restarts import commit_restarts, restart_stream
 
 SLICES = 3
 FILES = 4  # files of a slice
@@ -121,6 +123,39 @@ def _(spark, sf_dir):
     return read_appended(spark, tables, "statuses").groupBy("status").agg(F.sum("n").alias("n"))
 
 
+@bound(
+    "stream_restarts",
+    """SELECT s.asset, 'tx-' || latest_tx AS tx, owner, CAST(locked AS BIGINT) AS locked, 'tx-' || a.tx AS activity_tx,
+              strftime(a.ts, '%Y-%m-%d %H:%M:%S') AS activity
+       FROM stated s LEFT JOIN (SELECT asset, max(ts) AS ts, arg_max(tx, seq) AS tx FROM updates
+                                WHERE e = 9223372036854775807 GROUP BY 1) a ON a.asset = s.asset""",
+)
+def _(spark, sf_dir):
+    """Movements and restart calls of the whole log, sliced together, through both keyed operators."""
+    home = workspace(spark, "restarts")
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", str(spark.sparkContext.defaultParallelism))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    first = V.table(spark, sf_dir, "events").agg(F.min("ts") - F.expr("interval 1 day")).first()[0]
+    rows = gate_rows(named_moves(spark, sf_dir), F.lit(first)).withColumn("action", F.lit(None).cast("string"))
+    calls = restart_calls(spark, sf_dir).withColumns({"tx": F.concat(F.lit("tx-"), F.col("tx").cast("string")), "action": F.lit(RESTART)})
+    log = rows.unionByName(calls, allowMissingColumns=True)
+    arrivals(spark, log, "seq", f"{home}/in")
+    # One folder read twice: each micro-batch has the movements and the calls of the same files.
+    source = lambda: own.readStream.schema(log.schema).option("maxFilesPerTrigger", FILES).parquet(f"{home}/in")
+    moved, asked = source().filter("action IS NULL").drop("ts", "action", "caller"), source().filter("action IS NOT NULL")
+    checkpoint = f"{home}/checkpoint"
+
+    def land(df, batch):
+        commit_restarts(df, f"{home}/tables", stream_id(df.sparkSession, checkpoint), batch)
+
+    query = restart_stream(moved, asked).writeStream.foreachBatch(land).outputMode("append")
+    finish(query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    state = read_latest(spark, f"{home}/tables", "state")
+    activity = F.date_format("activity_ts", "yyyy-MM-dd HH:mm:ss").alias("activity")
+    return state.select("asset", F.col("latest_tx").alias("tx"), "owner", "locked", "activity_tx", activity)
+
+
 @bound(
     "sorted_table",
     "SELECT asset, category, owner FROM state",

@@ -1,14 +1,17 @@
 """Wallet queries over the test tables: a set is a nation, its wallets are its customers."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import holders as H
 from ledgerweave.operators import launch as L
 from ledgerweave.operators import wallets as W
+from ledgerweave.operators.pages import write_pages
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_state import BUCKET, mints
 from ledgerweave.plans.registry import bound
-from ledgerweave.session import settled
+from ledgerweave.session import settled, shared_dir
 
 V.VIEWS["sets"] = "SELECT c_nationkey AS set_id, c_custkey AS wallet FROM customer"
 V.VIEWS["sales_idx"] = "SELECT *, row_number() OVER (ORDER BY ts, tx, asset) - 1 AS idx FROM sales"
@@ -223,6 +226,36 @@ def _(spark, sf_dir):
     return rows.select("set_id", "kind", F.date_format("ts", "yyyy-MM-dd").alias("date"), "asset", "phase", "idx", "matched")
 
 
+PAGE = 25
+V.VIEWS["timeline_rows"] = """
+    SELECT set_id, 'mint' AS kind, ts, asset, idx, 0 AS place FROM mints_idx JOIN sets ON payer = wallet
+    UNION ALL SELECT set_id, kind, ts, asset, idx, 1 FROM resales"""
+
+
+def timeline_keyed(spark, sf_dir):
+    """The timeline with rising keys: newest first, mints before trades of the same instant, then position."""
+    rows = W.timeline(W.mint_index(mints(spark, sf_dir)), W.match_resales(trades(spark, sf_dir)), sets(spark, sf_dir))
+    late = -F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
+    return rows.select("*", late.alias("late"), F.when(F.col("kind") == "mint", 0).otherwise(1).alias("place"))
+
+
+PAGE_KEYS = ["late", "place", "idx", "asset", "kind"]
+
+
+@bound(
+    "timeline_pages",
+    """WITH placed AS (SELECT *, (row_number() OVER (PARTITION BY set_id ORDER BY ts DESC, place, idx, asset, kind) - 1) // 25 + 1 AS page FROM timeline_rows)
+       SELECT set_id, page, count(*) AS n, strftime(max(ts), '%Y-%m-%d') AS newest,
+              first(idx ORDER BY ts DESC, place, idx, asset, kind) AS first_idx FROM placed GROUP BY 1, 2""",
+)
+def _(spark, sf_dir):
+    """The bounds of all pages of all sets, as they are stored beside the clustered rows."""
+    home = f"{shared_dir(spark)}/pages-{uuid.uuid4().hex}"
+    write_pages(timeline_keyed(spark, sf_dir), home, "set_id", PAGE_KEYS, PAGE, F.expr("late div 2592000"))
+    newest = F.date_format(F.timestamp_seconds(-F.col("late")), "yyyy-MM-dd").alias("newest")
+    return spark.read.parquet(f"{home}/pages").select("set_id", "page", "n", newest, F.col("idx").alias("first_idx"))
+
+
 _days = "strftime({}, '%Y-%m-%d')"
 _cat = ", ".join(f"count(*) FILTER (category = '{c}') AS category_{i}" for i, c in enumerate(V.CATEGORIES))
 _buc = ", ".join(

@@ -1,5 +1,7 @@
 """Overlay, reconcile and set queries over the test tables."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import keep_last
@@ -8,6 +10,8 @@ from ledgerweave.operators import reconcile as R
 from ledgerweave.operators import sets as U
 from ledgerweave.plans import views as V
 from ledgerweave.plans.registry import bound
+from ledgerweave.session import shared_dir
+from ledgerweave.sources.digests import version_changes, write_digested
 
 FIELDS = ["balance", "segment", "nation"]
 
@@ -385,3 +389,21 @@ def _(spark, sf_dir):
     )
     pending = activity.filter(F.col("tx") % 4 == 0).select("tx")
     return U.gap_keys(introduced, activity, pending)
+
+
+@bound(
+    "version_changes",
+    """SELECT coalesce(s.asset, b.asset) AS asset,
+              CASE WHEN b.asset IS NULL THEN 'added' WHEN s.asset IS NULL THEN 'removed' ELSE 'changed' END AS status
+       FROM (SELECT * FROM state WHERE asset % 50 <> 0) s FULL JOIN (SELECT * FROM state_base WHERE asset % 70 <> 0) b ON s.asset = b.asset
+       WHERE b.asset IS NULL OR s.asset IS NULL OR s.latest_tx IS DISTINCT FROM b.latest_tx OR s.owner IS DISTINCT FROM b.owner
+          OR s.burned <> b.burned OR s.locked <> b.locked OR s.activity_ts IS DISTINCT FROM b.activity_ts""",
+)
+def _(spark, sf_dir):
+    """The state before and after the live sales, stored with digest trees; each lacks some assets of the other."""
+    home = f"{shared_dir(spark)}/digests-{uuid.uuid4().hex}"
+    key = F.col("asset")
+    before = V.state(spark, sf_dir, F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz")).filter(key % 70 != 0)
+    write_digested(before, f"{home}/a", ["asset"], 64)
+    write_digested(V.state(spark, sf_dir).filter(key % 50 != 0), f"{home}/b", ["asset"], 64)
+    return version_changes(spark, f"{home}/a", f"{home}/b", ["asset"])

@@ -12,7 +12,7 @@ The transaction alone is applied to the state that it requires before: the base
 the sender for a lock, a locked row for an unlock. A restart call is replayed on the stored lock with the base's activity, if
 that belongs to the same lock; it must come from the user of the lock, not before it, and after that activity.
 
-The base has a row for every asset. Only the newest cases of each class are kept, one for each transaction. They are chosen before anything is decoded or joined:
+Only the newest cases of each class are kept, one for each transaction. They are chosen before anything is decoded or joined:
 the transactions to replay are a handful, and the log is only looked up by their ids.
 """
 
@@ -89,7 +89,9 @@ def backtest_by_class(stored: DataFrame, base: DataFrame, moves: DataFrame, call
     fresh = F.col("_case").isin(LOCK, OTHER) & F.col("matched").isNotNull()
     names = [c for c in base.columns if c != "asset"]
     started = keyed.filter(~fresh).select(F.col("asset").alias("_key"), F.col("_asset").alias("asset")).distinct()
-    start = base.join(started, "asset").select(F.col("_key").alias("asset"), *names)
+    # An asset that the base lacks has nothing behind it.
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast(base.schema[c].dataType).alias(c) if c in ("burned", "locked") else F.col(c)
+    start = started.join(base, "asset", "left").select(F.col("_key").alias("asset"), *[zero(c) for c in names])
     blank = {c: F.lit(None) for c in names}
     sender = blank | {"burned": F.lit(0), "locked": F.when(F.col("matched") == UNLOCK, 1).otherwise(0), "raw_owner": F.col("from_owner"), "owner": F.coalesce("caller", "from_owner")}
     made = keyed.filter(fresh).select("asset", *[sender[c].cast(base.schema[c].dataType).alias(c) for c in names])

@@ -17,6 +17,7 @@ for _part in [
     "bound_live",
     "bound_guards",
     "bound_products",
+    "bound_kept",
 ]:
     importlib.import_module(f"ledgerweave.plans.{_part}")
 

@@ -34,10 +34,14 @@ COMMIT_ROW = (
 
 
 class ByChange(NamedTuple):
-    """Rows of a table kept by change, by their unique ``key``; the table's first version has to be all of it."""
+    """Rows of a table kept by change, by their unique ``key``; the table's first version has to be all of it.
+
+    A new base leaves out what fails the condition ``live``, unless its own version brought it.
+    """
 
     rows: DataFrame
     key: str
+    live: str | None = None
 
 
 def sorted_write(df: DataFrame, path: str, keys: Sequence[str]) -> None:
@@ -80,6 +84,7 @@ def commit_version(
         rows = frame.rows
         if fold is not None:
             kept = _folded(spark, root, name, fold).join(rows.select(frame.key), frame.key, "left_anti")
+            kept = kept if frame.live is None else kept.filter(frame.live)
             rows = kept.unionByName(rows)
             stale[name] = fold["base"]
         sorted_write(rows, path, [frame.key])

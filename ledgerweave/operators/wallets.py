@@ -59,6 +59,20 @@ def wallet_index(links: DataFrame, piece: int = PIECE) -> DataFrame:
     )
 
 
+def wallet_places(sales: DataFrame, piece: int = PIECE) -> DataFrame:
+    """Places of each wallet's buys and sells inside each range of sales, in pieces."""
+    sides = F.array(*[F.struct(F.col(side).alias("wallet"), F.lit(kind).alias("kind")) for side, kind in (("buyer", "buy"), ("seller", "sell"))])
+    seen = sales.select("rid", "place", F.inline(sides)).filter(F.col("wallet").isNotNull())
+    lists = seen.groupBy("rid", "wallet", "kind", F.expr(f"place div {piece}").alias("_piece"))
+    return lists.agg(F.sort_array(F.collect_list("place")).alias("places")).drop("_piece")
+
+
+def placed_index(places: DataFrame, piece: int = PIECE) -> DataFrame:
+    """``wallet_index`` from lists of places, each with the ``base`` of its range."""
+    at = F.explode(F.transform("places", lambda p: p + F.col("base")))
+    return wallet_index(places.select("wallet", "kind", at.alias("pos")), piece)
+
+
 def assignment_rules(links: DataFrame, assets: Column, mints: Column, sales: Column) -> DataFrame:
     """Index checks: each held asset assigned once, positions in range, mint positions covered exactly.
 

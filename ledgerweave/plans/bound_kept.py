@@ -7,12 +7,14 @@ base ledger, which change months, buyers and first sales that the opening has co
 from pyspark.sql import functions as F
 
 from ledgerweave.operators import kept as K
+from ledgerweave.operators import wallets as W
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_market import PRICE, ROYALTY
 from ledgerweave.plans.bound_stream import workspace
 from ledgerweave.plans.once import built_once
 from ledgerweave.plans.registry import ORACLES, bound
 from ledgerweave.session import settled
+from ledgerweave.sources.positions import append_ordered, read_positions, read_ranges
 
 TURNS = ["1996-01-01", "1998-03-01", "2100-01-01"]
 TABLES = ["lineitem", "orders", "part"]
@@ -106,3 +108,42 @@ def _(spark, sf_dir):
 @kept("kept_first_resale", "first_resale")
 def _(spark, sf_dir):
     return K.kept_first_resale(spark, tables(spark, sf_dir))
+
+
+BY_PLACE = ["ts", "tx", "asset"]
+SMALL_RANGE = 1 << 14  # many ranges on small inputs
+
+
+def build_positions(spark, sf_dir):
+    """Sales in three batches: most, then late ones spread over all times together with rows that are stored already."""
+    root = f"{workspace(spark, 'positions')}/tables"
+    sales = settled(V.sales(spark, sf_dir).select("tx", "asset", "ts", "buyer", "seller", "price"))
+    late, month = F.col("tx") % 50 == 0, F.expr("year(ts) * 12 + month(ts)")
+    recent = F.col("ts") >= ntz(TURNS[1])
+    for turn, part in enumerate([sales.filter(~recent & ~late), sales.filter(~recent & (late | (F.col("tx") % 7 == 0))), sales.filter(recent)]):
+        append_ordered(spark, root, part, BY_PLACE, month, SMALL_RANGE, {"wallets": W.wallet_places}, "sales", turn)
+    return root
+
+
+def ordered(spark, sf_dir):
+    return built_once(spark, sf_dir, TABLES, build_positions)
+
+
+@kept("kept_row_index", "row_index")
+def _(spark, sf_dir):
+    return read_positions(spark, ordered(spark, sf_dir)).select("tx", "asset", "idx")
+
+
+@bound("kept_position_page", "SELECT idx, tx, asset, buyer, seller, price FROM sales_idx WHERE idx BETWEEN 2000 AND 2099")
+def _(spark, sf_dir):
+    """A page of positions: the ranges that hold it are read, no others."""
+    return read_positions(spark, ordered(spark, sf_dir), 2000, 2099).select("idx", "tx", "asset", "buyer", "seller", "price")
+
+
+ORACLES["kept_wallet_lists"] = f"SELECT * FROM ({ORACLES['wallet_index']}) WHERE kind IN ('buy', 'sell')"
+
+
+@bound("kept_wallet_lists")
+def _(spark, sf_dir):
+    index = W.placed_index(read_ranges(spark, ordered(spark, sf_dir), "wallets"))
+    return index.withColumn("positions", F.array_join(F.col("positions").cast("array<string>"), ","))

@@ -18,19 +18,16 @@ from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_market import PRICE, ROYALTY, merged
 from ledgerweave.plans.bound_state import BUCKET, mints
 from ledgerweave.plans.bound_stream import workspace
+from ledgerweave.plans.once import built_once
 from ledgerweave.plans.registry import ORACLES, bound
 from ledgerweave.session import settled
 from ledgerweave.sources.tables import commit_version, read_latest
 
 PROCEEDS = 14850.0
-_BUILT: dict[tuple[str, str], str] = {}
 
 
 def build(spark, sf_dir):
-    """Write all products of one version; returns their folder. Runs once a session and input."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key in _BUILT:
-        return _BUILT[key]
+    """Write all products of one version; returns their folder."""
     as_of = V.clock(spark, sf_dir)
     states = settled(V.state(spark, sf_dir))
     sales = settled(merged(spark, sf_dir).select("tx", "asset", "buyer", "seller", "ts", "price", "royalty", "market"))
@@ -118,12 +115,11 @@ def build(spark, sf_dir):
             "benchmarks": (W.benchmark_histogram(counts), ["kind", "n"]),
         },
     )
-    _BUILT[key] = root
     return root
 
 
 def part(spark, sf_dir, name):
-    return read_latest(spark, build(spark, sf_dir), name)
+    return read_latest(spark, built_once(spark, sf_dir, ["lineitem", "orders", "part"], build), name)
 
 
 N, D, T = "bigint", "double", "string"

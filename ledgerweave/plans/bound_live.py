@@ -7,13 +7,15 @@ and end in the quarantine table.
 
 from pyspark.sql import functions as F
 
+from ledgerweave.operators.kept import kept_daily_activity, kept_holder_balances, kept_state_kpis
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_decode import market_tx
 from ledgerweave.plans.bound_stream import arrivals, workspace
 from ledgerweave.plans.once import built_once
-from ledgerweave.plans.registry import bound
+from ledgerweave.plans.registry import ORACLES, bound
 from ledgerweave.sources.tables import read_appended, read_latest
 from ledgerweave.streaming.batches import UnresolvedBatch, recover, reduce_pending, run_inbox
+from ledgerweave.streaming.products import follow
 
 FIRST, LAST = "1998-01-01", "2100-01-01"
 
@@ -149,3 +151,46 @@ def _(spark, sf_dir):
     if rows is None:  # no such transaction in the input
         rows = spark.createDataFrame([], "tx string, asset string, reason string")
     return rows.select("tx", "asset", "reason")
+
+
+def followed(spark, sf_dir):
+    """The products after the first batch, then after the second."""
+    tables, products = live(spark, sf_dir), f"{workspace(spark, 'followed')}/tables"
+    assets = known_assets(spark, sf_dir).select("asset", F.lit("ANY").alias("category"), F.lit(V.ORIGIN).cast("timestamp_ntz").alias("origin"))
+    follow(spark, tables, products, assets, 0)
+    follow(spark, tables, products, assets)
+    return products
+
+
+def live_products(spark, sf_dir):
+    return built_once(spark, sf_dir, ["lineitem", "orders", "part"], followed)
+
+
+_final = ORACLES["live_batch_state"]
+
+
+@bound("live_kept_kpis")
+def _(spark, sf_dir):
+    one = kept_state_kpis(spark, live_products(spark, sf_dir), V.clock(spark, sf_dir))
+    return one.select("active_supply", "holders", "burned")
+
+
+ORACLES["live_kept_kpis"] = f"""SELECT count(*) FILTER (burned = 0) AS active_supply, count(DISTINCT owner) FILTER (burned = 0) AS holders,
+       count(*) FILTER (burned = 1) AS burned FROM ({_final})"""
+
+
+@bound("live_kept_balances")
+def _(spark, sf_dir):
+    return kept_holder_balances(spark, live_products(spark, sf_dir))
+
+
+ORACLES["live_kept_balances"] = f"SELECT owner, count(*) AS assets FROM ({_final}) WHERE burned = 0 AND owner IS NOT NULL GROUP BY 1"
+
+
+@bound(
+    "live_kept_daily",
+    """SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS sales, CAST(sum(price) AS DOUBLE) / 100.0 AS volume
+       FROM live_lines WHERE ok AND NOT burning GROUP BY 1""",
+)
+def _(spark, sf_dir):
+    return kept_daily_activity(spark, live_products(spark, sf_dir), 2)

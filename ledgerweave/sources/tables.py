@@ -173,9 +173,12 @@ def read_appended(spark: SparkSession, root: str, name: str, before: int | None
     return None if rows is None else rows.filter(F.col("version") <= upto).drop("version")
 
 
-def read_since(spark: SparkSession, root: str, name: str, mark: int | None) -> tuple[DataFrame | None, int | None]:
-    """Rows of the committed versions after ``mark`` of a table that every version writes, and the last version."""
+def read_since(
+    spark: SparkSession, root: str, name: str, mark: int | None, upto: int | None = None
+) -> tuple[DataFrame | None, int | None]:
+    """Rows of the committed versions after ``mark`` (up to ``upto``) of a table that every version writes, and the last version."""
     last = latest_version(spark, root)
+    last = last if last is None or upto is None else min(last, upto)
     first = 0 if mark is None else mark + 1
     if last is None or first > last:
         return None, mark if last is None else last

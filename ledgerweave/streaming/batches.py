@@ -23,6 +23,7 @@ from ledgerweave.plans.live_batch import empty_state, reduce_batch
 from ledgerweave.session import settled
 from ledgerweave.sources.tables import ByChange, commit_version, is_committed, read_latest, read_overlapping, read_since
 from ledgerweave.sources.tx_json import scan_tx
+from ledgerweave.streaming.products import CHANGES, change_rows
 
 
 SOURCE = "RAW_INBOX"  # where a ledger row comes from
@@ -189,11 +190,14 @@ def reduce_pending(
             F.count_if(F.col("note").isNull()).alias("reduced"),
         )
     )
+    changed = settled(result.state)
+    changed = settled(upsert(state, changed, "asset")) if first else changed
     return commit_version(
         spark,
         tables,
         {
-            "state": ByChange(upsert(state, settled(result.state), "asset") if first else result.state, "asset"),
+            "state": ByChange(changed, "asset"),
+            CHANGES: (change_rows(None if first else state, changed), ["asset"]),
             "cursors": ByChange(result.cursors, "asset"),
             "sales": (result.sales, ["seq", "tx", "asset"]),
             "ledger": (result.ledger.join(arrived, "tx").withColumn("source", F.lit(SOURCE)), ["seq", "tx"]),

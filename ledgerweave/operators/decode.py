@@ -68,6 +68,9 @@ def _resolve(inst: Column, outer: Column, keys: Column, decode, programs: Sequen
     )
 
 
+PARTS = ("signers", "calls", "balances")
+
+
 def with_keys(scanned: DataFrame, *parts: str, carry: Sequence[str] = ()) -> DataFrame:
     """Time, success and account keys of scanned transactions, and the raw ``parts`` that are read later.
 
@@ -88,15 +91,20 @@ def with_keys(scanned: DataFrame, *parts: str, carry: Sequence[str] = ()) -> Dat
 
 
 def decode_tx(
-    scanned: DataFrame, encoding: str = "base58", programs: Sequence[str] | None = None, carry: Sequence[str] = ()
+    scanned: DataFrame,
+    encoding: str = "base58",
+    programs: Sequence[str] | None = None,
+    carry: Sequence[str] = (),
+    parts: Sequence[str] = PARTS,
 ) -> DataFrame:
     """Add keys, signers and calls to scanned transactions.
 
     ``calls`` holds outer instructions, then inner ones under the index of their parent. A call
     whose program index is out of range is dropped, and so is an account whose index is.
-    ``programs`` limits data decoding to the programs that are read later.
+    ``programs`` limits data decoding to the programs that are read later, and ``parts``, with the
+    calls among them, what is taken from the transactions.
     """
-    return with_calls(with_keys(scanned, "signers", "calls", "balances", carry=carry), encoding, programs)
+    return with_calls(with_keys(scanned, *parts, carry=carry), encoding, programs)
 
 
 def with_calls(staged: DataFrame, encoding: str = "base58", programs: Sequence[str] | None = None) -> DataFrame:
@@ -241,7 +249,8 @@ def with_movements(decoded: DataFrame) -> DataFrame:
     staged = stage(
         decoded, {"pre": _balances(F.col("pre"), F.col("keys")), "post": _balances(F.col("post"), F.col("keys"))}
     )
-    return stage(staged, {"movements": movement_array(F.col("pre"), F.col("post"))})
+    # Not staged: who reads the balances alone does not pay for the movements.
+    return staged.withColumn("movements", movement_array(F.col("pre"), F.col("post")))
 
 
 def burn_named(calls: Column, asset: Column) -> Column:

@@ -19,8 +19,11 @@ PROGRAM_OF = {"R": ME, "A": TM, "N": AMM}
 
 def le_hex(amount, width):
     """Little-endian hex text of a non-negative integer."""
-    digits = F.lpad(F.hex(amount), 2 * width, "0")
-    return F.concat(*[F.substring(digits, 2 * (width - i) - 1, 2) for i in range(width)])
+    byte = lambda i: F.shiftleft(F.shiftright(amount, 8 * i).bitwiseAND(F.lit(255)), 8 * (width - 1 - i))
+    swapped = byte(0)
+    for i in range(1, width):
+        swapped = swapped.bitwiseOR(byte(i))
+    return F.lpad(F.hex(swapped), 2 * width, "0")
 
 
 def ints(*numbers):
@@ -134,12 +137,12 @@ def market_tx(sales):
     )
 
 
-def scanned_market(spark, sf_dir):
-    return scan_tx(market_tx(V.sale_lines(spark, sf_dir)), F.lit("2100-01-01").cast("timestamp"))
+def scanned_market(spark, sf_dir, parts=D.PARTS):
+    return scan_tx(market_tx(V.sale_lines(spark, sf_dir)), F.lit("2100-01-01").cast("timestamp"), parts)
 
 
-def market(spark, sf_dir):
-    return D.decode_tx(scanned_market(spark, sf_dir), "hex")
+def market(spark, sf_dir, parts=D.PARTS):
+    return D.decode_tx(scanned_market(spark, sf_dir, parts), "hex", parts=parts)
 
 
 V.VIEWS["events_tx"] = """
@@ -195,12 +198,12 @@ def custody_tx(spark, sf_dir):
     )
 
 
-def scanned_custody(spark, sf_dir):
-    return scan_tx(custody_tx(spark, sf_dir), F.lit("2100-01-01").cast("timestamp"))
+def scanned_custody(spark, sf_dir, parts=D.PARTS):
+    return scan_tx(custody_tx(spark, sf_dir), F.lit("2100-01-01").cast("timestamp"), parts)
 
 
 def custody(spark, sf_dir):
-    return D.decode_tx(scanned_custody(spark, sf_dir), "hex")
+    return D.decode_tx(scanned_custody(spark, sf_dir, ("signers", "calls")), "hex", parts=("signers", "calls"))
 
 
 @bound(
@@ -235,7 +238,7 @@ def _(spark, sf_dir):
         FROM jlines""",
 )
 def _(spark, sf_dir):
-    return D.with_keys(scanned_market(spark, sf_dir)).select("tx_id", F.array_join("keys", ",").alias("keys"))
+    return D.with_keys(scanned_market(spark, sf_dir, ())).select("tx_id", F.array_join("keys", ",").alias("keys"))
 
 
 @bound(
@@ -245,7 +248,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     acting = lambda scanned: D.with_keys(scanned, "signers").select("tx_id", "signers")
-    both = acting(scanned_market(spark, sf_dir)).unionByName(acting(scanned_custody(spark, sf_dir)))
+    both = acting(scanned_market(spark, sf_dir, ("signers",))).unionByName(acting(scanned_custody(spark, sf_dir, ("signers",))))
     return both.select("tx_id", F.get("signers", 0).alias("actor"))
 
 
@@ -266,13 +269,13 @@ V.VIEWS["jcalls"] = f"""
 
 @bound("flatten_instructions", "SELECT tx_id, CAST(pos AS BIGINT) AS pos, CAST(outer_idx AS BIGINT) AS outer_idx, program FROM jcalls")
 def _(spark, sf_dir):
-    rows = D.call_rows(market(spark, sf_dir))
+    rows = D.call_rows(market(spark, sf_dir, ("calls",)))
     return rows.select("tx_id", "pos", F.col("outer").alias("outer_idx"), "program")
 
 
 @bound("resolve_accounts", "SELECT tx_id, CAST(pos AS BIGINT) AS pos, accounts FROM jcalls")
 def _(spark, sf_dir):
-    return D.call_rows(market(spark, sf_dir)).select("tx_id", "pos", F.array_join("accounts", ",").alias("accounts"))
+    return D.call_rows(market(spark, sf_dir, ("calls",))).select("tx_id", "pos", F.array_join("accounts", ",").alias("accounts"))
 
 
 @bound(
@@ -342,13 +345,13 @@ def _(spark, sf_dir):
               seller AS from_owner, CASE WHEN NOT burning THEN buyer END AS to_owner FROM jlines""",
 )
 def _(spark, sf_dir):
-    rows = D.movement_rows(D.with_movements(D.with_keys(scanned_market(spark, sf_dir), "balances")))
+    rows = D.movement_rows(D.with_movements(D.with_keys(scanned_market(spark, sf_dir, ("balances",)), "balances")))
     return rows.select("tx", "asset", "class", "from_owner", "to_owner")
 
 
 @bound("burn_exists", "SELECT tx_id AS tx, item AS asset, num % 2 = 0 AS burn_ok FROM jlines WHERE burning")
 def _(spark, sf_dir):
-    rows = D.movement_rows(D.with_movements(market(spark, sf_dir)))
+    rows = D.movement_rows(D.with_movements(market(spark, sf_dir, ("calls", "balances"))))
     return rows.filter(F.col("class") == "BURN_OR_SEND_TO_ZERO").select("tx", "asset", "burn_ok")
 
 
@@ -358,7 +361,7 @@ def _(spark, sf_dir):
               false AS ambiguous FROM jlines""",
 )
 def _(spark, sf_dir):
-    held = D.positive_accounts(D.with_movements(D.with_keys(scanned_market(spark, sf_dir), "balances")))
+    held = D.positive_accounts(D.with_movements(D.with_keys(scanned_market(spark, sf_dir, ("balances",)), "balances")))
     return held.select("tx", "asset", "before", "after", "ambiguous")
 
 
@@ -367,7 +370,7 @@ def _(spark, sf_dir):
     """SELECT tx_id, CASE WHEN burning THEN 0 ELSE royalty END AS royalty, royalty // 9 AS royalty_second FROM jlines""",
 )
 def _(spark, sf_dir):
-    rows = D.with_royalties(market(spark, sf_dir))
+    rows = D.with_royalties(market(spark, sf_dir, ("calls",)))
     whole = lambda c: F.col(c).cast("bigint").alias(c)
     return rows.select("tx_id", whole("royalty"), whole("royalty_second"))
 
@@ -380,7 +383,7 @@ V.VIEWS["jsales"] = f"""
 
 
 def decoded_sales(spark, sf_dir, layouts=tuple(K.SALE_LAYOUTS), assets=None):
-    sold = D.with_sales(D.with_royalties(market(spark, sf_dir)), layouts)
+    sold = D.with_sales(D.with_royalties(market(spark, sf_dir, ("calls",))), layouts)
     rows = D.sale_rows(sold, assets)
     return rows.withColumns({c: F.col(c).cast("bigint") for c in ("price", "royalty", "royalty_second")})
 

@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The JVM never compiles methods above 8,000 bytes. A plan that builds or parses transactions in one such method is
+    # interpreted; above this limit Spark runs its operators one by one, each in methods that are compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 # Small test tables would all be broadcast; a low threshold keeps the shuffle plans of large ones.
 LOCAL_SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "256k", "spark.ui.showConsoleProgress": "false"}
@@ -37,9 +40,10 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "ledgerweave
 
 
 def use_utc(spark: SparkSession) -> SparkSession:
-    """All instants are UTC; make the session agree before a query is built."""
-    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """All instants are UTC; make the session agree before a query is built. The limit of generated methods is set too."""
+    for key in ("spark.sql.session.timeZone", "spark.sql.codegen.hugeMethodLimit"):
+        if spark.conf.get(key) != SETTINGS[key]:
+            spark.conf.set(key, SETTINGS[key])
     return spark
 
 

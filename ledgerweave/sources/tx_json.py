@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,24 @@ TX_SCHEMA = f"""
 """
 
 
-def parse_tx(payload: Column) -> Column:
+def parse_tx(payload: Column, schema: str = TX_SCHEMA) -> Column:
     """Payload text to a nested transaction; unreadable text is kept in ``_broken``."""
-    return F.from_json(payload, TX_SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+    return F.from_json(payload, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_broken"})
+
+
+def parts_schema(parts: Sequence[str]) -> str:
+    """The fields that time, success and account keys need, and those of the named ``parts`` (see ``decode.with_keys``)."""
+    message, meta = ["accountKeys:array<string>"], ["err:string", "loadedAddresses:struct<writable:array<string>,readonly:array<string>>"]
+    if "signers" in parts:
+        message.append("header:struct<numRequiredSignatures:int>")
+    if "calls" in parts:
+        message.append(f"instructions:array<{INSTRUCTION}>")
+        meta.append(f"innerInstructions:array<struct<index:int,instructions:array<{INSTRUCTION}>>>")
+    if "balances" in parts:
+        meta += [f"preTokenBalances:array<{BALANCE}>", f"postTokenBalances:array<{BALANCE}>"]
+    return (
+        f"slot bigint, blockTime bigint, transaction struct<message:struct<{','.join(message)}>>, meta struct<{','.join(meta)}>, _broken string"
+    )
 
 
 def object_field(text: Column, field: str) -> Column:
@@ -65,13 +82,15 @@ def payload_rows(bodies: DataFrame, body: str, shortest: int = 20) -> DataFrame:
     )
 
 
-def scan_tx(inbox: DataFrame, snapshot: Column) -> DataFrame:
+def scan_tx(inbox: DataFrame, snapshot: Column, parts: Sequence[str] | None = None) -> DataFrame:
     """Parse inbox payloads and say why a row cannot be used; ``reason`` is NULL for a good row.
 
-    Inbox rows: tx_id, received_at, slot, block_time, payload.
+    Inbox rows: tx_id, received_at, slot, block_time, payload. With ``parts``, ``tx`` holds no other fields than those; the
+    ``reason`` is still that of the whole payload, and is only computed where it is read.
     """
-    tx = F.col("tx")
-    slot = F.coalesce(F.when(tx["slot"] != 0, tx["slot"]), F.col("slot"), F.lit(0))
+    tx = F.col("tx") if parts is None else parse_tx(F.col("payload"))
+    own = F.col("tx.slot")
+    slot = F.coalesce(F.when(own != 0, own), F.col("slot"), F.lit(0))
     reason = (
         F.when(F.col("payload").isNull(), "payload is not text")
         .when(~F.ltrim("payload").startswith("{") | tx["_broken"].isNotNull(), "payload is not an object")
@@ -82,5 +101,5 @@ def scan_tx(inbox: DataFrame, snapshot: Column) -> DataFrame:
         .when(F.col("block_time").isNotNull() & (F.col("block_time") != tx["blockTime"]), "block time mismatch")
         .when(F.col("received_at").isNull() | (F.col("received_at") > snapshot), "outside snapshot")
     )
-    parsed = stage(inbox, {"tx": parse_tx(F.col("payload"))})
+    parsed = stage(inbox, {"tx": parse_tx(F.col("payload"), TX_SCHEMA if parts is None else parts_schema(parts))})
     return parsed.withColumns({"seq": slot, "reason": reason})

@@ -13,30 +13,38 @@ from ledgerweave.plans.bound_market import PRICE, ROYALTY
 from ledgerweave.plans.bound_stream import workspace
 from ledgerweave.plans.once import built_once
 from ledgerweave.plans.registry import ORACLES, bound
-from ledgerweave.session import settled
+from ledgerweave.session import settled, spool
 from ledgerweave.sources.positions import append_ordered, read_positions, read_ranges
 
 TURNS = ["1996-01-01", "1998-03-01", "2100-01-01"]
 TABLES = ["lineitem", "orders", "part"]
+STATE = ["owner", "burned", "burn_ts", "locked", "activity_ts"]
+SALE = ["tx", "asset", "buyer", "ts", "price", "royalty"]
 
 
 def ntz(text):
     return F.lit(text).cast("timestamp_ntz")
 
 
-def batch_changes(spark, sf_dir, turn):
+def turn_ends(lines):
+    """The greatest line of each asset in each turn, in one pass over the lines; NULL where the turn has none."""
+    turn = sum((F.col("ts") >= ntz(t)).cast("int") for t in TURNS)
+    return lines.groupBy("asset").agg(*[F.max(F.when(turn == i, V.line_order())).alias(f"_{i}") for i in range(len(TURNS))])
+
+
+def batch_changes(spark, sf_dir, ends, turn):
     """Assets with sales between two instants, as they were and as they are; all assets at the opening."""
-    after = V.state(spark, sf_dir, F.col("ts") < ntz(TURNS[turn]))
-    if turn == 0:
-        return K.signed_changes(None, after)
-    inside = (F.col("ts") >= ntz(TURNS[turn - 1])) & (F.col("ts") < ntz(TURNS[turn]))
-    touched = V.sale_lines(spark, sf_dir).filter(inside).select("asset").distinct()
-    before = V.state(spark, sf_dir, F.col("ts") < ntz(TURNS[turn - 1]))
-    return K.signed_changes(before.join(touched, "asset", "left_semi"), after.join(touched, "asset", "left_semi"))
+
+    def upto(i):
+        last = F.greatest(*[f"_{k}" for k in range(i + 1)]) if i else F.col("_0")
+        rows = V.state_of(spark, sf_dir, ends.select("asset", last.alias("_last"), F.col(f"_{turn}").isNotNull().alias("_sold")))
+        return (rows.filter("_sold") if turn else rows).drop("_sold")
+
+    return K.signed_changes(upto(turn - 1) if turn else None, upto(turn))
 
 
-def batch_sales(spark, sf_dir):
-    base, live = V.base(spark, sf_dir), V.live(spark, sf_dir)
+def batch_sales(spark, sf_dir, lines):
+    base, live = V.base(spark, sf_dir, lines), V.live(spark, sf_dir, lines)
     late = F.col("tx") % 3 == 0
     fresh = live.join(base.select("tx", "asset"), ["tx", "asset"], "left_anti")
     parts = [base.filter(~late), base.filter(late), fresh]
@@ -44,9 +52,14 @@ def batch_sales(spark, sf_dir):
 
 
 def build(spark, sf_dir):
+    """Lines are joined once and held compressed, with the columns that are read; so is each batch, which is read several times."""
     root = f"{workspace(spark, 'kept')}/tables"
-    for turn, sales in enumerate(batch_sales(spark, sf_dir)):
-        K.refresh(spark, root, settled(batch_changes(spark, sf_dir, turn)), settled(sales), "batches", turn)
+    with spool(spark) as keep:
+        lines = keep(V.sale_lines(spark, sf_dir))
+        ends = keep(turn_ends(lines))
+        for turn, sales in enumerate(batch_sales(spark, sf_dir, lines)):
+            changes = batch_changes(spark, sf_dir, ends, turn).select("asset", "category", *STATE, "sign")
+            K.refresh(spark, root, keep(changes), keep(sales.select(*SALE, "origin", "opening")), "batches", turn)
     return root
 
 

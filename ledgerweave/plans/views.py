@@ -146,28 +146,40 @@ def order_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def sales(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> DataFrame:
-    """First line per (tx, asset). The date belongs to the tx, so ``dates`` is applied before the lines are compared."""
-    rows = sale_lines(spark, sf_dir)
+def sales(spark: SparkSession, sf_dir: str, dates: Column | None = None, lines: DataFrame | None = None) -> DataFrame:
+    """First line per (tx, asset). The date belongs to the tx, so ``dates`` is applied before the lines are compared.
+
+    ``lines``: the rows of ``sale_lines``, if they are held already.
+    """
+    rows = sale_lines(spark, sf_dir) if lines is None else lines
     return keep_first(rows if dates is None else rows.filter(dates), ["tx", "asset"], ["line", "seller"])
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sales(spark, sf_dir, F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"))
+def base(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    return sales(spark, sf_dir, F.col("ts") < F.lit("2000-01-01").cast("timestamp_ntz"), lines)
 
 
-def live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    later = sales(spark, sf_dir, F.col("ts") >= F.lit("1999-01-01").cast("timestamp_ntz"))
+def live(spark: SparkSession, sf_dir: str, lines: DataFrame | None = None) -> DataFrame:
+    later = sales(spark, sf_dir, F.col("ts") >= F.lit("1999-01-01").cast("timestamp_ntz"), lines)
     return later.withColumn("price", F.col("price") + 1)
 
 
 def state(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> DataFrame:
     rows = sale_lines(spark, sf_dir)
     rows = rows if dates is None else rows.filter(dates)
-    # The first line of the last sale in one aggregate: greatest (ts, tx), there the least (line, seller).
+    return state_of(spark, sf_dir, rows.groupBy("asset").agg(F.max(line_order()).alias("_last")))
+
+
+def line_order() -> Column:
+    """The greatest is the first line of the last sale: greatest (ts, tx), there the least (line, seller)."""
     order = [F.col("ts"), F.col("tx"), (-F.col("line")).alias("_line"), (-F.col("seller")).alias("_seller")]
-    last = rows.groupBy("asset").agg(F.max(F.struct(*order, "buyer", "market", "shipped")).alias("_last"))
-    last = last.select("asset", *[F.col(f"_last.{c}") for c in ("ts", "tx", "buyer", "market", "shipped")])
+    return F.struct(*order, "buyer", "market", "shipped")
+
+
+def state_of(spark: SparkSession, sf_dir: str, lasts: DataFrame) -> DataFrame:
+    """State of all parts from the greatest ``line_order`` of each asset, ``_last``; other columns are kept."""
+    more = [c for c in lasts.columns if c not in ("asset", "_last")]
+    last = lasts.select("asset", *more, *[F.col(f"_last.{c}") for c in ("ts", "tx", "buyer", "market", "shipped")])
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("asset"), F.col("p_type").alias("category"))
     burned = F.col("market") == "RF"
     locked = F.col("market").isin("AO", "RO")
@@ -183,6 +195,7 @@ def state(spark: SparkSession, sf_dir: str, dates: Column | None = None) -> Data
         F.when(locked & (F.col("shipped") >= F.col("ts")), F.col("shipped")).alias("activity_ts"),
         F.col("ts").alias("latest_ts"),
         F.col("tx").alias("latest_tx"),
+        *more,
     )
 
 

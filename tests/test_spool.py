@@ -1,12 +1,13 @@
 """Wide frames of a batch: compressed while they are needed, gone behind it, and moved only where a key repeats."""
 
 import os
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import keep_first
-from ledgerweave.session import shared_dir, spool
+from ledgerweave.session import SHUFFLES_END, settled, shared_dir, spool
 from ledgerweave.sources.tables import read_appended
 from ledgerweave.streaming.batches import append_once, one_per_key
 
@@ -48,3 +49,26 @@ def test_one_row_a_key(spark):
     with spool(spark) as keep:
         got = sorted(map(tuple, one_per_key(df, "k", keep).collect()), key=repr)
     assert got == sorted(map(tuple, keep_first(df, ["k"], ["n", "t"]).collect()), key=repr) and len(got) == 5
+
+
+def shuffle_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f for top in folders for _, _, names in os.walk(top) for f in names if f.startswith("shuffle_") and f.endswith(".data")}
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    """Frames held in a spool, checkpoints and plain actions: no shuffle file is left, and the setting is as it was."""
+    before = shuffle_files(spark)
+    rows = spark.range(0, 20_000, 1, 8).selectExpr("id % 7 AS k", "id AS v", "repeat('x', 100) AS t")
+    with spool(spark) as keep:
+        totals = keep(rows.groupBy("k").agg(F.sum("v").alias("n"), F.max("t").alias("t")))
+        again = settled(rows.repartition(5, "v").join(totals.select("k", "n"), "k"))
+        assert again.count() == 20_000 and totals.agg(F.sum("n")).first()[0] == 199_990_000
+        for _ in range(100):
+            left = shuffle_files(spark) - before
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left
+    assert spark.conf.get(SHUFFLES_END) == "false"
+    assert again.agg(F.sum("v")).first()[0] == 199_990_000

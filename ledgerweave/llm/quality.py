@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,12 +52,19 @@ class Ratios:
     strong: float
 
 
-def features(words: list[bytes], hashes: WordHashes, plain: WordHashes) -> np.ndarray:
-    """Buckets of a text's words as they stand, of its bare lower-case words and of pairs of those, one kind after another."""
+class BareHashes(WordHashes):
+    """Hash of the bare lower-case form of each distinct word, which is made once per worker while the cache lasts."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(_EDGES))
+        return value
+
+
+def features(words: list[bytes], own: np.ndarray, plain: BareHashes) -> np.ndarray:
+    """Buckets of a text's words as they stand (hashes ``own``), of its bare lower-case words and of pairs of those, one kind after another."""
     if not words:
         return np.empty(0, np.int64)
-    own = hashes.of(words)
-    bare = plain.of([w.lower().strip(_EDGES) for w in words])
+    bare = plain.of(words)
     kinds = [mixed(own), mixed(bare + np.uint64(1)), windows(bare, 2)]
     # Each kind has buckets of its own: the many rare pairs would blur the words.
     return np.concatenate([(x >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int64) + (k << BUCKETS_LOG2) for k, x in enumerate(kinds)])
@@ -65,10 +73,11 @@ def features(words: list[bytes], hashes: WordHashes, plain: WordHashes) -> np.nd
 def _counts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("bucket", pa.int32()), ("n", pa.int64())])
     total = np.zeros(3 << BUCKETS_LOG2, np.int64)
-    hashes, plain = WordHashes(), WordHashes()
+    hashes, plain = WordHashes(), BareHashes()
     for part in parts:
         for text in part.column(0).to_pylist():
-            np.add.at(total, features(words_of(text), hashes, plain), 1)
+            words = words_of(text)
+            np.add.at(total, features(words, hashes.of(words), plain), 1)
     at = np.nonzero(total)[0]
     if len(at):
         yield pa.record_batch([pa.array(at.astype(np.int32)), pa.array(total[at])], schema=schema)
@@ -82,15 +91,15 @@ def feature_counts(texts: DataFrame) -> np.ndarray:
     return total
 
 
-def _score(weights: np.ndarray, words: list[bytes], hashes: WordHashes, plain: WordHashes) -> tuple[float, float]:
+def _score(weights: np.ndarray, words: list[bytes], own: np.ndarray, plain: BareHashes) -> tuple[float, float]:
     """Mean weight of a text's features, and the sum over its strong words."""
     if not words:
         return 0.0, 0.0
-    found = features(words, hashes, plain)
-    own = weights[found]
+    found = features(words, own, plain)
+    each = weights[found]
     bare = slice(len(words), 2 * len(words))
-    strong = np.unique(found[bare][own[bare] < -STRONG])
-    return float(own.mean()), float((weights[strong] + STRONG).sum())
+    strong = np.unique(found[bare][each[bare] < -STRONG])
+    return float(each.mean()), float((weights[strong] + STRONG).sum())
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", labelled: int = LABELLED) -> Ratios:
@@ -120,9 +129,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     shared = spark.sparkContext.broadcast(weights)
 
     def scored(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, plain = WordHashes(), WordHashes()
+        hashes, plain = WordHashes(), BareHashes()
         schema = pa.schema([("good", pa.bool_()), ("score", pa.float64()), ("strong", pa.float64())])
-        yield from batches(schema, ((g, *_score(shared.value, words_of(t), hashes, plain)) for p in parts for t, g in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True)))
+        rows = ((g, words_of(t)) for p in parts for t, g in zip(p.column(0).to_pylist(), p.column(1).to_pylist(), strict=True))
+        yield from batches(schema, ((g, *_score(shared.value, words, hashes.of(words), plain)) for g, words in rows))
 
     rows = picked.filter("NOT fits").select("text", "good").mapInArrow(scored, "good boolean, score double, strong double").toArrow()
     return Ratios(weights, *thresholds(rows["score"].to_numpy(), rows["strong"].to_numpy(), rows["good"].to_numpy(zero_copy_only=False)))
@@ -183,15 +193,16 @@ def judge(docs: DataFrame, ratios: Ratios, id_col: str = "doc_id", text_col: str
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, least, least_strong = shared.value
-        hashes, plain = WordHashes(), WordHashes()
+        hashes, plain = WordHashes(), BareHashes()
 
         def rows():
             for part in parts:
                 for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     words = words_of(text)
-                    found = statistics(text, words, hashes.of(words))
+                    own = hashes.of(words)
+                    found = statistics(text, words, own)
                     failed = found[0] < LEAST_WORDS or 100 * found[4] > MOST_REPEATED * found[0]
-                    score, strong = _score(weights, words, hashes, plain)
+                    score, strong = _score(weights, words, own, plain)
                     yield doc_id, *found, failed, not failed and score >= least and strong >= least_strong, score
 
         yield from batches(schema, rows())

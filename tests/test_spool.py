@@ -6,10 +6,17 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ledgerweave import constants as K
 from ledgerweave.functions.ordered import keep_first
-from ledgerweave.session import SHUFFLES_END, settled, shared_dir, spool
-from ledgerweave.sources.tables import read_appended
-from ledgerweave.streaming.batches import append_once, one_per_key
+from ledgerweave.operators.decode import ledger_rows
+from ledgerweave.plans.live_batch import decode_batch
+from ledgerweave.session import SHUFFLES_END, remove, settled, shared_dir, spool
+from ledgerweave.sources.tables import commit_version, read_appended
+from ledgerweave.sources.tx_json import scan_tx
+from ledgerweave.streaming import batches
+from ledgerweave.streaming.batches import append_once, one_per_key, run_inbox
+from tests import txkit as X
+from tests.test_live_batch import FIRST, INBOX, SECOND, frame
 
 
 def held(path):
@@ -72,3 +79,57 @@ def test_shuffle_files_go_with_the_query(spark):
         assert not left
     assert spark.conf.get(SHUFFLES_END) == "false"
     assert again.agg(F.sum("v")).first()[0] == 199_990_000
+
+
+def test_calls_nothing_reads_are_not_held(spark):
+    """Of a decoded batch only custody calls and burns stay; royalties, sales and burn checks are as before."""
+    scanned = scan_tx(frame(spark, FIRST + SECOND[:2]), F.lit("2100-01-01").cast("timestamp"))
+    rows = {r["tx_id"]: r for r in decode_batch(scanned).collect()}
+    programs = {i: [c["program"] for c in r["calls"]] for i, r in rows.items()}
+    assert not programs["sale-b"] and not programs["sale-c"] and not programs["sale-e"]
+    assert programs["lock-a"] == [K.CUSTODY_PROGRAM] and len(programs["restart-u"]) == 2 and programs["burn-d"][0] in K.TOKEN_PROGRAMS
+    assert int(rows["sale-b"]["royalty"]) == 900 and rows["sale-c"]["sales"][0]["asset"] == "C" and not rows["sale-e"]["undecodable"]
+
+
+def test_decoded_rows_are_gone_before_the_commit(spark, monkeypatch):
+    """When the outputs are written, no frame that the commit does not read is left, nor are arrivals that have landed."""
+    home = f"{shared_dir(spark)}/brief-{uuid.uuid4().hex}"
+    frame(spark, FIRST).coalesce(1).write.parquet(f"{home}/in")
+    held_columns, arrived = [], []
+
+    def commit(session, root, frames, *rest):
+        if root == f"{home}/tables":
+            top = shared_dir(session).removeprefix("file:")
+            for name in os.listdir(top):
+                if name.startswith("spool-"):
+                    held_columns.extend(session.read.parquet(f"{top}/{name}/{part}").columns for part in os.listdir(f"{top}/{name}"))
+            arrived.append(os.path.exists(f"{home}/in".removeprefix("file:")))
+        return commit_version(session, root, frames, *rest)
+
+    def commit_named(session, root, frames, *rest, span=None):
+        return commit(session, root, frames, *rest, *([] if span is None else [None, None, span]))
+
+    monkeypatch.setattr(batches, "commit_version", commit_named)
+    assets = spark.createDataFrame([(a,) for a in "ABCDE"], "asset string")
+    stream = spark.readStream.schema(INBOX).parquet(f"{home}/in")
+    at = lambda text: F.lit(text).cast("timestamp")
+    run_inbox(stream, home, f"{home}/checkpoint", assets, at("2100-01-01"), at("2000-01-01"), landed=lambda: remove(spark, f"{home}/in"))
+    assert arrived == [False] and held_columns and not any("movements" in c and "royalty" in c for c in held_columns)
+    ledger = {r["tx"]: r for r in read_appended(spark, f"{home}/tables", "ledger").collect()}
+    assert set(ledger) == {r[0] for r in FIRST} and ledger["sale-b"]["movements"] == "B:TRANSFER" and ledger["sale-b"]["sales"] == "B:Magic Eden V2"
+    assert ledger["restart-u"]["restart_updates"] == 1 and ledger["lock-a"]["received_at"] is not None
+
+
+def test_ledger_names_known_assets_only(spark):
+    """A known and an unknown asset in one transaction, an unknown alone, and a failed one."""
+    pair = X.moved("A", "s", "t"), X.moved("Z", "s", "t")
+    both = {side: [*pair[0][side], *pair[1][side]] for side in ("pre", "post")}
+    rows = [X.tx("both", 40, 1, "s", [], **both), X.tx("foreign", 41, 2, "s", [], **pair[1]), *FIRST[2:]]
+    decoded = decode_batch(scan_tx(frame(spark, rows), F.lit("2100-01-01").cast("timestamp")))
+    assets = spark.createDataFrame([("A",), ("B",), ("D",)], "asset string")
+    with spool(spark) as keep:
+        got = {r["tx"]: (r["movements"], r["sales"]) for r in ledger_rows(keep(decoded), assets, ["received_at"], keep).collect()}
+    assert got == {
+        "both": ("A:TRANSFER", ""), "foreign": ("", ""), "sale-b": ("B:TRANSFER", "B:Magic Eden V2"),
+        "burn-d": ("D:BURN_OR_SEND_TO_ZERO", ""), "failed": ("", ""),
+    }

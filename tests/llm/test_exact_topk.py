@@ -68,3 +68,23 @@ def test_query_on_unusual_vectors(spark, tmp_path):
     got = op12(spark, str(tmp_path))
     assert dict(got.dtypes) == {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "bigint"}
     assert tuples(got) == plain([x for x in usable if x[0] % 20 == 0], usable, 20)
+
+
+def test_common_terms_are_added_without_scattering():
+    """Terms of many slots are kept by slot, rare ones by posting, and weights beyond 2^62 always by posting; same scores."""
+    rng = random.Random(5)
+    rows = [{t: rng.choice([-7, -1, 2, 9]) for t in (0, 1, *rng.sample(range(2, 200), 2))} for _ in range(400)]
+    ids = np.array(rng.sample(range(5000), 380) + [7001] * 20)
+    ends = np.cumsum([len(r) for r in rows])
+    terms, weights = (np.array([x for r in rows for x in part(r)]) for part in (list, lambda r: list(r.values())))
+    query = {0: 3, 1: -4, 5: 2, 77: 1, 300: 9}
+    want = {}
+    for i, row in zip(ids.tolist(), rows, strict=True):
+        score = sum(w * row.get(t, 0) for t, w in query.items())
+        want[i] = max(want.get(i, score), score)
+    for largest, kind, kept in ((4.0, np.int32, 2), (2.0**50, np.int64, 2), (2.0**63, object, 0)):
+        index = exact_topk._Index(ids, ends, terms, weights.astype(float))
+        index.ready(largest, len(query))
+        assert index.kind is kind and sum(w is not None for w in index.whole) == kept
+        got = index.scores(list(query), [float(w) for w in query.values()])
+        assert dict(zip(index.distinct.tolist(), map(int, got), strict=True)) == want

@@ -40,18 +40,11 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class WordHashes(dict):
-    """64-bit hash of each distinct word, computed once per worker while the cache lasts."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word)
-        self[word] = value
-        return value
+class WordHashes:
+    """64-bit hash of each word. Looking it up takes longer than making it, and a table of words takes a worker's memory."""
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        if len(self) > CACHE:
-            self.clear()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

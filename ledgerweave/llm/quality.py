@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerweave.llm.common import WordHashes, batches, mixed, windows, words_of, written
+from ledgerweave.llm.common import CACHE, WordHashes, batches, mixed, windows, words_of, written
 
 BUCKETS_LOG2 = 17  # hashed features of each of three kinds
 LABELLED = 20_000  # labelled documents that are looked at, at most: those with the smallest hash of their id
@@ -52,13 +52,18 @@ class Ratios:
     strong: float
 
 
-class BareHashes(WordHashes):
+class BareHashes(dict):
     """Hash of the bare lower-case form of each distinct word, which is made once per worker while the cache lasts."""
 
     def __missing__(self, word: bytes) -> int:
         value = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(_EDGES))
         return value
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > CACHE:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
 
 def features(words: list[bytes], own: np.ndarray, plain: BareHashes) -> np.ndarray:
     """Buckets of a text's words as they stand (hashes ``own``), of its bare lower-case words and of pairs of those, one kind after another."""

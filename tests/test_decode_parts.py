@@ -59,3 +59,37 @@ def test_little_endian_text(spark):
 def test_methods_are_kept_small_enough_to_be_compiled(spark):
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
     assert use_utc(spark).conf.get("spark.sql.codegen.hugeMethodLimit") == "8000"
+
+
+def test_decoding_copies_a_row_at_few_places(spark):
+    """Each one-row generator writes the whole row anew: one each for the document, its keys, its calls and its sales."""
+    from ledgerweave.plans.live_batch import decode_batch
+
+    decoded = decode_batch(scan_tx(inbox(spark, payload(0)), F.lit(LATE).cast("timestamp")), "hex")
+    plan = decoded._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate inline") == 4
+
+
+def test_first_sale_of_an_asset_and_both_royalties(spark):
+    """Two sales of one asset, one of another and calls of other programs between them; amounts above 2**63."""
+    from ledgerweave import constants as K
+
+    magic = K.SALE_LAYOUTS[0]
+    keys = ["b", "s", "A", "B", "t", magic.program, K.SYSTEM_PROGRAM, K.ROYALTY_FIRST, K.ROYALTY_SECOND]
+    le = lambda n: n.to_bytes(8, "little").hex()
+    buy = lambda asset, price: {"programIdIndex": 5, "accounts": [0, 1, 4, "4", asset], "data": magic.buy_prefix + "0000" + le(price)}
+    pay = lambda to, n, code="02000000": {"programIdIndex": 6, "accounts": [0, to], "data": code + le(n)}
+    big = 2**63 + 5
+    calls = [buy(2, 7), pay(7, big), buy(2, 9), pay(8, 1), buy(3, big), pay(7, 3), pay(7, 50, "03000000"), {"programIdIndex": 6, "accounts": [0, 7], "data": "02000000"}]
+    side = lambda n: [{"accountIndex": 4, "mint": "A", "owner": "s", "uiTokenAmount": {"amount": n}}]
+    meta = {"err": None, "preTokenBalances": side("18446744073709551615"), "postTokenBalances": side("0")}
+    text = json.dumps({
+        "slot": 1, "blockTime": 10, "meta": meta,
+        "transaction": {"signatures": ["t0"], "message": {"accountKeys": keys, "instructions": calls}},
+    })
+    scanned = scan_tx(inbox(spark, text), F.lit(LATE).cast("timestamp"))
+    sold = D.with_sales(D.with_movements(D.with_royalties(D.decode_tx(scanned, "hex"))))
+    row = sold.first()
+    assert [(s["asset"], int(s["price"]), s["buyer"], s["seller"]) for s in row["sales"]] == [("A", 7, "b", "s"), ("B", big, "b", "s")]
+    assert (int(row["royalty"]), int(row["royalty_second"])) == (big + 3, 1)
+    assert [(m["asset"], m["class"], m["from_owners"], m["to_owners"]) for m in row["movements"]] == [("A", "BURN_OR_SEND_TO_ZERO", ["s"], [])]

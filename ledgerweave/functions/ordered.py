@@ -7,12 +7,12 @@ more than one chunk of one key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerweave.session import settled
+from ledgerweave.session import stored
 
 CHUNK = 1 << 18
 
@@ -31,13 +31,13 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(row).select(*[c if c in keys else F.col(f"_row.{c}") for c in df.columns])
 
 
-def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+def dense_index(df: DataFrame, order: Sequence[str], name: str = "idx", keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Zero-based position of each row in one global order.
 
     The global sort range-partitions the rows; ids within a partition are dense, so only the
-    per-partition counts (one row per partition) meet in one task.
+    per-partition counts (one row per partition) meet in one task. ``keep`` holds the sorted rows, which are read twice.
     """
-    ranked = settled(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
+    ranked = keep(df.orderBy(*order).withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), 33)
     place = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     sizes = ranked.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

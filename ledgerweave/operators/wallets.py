@@ -6,25 +6,26 @@ of a fixed range of positions, and trade histories are walked in chunks of the s
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import CHUNK, dense_index, exclusive_prefix
 from ledgerweave.functions.scalars import percent
+from ledgerweave.session import stored
 
 PIECE = 4096
 
 
-def sale_index(sales: DataFrame) -> DataFrame:
+def sale_index(sales: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Sales with their position by (time, tx, asset)."""
-    return dense_index(sales, ["ts", "tx", "asset"])
+    return dense_index(sales, ["ts", "tx", "asset"], keep=keep)
 
 
-def mint_index(mints: DataFrame) -> DataFrame:
+def mint_index(mints: DataFrame, keep: Callable[[DataFrame], DataFrame] = stored) -> DataFrame:
     """Mints with their position by (time, asset)."""
-    return dense_index(mints.filter(F.col("payer").isNotNull()), ["ts", "asset"])
+    return dense_index(mints.filter(F.col("payer").isNotNull()), ["ts", "asset"], keep=keep)
 
 
 def wallet_links(states: DataFrame, mints: DataFrame, sales: DataFrame) -> DataFrame:

@@ -15,24 +15,35 @@ from ledgerweave.operators import quality as Q
 from ledgerweave.operators import series as S
 from ledgerweave.operators import wallets as W
 from ledgerweave.plans import views as V
-from ledgerweave.plans.bound_market import PRICE, ROYALTY, merged
+from ledgerweave.plans.bound_market import PRICE, ROYALTY
 from ledgerweave.plans.bound_state import BUCKET, mints
 from ledgerweave.plans.bound_stream import workspace
 from ledgerweave.plans.once import built_once
 from ledgerweave.plans.registry import ORACLES, bound
-from ledgerweave.session import settled
+from ledgerweave.session import spool
 from ledgerweave.sources.tables import commit_version, read_latest
 
 PROCEEDS = 14850.0
 
 
 def build(spark, sf_dir):
-    """Write all products of one version; returns their folder."""
+    """Write all products of one version; returns their folder.
+
+    Lines and orders are joined once. Frames are held compressed, and neither they nor shuffle files outlive the build.
+    """
+    with spool(spark) as keep:
+        return built(spark, sf_dir, keep)
+
+
+def built(spark, sf_dir, keep):
     as_of = V.clock(spark, sf_dir)
-    states = settled(V.state(spark, sf_dir))
-    sales = settled(merged(spark, sf_dir).select("tx", "asset", "buyer", "seller", "ts", "price", "royalty", "market"))
-    minted = settled(mints(spark, sf_dir))
-    days = settled(V.obs(spark, sf_dir))
+    with spool(spark) as brief:
+        lines = brief(V.sale_lines(spark, sf_dir))
+        states = keep(V.state_of(spark, sf_dir, lines.groupBy("asset").agg(F.max(V.line_order()).alias("_last"))))
+        base, live = [keep(ledger(spark, sf_dir, lines).drop("line", "shipped")) for ledger in (V.base, V.live)]
+    sales = keep(M.merge_ledgers(base, live).select("tx", "asset", "buyer", "seller", "ts", "price", "royalty", "market"))
+    minted = keep(mints(spark, sf_dir))
+    days = keep(V.obs(spark, sf_dir))
     assets = V.table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("asset"), F.lit(V.ORIGIN).cast("timestamp_ntz").alias("origin")
     )
@@ -52,7 +63,7 @@ def build(spark, sf_dir):
         "launch": {"phases": (L.launch_phases(minted), ["ord"]), "distribution": (L.mint_distribution(minted), ["assets_minted"])},
         "market": {
             "monthly": (M.monthly_activity(sales, PRICE, ROYALTY), ["month"]),
-            "first_resale": (M.first_resale(assets, V.base(spark, sf_dir), V.live(spark, sf_dir)), ["ord"]),
+            "first_resale": (M.first_resale(assets, base, live), ["ord"]),
         },
         "observation": {"history": (days, ["day"])},
     }
@@ -67,8 +78,9 @@ def build(spark, sf_dir):
         row = one.select(F.lit(name).alias("name"), "json")
         texts = row if texts is None else texts.unionByName(row)
 
-    sold, made = settled(W.sale_index(sales)), settled(W.mint_index(minted))
-    codes = settled(W.dict_encode(sold.withColumn("market", F.coalesce("market", F.lit("Unknown"))), "market", ["ts", "tx", "asset"]))
+    with spool(spark) as brief:  # the sorted rows, beside which the positions are counted
+        sold, made = keep(W.sale_index(sales, brief)), keep(W.mint_index(minted, brief))
+    codes = keep(W.dict_encode(sold.withColumn("market", F.coalesce("market", F.lit("Unknown"))), "market", ["ts", "tx", "asset"]))
     links = W.wallet_links(states, made, sold)
     bucket = F.coalesce(H.activity_bucket(F.col("locked"), F.col("activity_ts"), F.col("_as_of")), F.lit(H.NOT_LOCKED))
     code = lambda names, col: (F.array_position(F.array(*map(F.lit, names)), col) - 1).alias

@@ -79,6 +79,22 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """As ``settled``, in compressed columns, and the shuffle files of the query are deleted behind it.
+
+    A checkpoint holds rows as they are in memory, which is several times as much, and readers cannot skip columns.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLES_END, "false")
+    spark.conf.set(SHUFFLES_END, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLES_END, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @contextmanager
 def spool(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """As ``settled``, for wide frames that are done with at the end of the block: compressed columns, deleted behind it.

@@ -11,7 +11,7 @@ from ledgerweave.operators.pages import write_pages
 from ledgerweave.plans import views as V
 from ledgerweave.plans.bound_state import BUCKET, mints
 from ledgerweave.plans.registry import bound
-from ledgerweave.session import settled, shared_dir
+from ledgerweave.session import shared_dir, spool, stored
 
 V.VIEWS["sets"] = "SELECT c_nationkey AS set_id, c_custkey AS wallet FROM customer"
 V.VIEWS["sales_idx"] = "SELECT *, row_number() OVER (ORDER BY ts, tx, asset) - 1 AS idx FROM sales"
@@ -56,20 +56,33 @@ def sets(spark, sf_dir):
     )
 
 
+def narrow_sales(spark, sf_dir):
+    """Sales without the columns that no trade has; they are the last to be compared, so the first line stays the same."""
+    lines = V.sale_lines(spark, sf_dir).drop("royalty", "market", "shipped")
+    return V.sales(spark, sf_dir, lines=lines).select("tx", "asset", "ts", "buyer", "seller", "price")
+
+
 def sales_idx(spark, sf_dir):
-    return W.sale_index(V.sales(spark, sf_dir).select("tx", "asset", "ts", "buyer", "seller", "price"))
+    return W.sale_index(narrow_sales(spark, sf_dir))
 
 
-def trades(spark, sf_dir):
-    return settled(W.set_trades(sales_idx(spark, sf_dir), sets(spark, sf_dir)))
+def trades(spark, sf_dir, keep=stored):
+    with spool(spark) as brief:
+        return keep(W.set_trades(W.sale_index(narrow_sales(spark, sf_dir), brief), sets(spark, sf_dir)))
 
 
 BY_TIME = ["ts", "tx"]  # order of an asset's sales where no position index is published
 
 
 def deals_by_time(spark, sf_dir):
-    sales = V.sales(spark, sf_dir).select("tx", "asset", "ts", "buyer", "seller", "price")
-    return W.set_trades(sales, sets(spark, sf_dir), ["tx"])
+    return W.set_trades(narrow_sales(spark, sf_dir), sets(spark, sf_dir), ["tx"])
+
+
+def timed(spark, sf_dir):
+    """The timeline of all sets. Matched trades are held, so that their shuffles are gone before all is sorted."""
+    with spool(spark) as brief:
+        matched = stored(W.match_resales(trades(spark, sf_dir, brief)).drop("price"))
+    return W.timeline(W.mint_index(mints(spark, sf_dir)), matched, sets(spark, sf_dir))
 
 
 def bench_counts(spark, sf_dir):
@@ -194,7 +207,7 @@ def _(spark, sf_dir):
               CAST(received - spent AS DOUBLE) / 100.0 AS net FROM flow""",
 )
 def _(spark, sf_dir):
-    deals = settled(deals_by_time(spark, sf_dir))
+    deals = stored(deals_by_time(spark, sf_dir))
     month = F.year("ts") * 12 + F.month("ts")
     flow = W.market_flow(deals, W.match_resales(deals, BY_TIME, month))
     money = {c: F.col(c).cast("double") / 100.0 for c in ["spent", "received", "net"]}
@@ -220,9 +233,7 @@ def _(spark, sf_dir):
        SELECT set_id, kind, strftime(ts, '%Y-%m-%d'), asset, NULL, idx, matched FROM resales""",
 )
 def _(spark, sf_dir):
-    rows = W.timeline(
-        W.mint_index(mints(spark, sf_dir)), W.match_resales(trades(spark, sf_dir)), sets(spark, sf_dir)
-    )
+    rows = timed(spark, sf_dir)
     return rows.select("set_id", "kind", F.date_format("ts", "yyyy-MM-dd").alias("date"), "asset", "phase", "idx", "matched")
 
 
@@ -234,7 +245,7 @@ V.VIEWS["timeline_rows"] = """
 
 def timeline_keyed(spark, sf_dir):
     """The timeline with rising keys: newest first, mints before trades of the same instant, then position."""
-    rows = W.timeline(W.mint_index(mints(spark, sf_dir)), W.match_resales(trades(spark, sf_dir)), sets(spark, sf_dir))
+    rows = timed(spark, sf_dir)
     late = -F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz"))
     return rows.select("*", late.alias("late"), F.when(F.col("kind") == "mint", 0).otherwise(1).alias("place"))
 

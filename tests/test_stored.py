@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ledgerweave.functions.ordered import dense_index
-from ledgerweave.plans import bound_products
+from ledgerweave.plans import bound_products, bound_wallets
 from ledgerweave.plans import views as V
 from ledgerweave.session import SHUFFLES_END, shared_dir, stored
 from ledgerweave.sources.tables import read_latest
@@ -77,3 +77,17 @@ def test_products_read_lines_once_and_leave_their_tables(spark, monkeypatch):
     assert left and all(root.removeprefix("file:") in f or "/stored-" in f for f in left)
     keys = {(r[0], r[1]) for r in V.sales(spark, folder).select("tx", "asset").collect()}
     assert read_latest(spark, root, "sales").count() == len(keys) > 100
+
+
+def test_trades_without_idle_columns(spark):
+    """The first line of a sale is the one that all columns give, and only matched trades stay behind a timeline."""
+    folder = tables(spark, f"{top(spark)}/tables-{uuid.uuid4().hex}")
+    cols = ["tx", "asset", "ts", "buyer", "seller", "price"]
+    read = lambda df: sorted(map(repr, df.select(*cols).collect()))
+    narrow = bound_wallets.narrow_sales(spark, folder)
+    assert read(narrow) == read(V.sales(spark, folder)) and "l_shipdate" not in narrow._jdf.queryExecution().optimizedPlan().toString()
+    before = set(os.listdir(top(spark)))
+    rows = bound_wallets.timed(spark, folder).collect()
+    assert {r["kind"] for r in rows} >= {"mint", "buy", "sell"} and len(rows) > 100
+    new = [f for f in os.listdir(top(spark)) if f not in before]
+    assert len(new) == 2 and all(f.startswith("stored-") for f in new), "matched trades and the positions of mints"

@@ -5,22 +5,30 @@ import os
 import time
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerweave import session
 from ledgerweave.functions.ordered import dense_index
-from ledgerweave.plans import bound_products, bound_wallets
+from ledgerweave.plans import bound_products, bound_stream, bound_wallets
 from ledgerweave.plans import views as V
 from ledgerweave.session import SHUFFLES_END, shared_dir, stored
 from ledgerweave.sources.tables import read_latest
 from tests.test_spool import shuffle_files
 
 
-def top(spark):
-    return shared_dir(spark).removeprefix("file:")
+@pytest.fixture
+def top(spark, monkeypatch):
+    """A shared folder that nothing else writes to."""
+    own = f"{shared_dir(spark).removeprefix('file:')}/own-{uuid.uuid4().hex}"
+    os.makedirs(own)
+    for module in (session, bound_stream):
+        monkeypatch.setattr(module, "shared_dir", lambda spark: own)
+    return own
 
 
-def held(spark):
-    return {(d, f): os.lstat(f"{d}/{f}").st_size for d, _, names in os.walk(top(spark)) for f in names}
+def held(top):
+    return {f"{d}/{f}": os.lstat(f"{d}/{f}").st_size for d, _, names in os.walk(top) for f in names}
 
 
 def tables(spark, folder):
@@ -45,10 +53,10 @@ def tables(spark, folder):
     return folder
 
 
-def test_stored_rows_are_small_and_leave_no_shuffle(spark):
-    before, files = held(spark), shuffle_files(spark)
+def test_stored_rows_are_small_and_leave_no_shuffle(spark, top):
+    files = shuffle_files(spark)
     rows = stored(spark.range(0, 100_000, 1, 4).select("id", F.lit("buy").alias("kind"), F.lit(None).cast("string").alias("none")).repartition(3, "id"))
-    assert sum(n for f, n in held(spark).items() if f not in before) < 2_000_000
+    assert 0 < sum(held(top).values()) < 2_000_000
     for _ in range(100):
         left = shuffle_files(spark) - files
         if not left:
@@ -58,36 +66,35 @@ def test_stored_rows_are_small_and_leave_no_shuffle(spark):
     assert rows.agg(F.sum("id"), F.count("none")).first()[:] == (4_999_950_000, 0)
 
 
-def test_positions_are_stored_in_columns(spark):
-    before = {f for f in os.listdir(top(spark))}
+def test_positions_are_stored_in_columns(spark, top):
     rows = spark.createDataFrame([(i * 7 % 100, "x") for i in range(100)], "k bigint, t string")
     got = dense_index(rows, ["k"]).collect()
     assert all(r["idx"] == r["k"] for r in got) and len(got) == 100
-    assert {f.split("-")[0] for f in set(os.listdir(top(spark))) - before} == {"stored"}
+    assert {f.split("-")[0] for f in os.listdir(top)} == {"stored"}
 
 
-def test_products_read_lines_once_and_leave_their_tables(spark, monkeypatch):
-    folder = tables(spark, f"{top(spark)}/tables-{uuid.uuid4().hex}")
+def test_products_read_lines_once_and_leave_their_tables(spark, top, monkeypatch):
+    folder = tables(spark, f"{top}/tables")
     read, table = [], V.table
     monkeypatch.setattr(V, "table", lambda s, d, name: read.append(name) or table(s, d, name))
-    before = held(spark)
+    before = held(top)
     root = bound_products.build(spark, folder)
     assert read.count("lineitem") == 1
-    left = {f"{d}/{f}" for (d, f) in held(spark) if (d, f) not in before and not f.startswith((".", "_"))}
-    assert left and all(root.removeprefix("file:") in f or "/stored-" in f for f in left)
+    left = set(held(top)) - set(before)
+    assert left and all(root in f or "/stored-" in f for f in left)
     keys = {(r[0], r[1]) for r in V.sales(spark, folder).select("tx", "asset").collect()}
     assert read_latest(spark, root, "sales").count() == len(keys) > 100
 
 
-def test_trades_without_idle_columns(spark):
+def test_trades_without_idle_columns(spark, top):
     """The first line of a sale is the one that all columns give, and only matched trades stay behind a timeline."""
-    folder = tables(spark, f"{top(spark)}/tables-{uuid.uuid4().hex}")
+    folder = tables(spark, f"{top}/tables")
     cols = ["tx", "asset", "ts", "buyer", "seller", "price"]
     read = lambda df: sorted(map(repr, df.select(*cols).collect()))
     narrow = bound_wallets.narrow_sales(spark, folder)
-    assert read(narrow) == read(V.sales(spark, folder)) and "l_shipdate" not in narrow._jdf.queryExecution().optimizedPlan().toString()
-    before = set(os.listdir(top(spark)))
+    assert read(narrow) == read(V.sales(spark, folder)) and "l_shipdate" not in narrow._jdf.queryExecution().executedPlan().toString()
+    before = set(os.listdir(top))
     rows = bound_wallets.timed(spark, folder).collect()
     assert {r["kind"] for r in rows} >= {"mint", "buy", "sell"} and len(rows) > 100
-    new = [f for f in os.listdir(top(spark)) if f not in before]
+    new = [f for f in os.listdir(top) if f not in before]
     assert len(new) == 2 and all(f.startswith("stored-") for f in new), "matched trades and the positions of mints"
